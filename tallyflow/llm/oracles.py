@@ -22,3 +22,13 @@ d AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 p AS (SELECT *, floor(epochs)::BIGINT AS repeats, CASE WHEN size > 0 THEN floor((epochs - floor(epochs)) * size + draw)::BIGINT ELSE 0 END AS part_words FROM d)
 SELECT doc_id, size, source_size, target, repeats * size + part_words AS taken, repeats, part_words FROM p
 """
+
+WARC = r"""
+WITH t AS (SELECT page_id, COALESCE(html, '') AS p FROM pages),
+g AS (SELECT page_id, strlen(p) AS payload_bytes, sha1(p) AS h, MIN(page_id) OVER (PARTITION BY p) AS first_id FROM t)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM g
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyflow.llm import oracles
 from tallyflow.llm.exact_dedup import exact_dedup
 from tallyflow.llm.mixing import mix
+from tallyflow.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,16 +22,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": oracles.MIX,
+    "op3_warc_zip": oracles.WARC,
     "op4_exact_dedup": oracles.EXACT_DEDUP,
 }
