@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
+_SLICE = 512
 
 #: Byte table of ``bytes.translate``: A-Z become a-z, every other ASCII byte that is no word character a space.
 #: UTF-8 bytes of other characters are above 0x7F and stay, so words split at spaces are the words of the text.
@@ -51,3 +56,29 @@ def hinted(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(NON_SPACES)), F.lit(0)).cast("long")
+
+
+def with_results(df: DataFrame, inputs: list[Column], keep: list[str], make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
+    """``keep`` columns of each row and the columns of ``schema`` that a Python function makes of ``inputs``.
+
+    ``make`` runs once a task and returns the function, which takes the inputs' values, column by column, for
+    a few hundred rows and returns the results' values likewise. Kept columns of a result's name give way to
+    it. Rows are neither shuffled nor reordered, so that kept texts pass through.
+    """
+    names = T.StructType.fromDDL(schema).names
+    keep = [c for c in keep if c not in names]
+    kinds = df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields if keep else []
+    renamed = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *[c.alias(f"_i{i}") for i, c in enumerate(inputs)])
+    inner = T.StructType([T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(kinds)] + [T.StructField(f"_r{i}", f.dataType) for i, f in enumerate(T.StructType.fromDDL(schema).fields)])
+    arrow = to_arrow_schema(inner)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                made = work([c.to_pylist() for c in part.columns[n:]])
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns[:n], arrow, strict=False)] + [pa.array(v, f.type) for v, f in zip(made, list(arrow)[n:], strict=True)], schema=arrow)
+
+    return renamed.mapInArrow(run, inner).toDF(*keep, *names)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyflow.llm import oracles
+from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.exact_dedup import exact_dedup
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.warc import round_trip
@@ -30,14 +32,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": oracles.MIX,
     "op3_warc_zip": oracles.WARC,
     "op4_exact_dedup": oracles.EXACT_DEDUP,
+    "op6_decontaminate": oracles.DECONTAMINATE,
 }
