@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyflow.llm import oracles
 from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.exact_dedup import exact_dedup
+from tallyflow.llm.licenses import license_scan
 from tallyflow.llm.mixing import mix
+from tallyflow.llm.pii import find_pii
 from tallyflow.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +39,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("spans")
+
+
+def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_license_scan": op7_license_scan,
+    "op9_find_pii": op9_find_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

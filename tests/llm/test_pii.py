@@ -1,0 +1,78 @@
+import hashlib
+import random
+import re
+
+from tallyflow.llm.pii import KINDS, Span, detect, exact, find_pii, joined
+from tallyflow.llm.registry import op9_find_pii
+from tests.oracle import small
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k in KINDS:
+        for m in re.finditer(PATTERNS[k], text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "email" or k == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or k == "card" and 14 <= len(d) <= 19 and luhn(d) or k == "phone" and 10 <= len(d) <= 15:
+                out.append(Span(k, *m.span()))
+    return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
+
+
+def test_base_against_the_patterns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small('sf0.01')}/documents.parquet").collect()}
+    for r in op9_find_pii(spark, small("sf0.01")).collect():
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.kind == k for s in want) for k in KINDS)
+        assert r.spans == joined(want)  # nothing is disguised there
+
+
+def test_base_on_random_text():
+    r = random.Random(5)
+    for _ in range(6000):
+        t = "".join(r.choice("0123456789.@+-ab ()é%") for _ in range(r.randrange(1, 45)))
+        assert exact(t) == brute(t), t
+    for _ in range(3000):
+        t = "".join(r.choice("1.@a+") for _ in range(r.randrange(1, 30)))
+        assert exact(t) == brute(t), t
+    cards = "4111 1111 1111 1111 4111-1111-1111-1111 x4111111111111111"
+    assert exact(cards) == brute(cards)
+
+
+def found(text):
+    base, every = detect(text)
+    return [(s.kind, text[s.start : s.end]) for s in every if s not in base]
+
+
+def test_disguises():
+    assert found("é mail joe.x [at] mail7 [dot] example [dot] com now") == [("email", "joe.x [at] mail7 [dot] example [dot] com")]
+    assert found("write joe at mail dot example dot com.") == [("email", "joe at mail dot example dot com")]
+    assert found("joe(at)example.com") == [("email", "joe(at)example.com")]
+    assert found("joe@example(dot)com") == [("email", "joe@example(dot)com")]
+    assert found("x jое@ехаmple.com y") == [("email", "jое@ехаmple.com")]
+    assert found("x joe＠example．com y") == [("email", "joe＠example．com")]
+    assert found("ip １２９.38.82.176 z") == [("ip", "１２９.38.82.176")]
+    assert found("call plus one two three four five five five one two three four now") == [("phone", "plus one two three four five five five one two three four")]
+    assert found("five five five, one two three, nine eight seven six.") == [("phone", "five five five, one two three, nine eight seven six")]
+    assert found("card 4111​111111111111 .") == [("card", "4111​111111111111")]
+    for clean in ("we met at noon. dot", "one two three", "look at example.com", "at the dot", "Привет мир 12", "a at b", "nineteen one", "mail @ noon.", "he is at home dot", "word @ example.com"):
+        assert not found(clean), clean
+
+
+def test_edges(spark):
+    hostile = ["1" * 200000, "a" * 200000, "+1" + "(" * 100000, "a@" * 50000, "1." * 50000, "one " * 30000, "x at " * 20000, "е" * 100000, "а1" * 30000]
+    rows = [(1, None), (2, ""), (None, "a@b.c"), (4, "a@b.c"), (4, "a@b.c")] + [(10 + i, t) for i, t in enumerate(hostile)]
+    got = find_pii(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int").coalesce(1), keep=["doc_id"]).collect()
+    assert [(r.doc_id, r.n_email, r.spans) for r in got[:5]] == [(1, 0, ""), (2, 0, ""), (None, 1, "email:0:5"), (4, 1, "email:0:5"), (4, 1, "email:0:5")]
+    assert len(got) == len(rows)
+    assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
