@@ -26,7 +26,7 @@ from tallyflow.llm import zip_reader
 from tallyflow.llm.common import new_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES, _TASK_BYTES = 1 << 20, 128 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,13 +87,13 @@ def _write_task(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     row = next(rows, None)
             with archive.open(INDEX, "w", force_zip64=True) as data:
                 data.write("\n".join(index).encode())
-        yield pa.RecordBatch.from_pydict({"path": [path], "records": [len(index)]})
+        yield pa.RecordBatch.from_pydict({"path": [path], "records": [len(index)], "bytes": [at]})
 
     return write
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes a record for each page; returns the manifest (path, records) of the archives.
+    """Writes a record for each page; returns the manifest (path, records, bytes) of the archives.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, those with the smallest id are responses
     and the others revisit it. Null html is an empty payload; null ids are never the smallest: they revisit
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
               .where("copies > 1").drop("copies"))
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     told = rows.join(firsts, "key", "left").select("id", "url", "payload", refers.alias("refers_to"))
-    return written(told.mapInArrow(_write_task(folder), "path string, records long"), "manifest")
+    return written(told.mapInArrow(_write_task(folder), "path string, records long, bytes long"), "manifest")
 
 
 def _blocks(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,8 +151,12 @@ def _records(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives: id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits)."""
-    spread = manifest.select("path").repartition("path").mapInArrow(_blocks(folder), "path string, at long, lengths array<long>")
-    return spread.repartition("path", "at").mapInArrow(
+    archives, total = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # The rows are a few numbers each but stand for megabytes: the numbers of tasks go by the archives' bytes.
+    wide = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(-(-total // _BLOCK_BYTES), max(2 * wide, total // _TASK_BYTES)))
+    spread = manifest.select("path").repartition(max(1, min(archives, 4 * wide))).mapInArrow(_blocks(folder), "path string, at long, lengths array<long>")
+    return spread.repartition(tasks).mapInArrow(
         _records(folder), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
@@ -163,6 +167,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     archive and an empty result; other columns of ``pages`` are not read.
     """
     folder = new_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder or not folder.startswith("file:") else "file://" + folder.removeprefix("file:")
     found = read_archives(write_archives(pages, folder, min_bytes), folder)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
