@@ -13,6 +13,7 @@ from tallyflow.llm.exact_dedup import exact_dedup
 from tallyflow.llm.licenses import license_scan
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.pii import find_pii
+from tallyflow.llm.quality import quality
 from tallyflow.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_warc_zip": op3_warc_zip,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op9_find_pii": op9_find_pii,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
