@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyflow.llm import oracles
 from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.exact_dedup import exact_dedup
+from tallyflow.llm.html_extract import extract
 from tallyflow.llm.licenses import license_scan
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.pii import find_pii
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_extract_text": op1_extract_text,
     "op2_mix_sources": op2_mix_sources,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
