@@ -45,3 +45,14 @@ k AS (SELECT r, COUNT(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) A
 SELECT doc_id, COALESCE(len(w), 0) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
 """
+
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, COUNT(*) AS size FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, COUNT(*) AS overlap FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * overlap >= 75 * (x.size + y.size - overlap)),
+c(r, reached) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.reached)
+SELECT d.doc_id, COALESCE(ANY_VALUE(n.size), 0) AS n_shingles, MIN(t.doc_id) AS component_id
+FROM c JOIN d ON d.r = c.r JOIN d t ON t.r = c.reached LEFT JOIN n ON n.r = c.r GROUP BY d.r, d.doc_id
+"""

@@ -11,6 +11,7 @@ from tallyflow.llm import oracles
 from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.exact_dedup import exact_dedup
 from tallyflow.llm.html_extract import extract
+from tallyflow.llm.jaccard_join import jaccard_components
 from tallyflow.llm.licenses import license_scan
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.pii import find_pii
@@ -49,6 +50,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("spans")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_find_pii": op9_find_pii,
     "op10_quality": op10_quality,
 }
@@ -73,4 +79,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": oracles.WARC,
     "op4_exact_dedup": oracles.EXACT_DEDUP,
     "op6_decontaminate": oracles.DECONTAMINATE,
+    "op8_jaccard_join": oracles.JACCARD,
 }
