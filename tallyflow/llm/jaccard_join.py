@@ -5,11 +5,11 @@ the sum of the coordinates' minima bounds their overlap from above, and for a bo
 minima with the box's upper corner: a search descends an R-tree of such boxes, and what survives is verified
 exactly.
 
-So that the trees fit into tasks, sets meet in cells. A pair of the wanted similarity shares one of the first
-quarter of each set's shingles in any common order; the order here has shingles that many sets share last.
-The sets that share such a shingle go to the cell of one of them, its pivot. In a cell everything is held
-against the pivot, then what isn't linked to it against the rest; pairs already connected are not looked at,
-as only the components matter. Large cells are cut into chunks of bounded size.
+So that the trees fit into tasks, sets meet in cells. A pair of the wanted similarity shares some of the first
+shingles, about a third of each set's, in any common order; the order here has those that many sets share last.
+The sets of like size that share such a shingle go to one cell; a set with too few of them goes nowhere. In a cell
+everything is held against a pivot, then what isn't linked to it against the rest; pairs already connected are
+not looked at, as only the components matter. Large cells are cut into chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from tallyflow.llm.shingles import digest, shingle_sets
 _COUNTED = 1 << 21  # shingles that are counted together
 _HEAVY, _HEAVY_MOST = 64, 200_000
 _CHUNK = 400_000  # shingles of a chunk
+_STRETCH = 1 << 20
 _BITS = 1 << 24
 _ROWS = 256
 _LEAF = 16
@@ -165,16 +166,17 @@ def _describe(batches: Batches) -> Batches:
 
 
 def _prefixes(heavy: Broadcast) -> Callable[[Batches], Batches]:
-    """Rows (token, rank, node): the first quarter of each set's shingles, heavy ones last.
+    """Rows (token, size and rank, node): the first shingles of each set in the common order, heavy ones last.
 
-    Sets mostly of heavy shingles rank first: the text that a group of copies comes from is its best pivot.
+    Of n shingles the first n - 3n/4 + k, so that linked sets share at least the smaller k of theirs. Sets
+    mostly of heavy shingles rank first: the text that a group of copies comes from names its cell.
     """
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         known = heavy.value
         for _, sets in _texts(batches, 0):
-            tokens, nodes, ranks, lengths = [], [], [], []
+            tokens, nodes, marks, lengths = [], [], [], []
             for s in sets:
                 node = digest(s) if len(s) else None
                 if node is None or node in seen:
@@ -182,33 +184,70 @@ def _prefixes(heavy: Broadcast) -> Callable[[Batches], Batches]:
                 if len(seen) < _HEAVY_MOST:  # sets that come again from one task are only repeated rows
                     seen.add(node)
                 is_heavy = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
-                first = np.concatenate([s[~is_heavy], s[is_heavy]])[: len(s) - -(-3 * len(s) // 4) + 1]
+                first = np.concatenate([s[~is_heavy], s[is_heavy]])[: len(s) - _needed(len(s)) + _shared_least(len(s))]
                 tokens.append(first)
                 lengths.append(len(first))
                 nodes.append(node)
-                ranks.append(100 - int(100 * is_heavy.mean()))
+                marks.append(len(s) << 8 | 100 - int(100 * is_heavy.mean()))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ranks, np.int64), lengths)), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], names=["token", "rank", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(marks, np.int64), lengths)), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], names=["token", "mark", "node"])
 
     return run
 
 
+def _needed(n: int) -> int:
+    """The smallest set that a set of ``n`` can link with, and the least that they have in common: 3n/4, rounded up."""
+    return (3 * n + 3) // 4
+
+
+def _shared_least(n: int) -> int:
+    return 1 + n // 16
+
+
 def _cells(batches: Batches) -> Batches:
-    """Runs of one token, sorted by rank and node, to rows (node, cell): the cell is the run's first node."""
-    last_token = pivot = None
+    """Rows sorted by token, size, rank and node, to rows (node, cell, shared).
+
+    The sets that have a token in their prefixes fall apart where the next larger one is too large to link
+    with the one before; two or more that stay together go to the cell named by the first in rank, and
+    ``shared`` counts their tokens. A stretch longer than ``_STRETCH`` is named by its first part.
+    """
+    kept = [np.zeros(0, np.int64)] * 3
+    name = None  # of a stretch of which a part is out already
+
+    def rows(columns: list[np.ndarray], starts: np.ndarray) -> Batches:
+        nonlocal name
+        _, mark, node = columns
+        sizes = np.diff([*starts, len(node)])
+        part = np.repeat(np.arange(len(starts)), sizes)
+        cells = node[np.lexsort((node, mark & 255, part))[starts]]
+        together = sizes > 1
+        if name is not None:
+            cells[0], together[0], name = name, True, None
+        use = together[part]
+        if use.any():
+            pairs, shared = np.unique(np.stack([node[use], cells[part[use]]], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared)], names=["node", "cell", "shared"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[last_token is None or token[0] != last_token], token[1:] != token[:-1]]))
-        heads = node[starts]
-        run = np.searchsorted(starts, np.arange(len(token)), side="right") - 1
-        cell = np.where(run >= 0, heads[np.maximum(run, 0)] if len(heads) else 0, pivot if pivot is not None else 0)
-        last_token, pivot = token[-1], cell[-1]
-        other = cell != node
-        if other.any():
-            pairs = np.unique(np.stack([node[other], cell[other]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "cell"])
+        token, mark, node = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns, strict=True))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # copies' rows are next to each other
+        token, mark, node = token[new], mark[new], node[new]
+        size = mark >> 8
+        starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (3 * size[1:] > 4 * size[:-1])]))
+        cut = int(starts[-1])
+        if cut:
+            yield from rows([token[:cut], mark[:cut], node[:cut]], starts[:-1])
+        kept = [token[cut:], mark[cut:], node[cut:]]
+        if len(kept[0]) > _STRETCH:
+            part = [c[:-1] for c in kept]
+            cell = name if name is not None else part[2][np.lexsort((part[2], part[1] & 255))[0]]
+            name = cell
+            yield from rows(part, np.array([0]))
+            kept, name = [c[-1:] for c in kept], cell
+    if len(kept[0]):
+        yield from rows(kept, np.array([0]))
 
 
 def _wanted_sets(bits: Broadcast) -> Callable[[Batches], Batches]:
@@ -295,13 +334,17 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[int]) -> DataFra
     """(a, b) links that connect all linked sets of ``text`` (one binary column); ``sets`` has (node, size)."""
     spark = text.sparkSession
     known = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
-    tokens = text.mapInArrow(_prefixes(known), "token long, rank long, node long")
-    runs = tokens.repartition("token").sortWithinPartitions("token", "rank", "node").select("token", "node")
-    pairs = runs.mapInArrow(_cells, "node long, cell long").groupBy("node", "cell").agg(F.lit(1).alias("one")).drop("one")
-    pairs = written(pairs.join(sets, "node"), "pairs")
-    chunks = pairs.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks"))
-    members = pairs.join(chunks, "cell").select("cell", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), F.lit(1).alias("role"), "chunks", "node", "size")
-    pivots = chunks.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("role"), "chunks", F.col("cell").alias("node"), F.lit(0).cast("long").alias("size"))
+    tokens = text.mapInArrow(_prefixes(known), "token long, mark long, node long")
+    runs = tokens.repartition("token").sortWithinPartitions("token", "mark", "node")
+    pairs = written(runs.mapInArrow(_cells, "node long, cell long, shared long").groupBy("node", "cell").agg(F.sum("shared").alias("shared")), "pairs")
+    # A set that shares fewer tokens than any set it could link with must have in common links with none.
+    least = F.expr("1 + ((3 * size + 3) div 4) div 16")
+    able = pairs.groupBy("node").agg(F.sum("shared").alias("all_shared")).join(sets, "node").where(F.col("all_shared") >= least).select("node", "size")
+    pairs = written(pairs.join(able, "node"), "pairs")
+    chunks = (pairs.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members"))
+              .where("members > 1").drop("members"))
+    members = pairs.join(chunks, "cell").where("node <> pivot").select("cell", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), F.lit(1).alias("role"), "chunks", "node", "size")
+    pivots = chunks.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("role"), "chunks", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("size"))
     places = written(members.unionByName(pivots), "places")
     first = _joined(text, places.drop("size"))
     links = first.where("NOT alone").select("a", "b")
