@@ -371,9 +371,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids are never the smallest. Sets and shingles are told apart by 64-bit hashes. Every row is joined: no
     group is capped, and the broadcasts (heavy shingles, which only order; a bit map) have fixed bounds.
     """
-    kind = dict(docs.dtypes)[id_col]
-    text = docs.select(F.col(text_col).cast("binary").alias("text"))
-    told = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_describe, f"id {kind}, size long, node long, token long, times long"), "sets")
+    found = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
+    return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """(id, text) to (id, size, component_id); ids of any type that has an order."""
+    kind = docs.schema["id"].dataType.simpleString()
+    text = docs.select("text")
+    told = written(docs.mapInArrow(_describe, f"id {kind}, size long, node long, token long, times long"), "sets")
     rows = told.where("token IS NULL").select("id", "size", "node")
     heavy = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= _HEAVY).orderBy(F.desc("times"), "token").limit(_HEAVY_MOST)
     sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.max("size").alias("size"), F.min("id").alias("first_id"))
@@ -382,4 +388,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = sets.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     labels = labelled.join(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     labels = written(labels, "labels")
-    return rows.join(labels, "node", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(labels, "node", "left").select("id", "size", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows that stay when one row of each component stays: that of the smallest id.
+
+    Null ids come last. Rows that repeat an id are told apart by their texts, and of rows that repeat both any
+    one stays. Rows without words are linked with nothing, and all stay. An empty table gives an empty one.
+    """
+    row = F.xxhash64(F.col(text_col))
+    ident = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), row.alias("row"))
+    found = _components(docs.select(ident.alias("id"), F.col(text_col).cast("binary").alias("text")))
+    firsts = found.where(F.col("id") == F.col("component_id")).groupBy(F.col("id.id").alias("_id"), F.col("id.row").alias("_row")).agg((F.max("size") > 0).alias("_words"), F.count(F.lit(1)).alias("_times"))
+    firsts = written(firsts.select("_id", "_row", (F.col("_words") & (F.col("_times") > 1)).alias("_repeated")), "kept")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), row.alias("row"))
+    kept = rows.join(firsts, rows["id"].eqNullSafe(F.col("_id")) & (rows["row"] == F.col("_row")))
+    if not firsts.where("_repeated").isEmpty():
+        kept = kept.where("NOT _repeated").unionByName(kept.where("_repeated").dropDuplicates(["_id", "_row"]))
+    return kept.select("doc.*")

@@ -121,25 +121,40 @@ def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(words), "word", "left").withColumn("marked", F.coalesce(F.expr("shiftrightunsigned(bits, cast(bit % 64 as int)) & 1L"), F.lit(0)) == 1).drop("bit", "word", "bits")
 
 
-def near_lines(lines: DataFrame, repeated: DataFrame, edits: int) -> DataFrame:
-    """(x, y) hashes of distinct lines within ``edits`` edits; ``repeated`` (h) are those that occur twice."""
+def _mark(line: Column) -> Column:
+    """64 parities of the counts of hashed character pairs. An edit takes at most two pairs away and adds two."""
+
+    def parities(chars: Column) -> Column:
+        bits = F.transform(chars, lambda x, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x, F.get(chars, i + 1)), F.lit(64))))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+
+    return _let(F.split(line, ""), parities)
+
+
+def near_earlier(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """(h) of the distinct lines that have a line within ``edits`` edits whose first place comes before theirs.
+
+    ``firsts`` has the first place and the number of occurrences (h, first, times) of every line. One earlier
+    line is enough, so the join is a semi join: a group of many lines near each other gives a row each, not
+    their pairs, and the search for a line ends with the first that is found.
+    """
     index, probe = _keys(edits)
-    told = _marked(lines.select("h", "line"), repeated)
+    told = _marked(lines.select("h", "line"), firsts.where("times > 1").select("h"))
     once = told.where("NOT marked").select("h", "line").unionByName(told.where("marked").select("h", "line").dropDuplicates(["h"]))
     rows = [F.struct(k.alias("key"), F.lit(True).alias("indexed")) for k in index] + [F.struct(k.alias("key"), F.lit(False).alias("indexed")) for k in probe]
     keyed = once.select("h", F.explode(F.array(*rows)).alias("k")).select("h", "k.key", "k.indexed").where("key IS NOT NULL")
     # Most keys are of one line. The window keeps the rows of the others without making pairs.
     active = keyed.repartition("key").selectExpr("h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index")
-    active = written(active.where("least <> most AND any_index").select("h", "key", "indexed").distinct(), "keys")
+    active = written(active.where("least <> most AND any_index").groupBy("h", "key").agg(F.max("indexed").alias("indexed")), "keys")
     members = active.select("h").distinct()
-    texts = written(_marked(lines.select("h", "line"), members).where("marked").select("h", "line").dropDuplicates(["h"]), "lines")
+    texts = _marked(lines.select("h", "line"), members).where("marked").select("h", "line").dropDuplicates(["h"])
+    texts = written(texts.join(firsts.select("h", "first"), "h").withColumn("mark", _mark(F.col("line"))), "lines")
     full = active.join(texts, "h")
-    left = full.where("indexed").select("key", F.col("h").alias("x"), F.col("line").alias("a"))
-    right = full.select("key", F.col("h").alias("y"), F.col("line").alias("b"), F.col("indexed").alias("both"))
-    # The verification is part of the join, so that what it makes is links and not the pairs of a key.
-    linked = (F.col("x") != F.col("y")) & (~F.col("both") | (F.col("x") < F.col("y"))) & (edit_distance(F.col("a"), F.col("b"), edits) <= edits)
-    found = left.join(right, (left["key"] == right["key"]) & linked).select("x", "y")
-    return written(found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "near")
+    later = full.select("key", F.col("h").alias("x"), F.col("line").alias("a"), F.col("first").alias("a_first"), F.col("mark").alias("a_mark"), F.col("indexed").alias("a_indexed"))
+    earlier = full.select("key", F.col("line").alias("b"), F.col("first").alias("b_first"), F.col("mark").alias("b_mark"), F.col("indexed").alias("b_indexed"))
+    linked = ((later["key"] == earlier["key"]) & (F.col("b_first") < F.col("a_first")) & (F.col("a_indexed") | F.col("b_indexed"))
+              & (F.bit_count(F.col("a_mark").bitwiseXOR(F.col("b_mark"))) <= 4 * edits) & (edit_distance(F.col("a"), F.col("b"), edits) <= edits))
+    return later.join(earlier, linked, "left_semi").select(F.col("x").alias("h")).distinct()
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,15 +173,15 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
     occurring = written(lines.select("h", place.alias("place")), "occurring")
     firsts = written(occurring.groupBy("h").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
-    near = near_lines(lines, firsts.where("times > 1"), edits)
-    earlier = near.join(firsts.select(F.col("h").alias("y"), F.col("first").alias("near_first")), "y").groupBy(F.col("x").alias("h")).agg(F.min("near_first").alias("near_first"))
-    keep = firsts.join(earlier, "h", "left").where("times > 1 OR near_first < first").select("h", F.least("first", "near_first").alias("keep"))
-    gone = occurring.join(keep, "h").where(F.col("place") > F.col("keep"))
+    near = near_earlier(lines, firsts, edits).withColumn("near", F.lit(True))
+    touched = written(firsts.join(near, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "touched")
+    gone = occurring.join(touched, "h").where(F.col("near") | (F.col("place") > F.col("first")))
     dropped = gone.select("place.id", "place.row", "place.line_no").groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_dropped"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    texts = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text_col)).alias("_text_row"))
-    joined = texts.join(written(dropped, "dropped"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
-    shown = [(F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)).alias(c) if c == text_col else F.col(f"`{c}`") for c in rest]
-    return joined.select(*shown, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    others = F.struct(*[F.col(f"`{c}`") for c in rest if c != text_col])
+    texts = docs.select(others.alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    joined = texts.join(written(dropped, "dropped"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    all_lines = F.split("text", "\n")
+    kept = _let(all_lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_dropped")), lambda i: F.get(ls, i)), "\n"))
+    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in rest], F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))

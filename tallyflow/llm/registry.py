@@ -13,6 +13,7 @@ from tallyflow.llm.exact_dedup import exact_dedup
 from tallyflow.llm.html_extract import extract
 from tallyflow.llm.jaccard_join import jaccard_components
 from tallyflow.llm.licenses import license_scan
+from tallyflow.llm.line_dedup import line_dedup
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.pii import find_pii
 from tallyflow.llm.quality import quality
@@ -41,6 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_warc_zip": op3_warc_zip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op8_jaccard_join": op8_jaccard_join,
