@@ -1,11 +1,51 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: documents to the words that a training mix takes of them.
+
+Each stage works on the whole table that the one before it kept. ``run`` writes that table to the shared
+folder, which cuts the lineage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyflow.llm.common import written
+from tallyflow.llm.decontaminate import contamination
+from tallyflow.llm.jaccard_join import one_of_each
+from tallyflow.llm.line_dedup import line_dedup
 from tallyflow.llm.mixing import mix
+from tallyflow.llm.quality import classify, train
+
+
+def _beside(docs: DataFrame, results: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` of what ``stage`` returns; its ``results`` don't touch columns of their names."""
+    own = {c: f"own {c}" for c in docs.columns if c in results}
+    return stage(docs.withColumnsRenamed(own)).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the quality classifier rejects go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _beside(docs, {"score", "predicted"}, lambda d: classify(d, model).where("predicted = 1"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: lines that stand in an earlier document, or nearly so, go; n_chars follows the text."""
+    rest = _beside(docs, {"n_lines", "n_dropped"}, line_dedup)
+    return rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rest
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: one document of each group of near copies stays, that of the smallest id."""
+    return one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: documents with a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _beside(docs, {"n_words", "n_hit", "n_items", "item_ids", "contaminated"}, lambda d: contamination(d, benchmark).where("NOT contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +53,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+STAGES = [
+    ("quality classifier", reject_poor),
+    ("line dedup", drop_lines),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mix sources", mix_sources),
+]
+#: SQL can't express the classifier; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that stays: doc_id, size, source_size, target, taken, repeats, part_words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
