@@ -141,10 +141,11 @@ def near_earlier(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     index, probe = _keys(edits)
     told = _marked(lines.select("h", "line"), firsts.where("times > 1").select("h"))
     once = told.where("NOT marked").select("h", "line").unionByName(told.where("marked").select("h", "line").dropDuplicates(["h"]))
-    rows = [F.struct(k.alias("key"), F.lit(True).alias("indexed")) for k in index] + [F.struct(k.alias("key"), F.lit(False).alias("indexed")) for k in probe]
-    keyed = once.select("h", F.explode(F.array(*rows)).alias("k")).select("h", "k.key", "k.indexed").where("key IS NOT NULL")
+    # One number a row: the last bit of a key tells index keys from probe keys.
+    keys = [k.bitwiseOR(F.lit(1).cast("long")) for k in index] + [k.bitwiseAND(F.lit(-2).cast("long")) for k in probe]
+    keyed = once.select("h", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").repartition(F.expr("k & -2L"))
     # Most keys are of one line. The window keeps the rows of the others without making pairs.
-    active = keyed.repartition("key").selectExpr("h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index")
+    active = keyed.selectExpr("h", "k & -2L AS key", "(k & 1L) = 1 AS indexed").selectExpr("h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index")
     active = written(active.where("least <> most AND any_index").groupBy("h", "key").agg(F.max("indexed").alias("indexed")), "keys")
     members = active.select("h").distinct()
     texts = _marked(lines.select("h", "line"), members).where("marked").select("h", "line").dropDuplicates(["h"])
