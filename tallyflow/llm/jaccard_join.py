@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import written
@@ -337,10 +338,13 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[int]) -> DataFra
     tokens = text.mapInArrow(_prefixes(known), "token long, mark long, node long")
     runs = tokens.repartition("token").sortWithinPartitions("token", "mark", "node")
     pairs = written(runs.mapInArrow(_cells, "node long, cell long, shared long").groupBy("node", "cell").agg(F.sum("shared").alias("shared")), "pairs")
-    # A set that shares fewer tokens than any set it could link with must have in common links with none.
+    # A set that shares fewer tokens than any set it could link with must have in common links with none. Two
+    # linked sets have that many in common; if either leaves the cells where it shares least, up to less than
+    # half of that number, a cell is left where they meet.
     least = F.expr("1 + ((3 * size + 3) div 4) div 16")
-    able = pairs.groupBy("node").agg(F.sum("shared").alias("all_shared")).join(sets, "node").where(F.col("all_shared") >= least).select("node", "size")
-    pairs = written(pairs.join(able, "node"), "pairs")
+    of_node = W.partitionBy("node")
+    ranked = pairs.join(sets, "node").select("*", F.sum("shared").over(of_node).alias("all_shared"), F.sum("shared").over(of_node.orderBy("shared", "cell").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("up_to"))
+    pairs = written(ranked.where((F.col("all_shared") >= least) & (F.col("up_to") > (least - 1) / 2)).select("node", "cell", "shared", "size"), "pairs")
     chunks = (pairs.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members"))
               .where("members > 1").drop("members"))
     members = pairs.join(chunks, "cell").where("node <> pivot").select("cell", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), F.lit(1).alias("role"), "chunks", "node", "size")
