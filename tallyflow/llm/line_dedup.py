@@ -88,17 +88,16 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
 
 
 def _keys(edits: int) -> tuple[list[Column], list[Column]]:
-    """(index keys, probe keys) of column ``line``; of equal lengths the unmoved places are index keys already."""
-    line, n = F.col("line"), F.length("line")
+    """(index keys, probe keys) of columns ``line`` and ``n``, its length; of equal lengths the unmoved places are index keys already."""
 
-    def key(length: Column, i: int, moved: int) -> Column:
-        start, end = F.floor(length * i / (edits + 1)), F.floor(length * (i + 1) / (edits + 1))
-        made = F.xxhash64(length, F.lit(i), F.substring(line, (start + moved + 1).cast("int"), (end - start).cast("int")))
-        return F.when((start + moved >= 0) & (end + moved <= n), made)
+    def key(shorter: int, i: int, moved: int) -> Column:
+        start, end = (F.expr(f"cast((n - {shorter}) * {at} div {edits + 1} as int)") for at in (i, i + 1))
+        made = F.xxhash64(F.col("n") - shorter, F.lit(i), F.substring("line", start + (moved + 1), end - start))
+        return F.when((start + moved >= 0) & (end + moved <= F.col("n")), made)
 
-    index = [key(n, i, 0) for i in range(edits + 1)]
+    index = [key(0, i, 0) for i in range(edits + 1)]
     # A place is needed only if the edits before it can have moved the segment there and those after it can undo the rest.
-    probe = [key(n - shorter, i, moved) for shorter in range(edits + 1) for i in range(edits + 1) for moved in range(-edits, edits + 1)
+    probe = [key(shorter, i, moved) for shorter in range(edits + 1) for i in range(edits + 1) for moved in range(-edits, edits + 1)
              if abs(moved) <= i and abs(moved - shorter) <= edits - i and (shorter or moved)]
     return index, probe
 
@@ -143,7 +142,7 @@ def near_earlier(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     once = told.where("NOT marked").select("h", "line").unionByName(told.where("marked").select("h", "line").dropDuplicates(["h"]))
     # One number a row: the last bit of a key tells index keys from probe keys.
     keys = [k.bitwiseOR(F.lit(1).cast("long")) for k in index] + [k.bitwiseAND(F.lit(-2).cast("long")) for k in probe]
-    keyed = once.select("h", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").repartition(F.expr("k & -2L"))
+    keyed = once.select("h", "line", F.length("line").cast("long").alias("n")).select("h", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").repartition(F.expr("k & -2L"))
     # Most keys are of one line. The window keeps the rows of the others without making pairs.
     active = keyed.selectExpr("h", "k & -2L AS key", "(k & 1L) = 1 AS indexed").selectExpr("h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index")
     active = written(active.where("least <> most AND any_index").groupBy("h", "key").agg(F.max("indexed").alias("indexed")), "keys")
