@@ -38,6 +38,7 @@ _FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _OTHER_DIGITS = {chr(zero + d): str(d) for zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
 _LOOK_ALIKE = HOMOGLYPHS | _FULL_WIDTH | _OTHER_DIGITS
 _HIDDEN = frozenset("​‌‍⁠﻿­")
+_FOLD = str.maketrans(_LOOK_ALIKE | dict.fromkeys(_HIDDEN, ""))
 
 # Spelled digits.
 _SPELLED = {
@@ -187,13 +188,25 @@ def _at_and_dot(text: str) -> list[Span]:
     return found
 
 
+def _folded(text: str) -> tuple[str, list[int] | None]:
+    """The text with look-alikes undone and hidden characters left out, and the source places of its characters where those moved."""
+    plain = text.translate(_FOLD)
+    if len(plain) == len(text):
+        return plain, None
+    return plain, [i for i, c in enumerate(text) if c not in _HIDDEN]
+
+
 def disguised(text: str) -> list[Span]:
-    found = _look_alikes(text) if not text.isascii() and _LOOK_ALIKE_RUN.search(text) else []
-    if _SPELLED_RUN.search(text):
-        found += _spelled_digits(text)
-    if _AT_OR_DOT.search(text):
-        found += _at_and_dot(text)
-    return found
+    """Identifiers behind one disguise or several at once: words are read after look-alikes are undone."""
+    found: list[Span] = []
+    plain, places = text, None
+    if not text.isascii() and _LOOK_ALIKE_RUN.search(text):
+        found = _look_alikes(text)
+        plain, places = _folded(text)
+    worded = _spelled_digits(plain) if _SPELLED_RUN.search(plain) else []
+    if _AT_OR_DOT.search(plain):
+        worded += _at_and_dot(plain)
+    return found + (worded if places is None else [Span(s.kind, places[s.start], places[s.end - 1] + 1) for s in worded])
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -65,6 +65,9 @@ def test_disguises():
     assert found("call plus one two three four five five five one two three four now") == [("phone", "plus one two three four five five five one two three four")]
     assert found("five five five, one two three, nine eight seven six.") == [("phone", "five five five, one two three, nine eight seven six")]
     assert found("card 4111​111111111111 .") == [("card", "4111​111111111111")]
+    assert found("x jоhn [аt] exаmple [dоt] com y") == [("email", "jоhn [аt] exаmple [dоt] com")]
+    assert found("é jo\u200bhn (at) mail (d\u200bot) com y") == [("email", "jo\u200bhn (at) mail (d\u200bot) com")]
+    assert found("plus оne two three fоur five five five one two three four now") == [("phone", "plus оne two three fоur five five five one two three four")]
     for clean in ("we met at noon. dot", "one two three", "look at example.com", "at the dot", "Привет мир 12", "a at b", "nineteen one", "mail @ noon.", "he is at home dot", "word @ example.com"):
         assert not found(clean), clean
 
