@@ -53,7 +53,6 @@ _DOT = re.compile(r"(?i)\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20
 _DOT_WORD = re.compile(r"(?i)[\[({<\x20](?:dot|punto|punkt)[\])}>\x20]")
 _AT_OR_DOT = re.compile(r"(?i)[\[({<\x20]\x20?(?:at|arroba|dot|punto|punkt)\x20?[\])}>\x20]")
 _LOOK_ALIKE_RUN = re.compile(f"[{re.escape(''.join(_LOOK_ALIKE))}{''.join(_HIDDEN)}]")
-_AROUND = 96
 
 
 class Span(NamedTuple):
@@ -123,28 +122,9 @@ class Rewriter:
         return [Span(s.kind, self.source[s.start][0], self.source[s.end - 1][1]) for s in exact("".join(self.text))]
 
 
-def _look_alikes(text: str) -> list[Span]:
-    """Identifiers with look-alike or hidden characters: the surroundings of each such run are rewritten."""
-    found, done = [], 0
-    for m in _LOOK_ALIKE_RUN.finditer(text):
-        if m.start() < done:
-            continue
-        start, end = max(done, m.start() - _AROUND), min(len(text), m.end() + _AROUND)
-        nearby = text[start:end]
-        if "@" not in nearby and "＠" not in nearby and sum(c.isdigit() for c in nearby) < 4:
-            continue
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        out = Rewriter()
-        for i in range(start, end):
-            if text[i] not in _HIDDEN:
-                out.write(_LOOK_ALIKE.get(text[i], text[i]), i, i + 1)
-        changed = {i for i in range(start, end) if text[i] in _LOOK_ALIKE or text[i] in _HIDDEN}
-        found += [s for s in out.identifiers() if any(i in changed for i in range(s.start, s.end))]
-        done = end
-    return found
+def _look_alikes(text: str, plain: str, places: list[int] | None) -> list[Span]:
+    """Identifiers of the folded text ``plain`` that have look-alike or hidden characters in the source."""
+    return [s for s in _placed(exact(plain), places) if _LOOK_ALIKE_RUN.search(text, s.start, s.end)]
 
 
 def _spelled_digits(text: str) -> list[Span]:
@@ -196,17 +176,22 @@ def _folded(text: str) -> tuple[str, list[int] | None]:
     return plain, [i for i, c in enumerate(text) if c not in _HIDDEN]
 
 
+def _placed(spans: list[Span], places: list[int] | None) -> list[Span]:
+    """Spans of the folded text as spans of the source."""
+    return spans if places is None else [Span(s.kind, places[s.start], places[s.end - 1] + 1) for s in spans]
+
+
 def disguised(text: str) -> list[Span]:
     """Identifiers behind one disguise or several at once: words are read after look-alikes are undone."""
     found: list[Span] = []
     plain, places = text, None
     if not text.isascii() and _LOOK_ALIKE_RUN.search(text):
-        found = _look_alikes(text)
         plain, places = _folded(text)
+        found = _look_alikes(text, plain, places)
     worded = _spelled_digits(plain) if _SPELLED_RUN.search(plain) else []
     if _AT_OR_DOT.search(plain):
         worded += _at_and_dot(plain)
-    return found + (worded if places is None else [Span(s.kind, places[s.start], places[s.end - 1] + 1) for s in worded])
+    return found + _placed(worded, places)
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -72,6 +72,13 @@ def test_disguises():
         assert not found(clean), clean
 
 
+def test_disguised_groups_in_long_texts_of_look_alikes():
+    prose = "Это длинный русский рассказ о старом доме у реки, где жили наши предки. " * 20
+    for kind, written in (("phone", "+７ ９１２ ３４５ ６７ ８９"), ("card", "４１１１ １１１１ １１１１ １１１１"), ("phone", "+7 9\u200b12 345 67 89")):
+        for before in (prose, prose[:-40], "тел. "):
+            assert found(f"{before} {written} {prose}") == [(kind, written)], (before, written)
+
+
 def test_edges(spark):
     hostile = ["1" * 200000, "a" * 200000, "+1" + "(" * 100000, "a@" * 50000, "1." * 50000, "one " * 30000, "x at " * 20000, "е" * 100000, "а1" * 30000]
     rows = [(1, None), (2, ""), (None, "a@b.c"), (4, "a@b.c"), (4, "a@b.c")] + [(10 + i, t) for i, t in enumerate(hostile)]
