@@ -195,12 +195,13 @@ def disguised(text: str) -> list[Span]:
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(exact spans, all spans): a disguised identifier counts where it overlaps none that was found before."""
+    """(exact spans, all spans): a disguised identifier counts unless one of its kind covers it."""
     base = exact(text or "")
-    every = list(base)
-    for s in sorted(disguised(text), key=_order) if text else ():
-        if all(s.end <= o.start or s.start >= o.end for o in every):
+    every, reach = [], dict.fromkeys(KINDS, 0)
+    for s, is_base in sorted([(s, True) for s in base] + [(s, False) for s in disguised(text or "")], key=lambda x: (x[0].start, -x[0].end, not x[1])):
+        if is_base or s.end > reach[s.kind]:
             every.append(s)
+        reach[s.kind] = max(reach[s.kind], s.end)
     return base, sorted(every, key=_order)
 
 

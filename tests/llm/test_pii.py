@@ -79,6 +79,15 @@ def test_disguised_groups_in_long_texts_of_look_alikes():
             assert found(f"{before} {written} {prose}") == [(kind, written)], (before, written)
 
 
+def test_partly_disguised_emails():
+    for whole, stump in (("jоhn@example.com", "hn@example.com"), ("оjohn@example.com", "john@example.com"), ("john@mail.exаmple.com", "john@mail.ex"), ("john@mail.example.cоm", "john@mail.example.c"), ("joe@mail.example (dot) com", "joe@mail.example")):
+        text = f"x {whole} y"
+        base, every = detect(text)
+        assert [text[s.start : s.end] for s in base] == [stump] and set(base) < set(every)
+        assert found(text) == [("email", whole)]
+    assert found("joe@example.com and １ jane@example.com") == []
+
+
 def test_edges(spark):
     hostile = ["1" * 200000, "a" * 200000, "+1" + "(" * 100000, "a@" * 50000, "1." * 50000, "one " * 30000, "x at " * 20000, "е" * 100000, "а1" * 30000]
     rows = [(1, None), (2, ""), (None, "a@b.c"), (4, "a@b.c"), (4, "a@b.c")] + [(10 + i, t) for i, t in enumerate(hostile)]
