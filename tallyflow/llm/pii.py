@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -44,8 +46,15 @@ _FOLD = str.maketrans(_LOOK_ALIKE | dict.fromkeys(_HIDDEN, ""))
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-_SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\x20-]+)?(?:(?:{'|'.join(_SPELLED)})(?:[\x20,.-]+(?=[a-z])|(?![a-z]))){{7,}}")
-_SPELLED_ONE = re.compile(rf"(?i)plus|{'|'.join(_SPELLED)}|[\x20,.-]+")
+_DIGIT_WORD = rf"(?<![a-z])(?:{'|'.join(_SPELLED)})(?![a-z])"
+_BETWEEN = r"(?:\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20{0,2}|[\x20-]{1,2}(?:dot|punto|punkt)[\x20-]{1,2}|[\x20,.()-]*+)"
+# Of lower-case text: digits and digit words in a row, dot words between them, perhaps a plus before.
+_NUMBER_RUN = re.compile(rf"(?:\+|(?<![a-z])plus[\x20-]+)?(?:[0-9]++|{_DIGIT_WORD})(?:{_BETWEEN}(?:[0-9]++|{_DIGIT_WORD}))++")
+_NUMBER_PART = re.compile(rf"[0-9]++|{_DIGIT_WORD}|{_BETWEEN}")
+_WORDED = re.compile(rf"[0-9]{_BETWEEN}{_DIGIT_WORD}|{_DIGIT_WORD}{_BETWEEN}(?:[0-9]|{_DIGIT_WORD})|plus[\x20-]+[0-9]|[0-9][\[({{<\x20-]{{1,3}}(?:dot|punto|punkt)[\])}}>\x20-]{{1,3}}[0-9]")
+_PLUS = re.compile(r"\+|plus[\x20-]+")
+_LETTER = re.compile("[a-z]")
+_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _DISGUISED = re.compile(
     r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})(\x20{0,2}[\[({<]\x20?at\x20?[\])}>]\x20{0,2}|\x20(?:at|arroba)\x20|\x20?@\x20?)"
     r"([A-Za-z0-9-]{1,63}(?:(?:\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20{0,2}|\x20(?:dot|punto|punkt)\x20|\.)[A-Za-z0-9-]{1,63}){1,8})")
@@ -127,22 +136,129 @@ def _look_alikes(text: str, plain: str, places: list[int] | None) -> list[Span]:
     return [s for s in _placed(exact(plain), places) if _LOOK_ALIKE_RUN.search(text, s.start, s.end)]
 
 
-def _spelled_digits(text: str) -> list[Span]:
-    """Phone and card numbers in spelled digits; ten digits or more without a plus count as a phone."""
+class Segment(NamedTuple):
+    """Part of a number run, all words or all digits, without punctuation: its place, its digits, and how many are words."""
+
+    start: int
+    end: int
+    digits: str
+    words: int
+    dot: bool  # after a dot word
+
+
+def _judged(segments: list[Segment], plus: bool) -> str | None:
+    """The kind of a number of these segments: a card, or a phone with a plus or at least two digit words."""
+    digits, words = "".join(s.digits for s in segments), sum(s.words for s in segments)
+    if not words:
+        return None
+    if 14 <= len(digits) <= 19 and _luhn(digits):
+        return "card"
+    return "phone" if 10 <= len(digits) <= 15 and (plus or words > 1) else None
+
+
+def _divided(segments: list[Segment], plus: bool) -> list[Span]:
+    """The numbers made of whole segments that leave the fewest digits over, as few as possible."""
+    best: list[tuple[int, int, int, str | None]] = [(0, 0, 0, None)]  # digits left, numbers, the last one's first segment and kind
+    for end in range(1, len(segments) + 1):
+        left, numbers, _, _ = best[-1]
+        choice = (left + len(segments[end - 1].digits), numbers, end - 1, None)
+        start, size = end - 1, len(segments[end - 1].digits)
+        while size <= 19:
+            kind = _judged(segments[start:end], plus and start == 0) if size >= 10 else None
+            if kind:
+                choice = min(choice, (best[start][0], best[start][1] + 1, start, kind), key=lambda c: c[:2])
+            start -= 1
+            if start < 0:
+                break
+            size += len(segments[start].digits)
+        best.append(choice)
+    found, end = [], len(segments)
+    while end:
+        _, _, start, kind = best[end]
+        if kind:
+            found.append(Span(kind, segments[start].start, segments[end - 1].end))
+        end = start
+    return found
+
+
+def _spelled(segments: list[Segment], plus: bool) -> list[Span]:
+    """Numbers of digit words alone, and those of words and digits, which take such a number whole or not at all."""
+    groups: list[list[Segment]] = []
+    for s in segments:
+        if groups and not s.dot and (s.words > 0) == (groups[-1][-1].words > 0):
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+    found: list[Span] = []
+    whole: list[Segment] = []
+    for group in groups:
+        numbers = _divided(group, plus and group is groups[0]) if group[0].words else []
+        found += numbers
+        starts = [n.start for n in numbers]
+        for s in group:
+            last, of = whole[-1] if whole else None, bisect_right(starts, s.start) - 1
+            if last and of >= 0 and starts[of] <= last.start and s.end <= numbers[of].end:
+                whole[-1] = Segment(last.start, s.end, last.digits + s.digits, last.words + s.words, last.dot)
+            else:
+                whole.append(s)
+    return found if len(groups) == 1 else found + _divided(whole, plus)
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_TO_LOWER)
+
+
+def _numbers(low: str) -> list[Span]:
+    """Identifiers in runs of digits, spelled digits and dot words of a lower-case text.
+
+    The run is rewritten for the exact patterns. Besides, punctuation may stand between the words of a phone or
+    card number, or between two numbers; such a run is divided where it fits best.
+    """
     found = []
-    for run in _SPELLED_RUN.finditer(text):
-        out = Rewriter()
-        end = run.start()
-        for m in _SPELLED_ONE.finditer(text, run.start(), run.end()):
-            word = m[0].lower()
-            if word == "plus" or word in _SPELLED:
-                out.write("+" if word == "plus" else _SPELLED[word], *m.span())
-                end = m.end()
-        digits = "".join(out.text).lstrip("+")
-        if 14 <= len(digits) <= 19 and _luhn(digits):
-            found.append(Span("card", run.start(), end))
-        elif 10 <= len(digits) <= 15:
-            found.append(Span("phone", run.start(), end))
+    for run in _NUMBER_RUN.finditer(low):
+        if not _LETTER.search(low, *run.span()):
+            continue
+        out, end = Rewriter(), run.start()
+        plus = _PLUS.match(low, end)
+        if plus:
+            out.write("+", *plus.span())
+            end = plus.end()
+        segments: list[Segment] = []
+        parts = [segments]
+        between, last_word, first = (end, end), False, True
+        for m in _NUMBER_PART.finditer(low, end, run.end()):
+            digits, spelled = _SPELLED.get(m[0], m[0]), m[0] in _SPELLED
+            if not digits.isdigit():
+                between = m.span() if m[0] else between
+                continue
+            gap = low[slice(*between)]
+            dot = _LETTER.search(gap)
+            stop = "," in gap or "." in gap
+            if dot:
+                out.write(".", *between)
+            elif stop or not (spelled and last_word):
+                out.write(gap, *between)
+            if stop and segments and not (spelled and last_word):  # digits aren't joined over punctuation
+                segments = []
+                parts.append(segments)
+            if segments and not stop and not dot and spelled == last_word:
+                last = segments.pop()
+                segments.append(Segment(last.start, m.end(), last.digits + digits, last.words + spelled, last.dot))
+            else:
+                segments.append(Segment(run.start() if first else m.start(), m.end(), digits, int(spelled), bool(dot)))
+            out.write(digits, *m.span())
+            between, last_word, first = (m.end(), m.end()), spelled, False
+        known = [s for s in out.identifiers() if _LETTER.search(low, s.start, s.end)]
+        found += known
+        ips = [s for s in known if s.kind == "ip"]
+        ends = [s.end for s in ips]
+        for segments in parts:
+            for apart, group in groupby(segments, lambda s: (at := bisect_right(ends, s.start)) == len(ips) or s.end <= ips[at].start):
+                rest = list(group)
+                if apart:
+                    found += _spelled(rest, bool(plus) and rest[0].start == run.start())
     return found
 
 
@@ -188,7 +304,8 @@ def disguised(text: str) -> list[Span]:
     if not text.isascii() and _LOOK_ALIKE_RUN.search(text):
         plain, places = _folded(text)
         found = _look_alikes(text, plain, places)
-    worded = _spelled_digits(plain) if _SPELLED_RUN.search(plain) else []
+    low = _lower(plain)
+    worded = _numbers(low) if _WORDED.search(low) else []
     if _AT_OR_DOT.search(plain):
         worded += _at_and_dot(plain)
     return found + _placed(worded, places)

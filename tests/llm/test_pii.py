@@ -88,6 +88,21 @@ def test_partly_disguised_emails():
     assert found("joe@example.com and １ jane@example.com") == []
 
 
+def test_dot_words_and_spelled_digits_of_every_kind():
+    for ip in ("192 dot 168 dot 1 dot 7", "10 [dot] 0 [dot] 0 [dot] 5", "one nine two dot one six eight dot one dot seven", "10.0 dot 0.five", "one nine two dot one six eight dot one zero zero dot one zero one", "１０ (dоt) 0 dot 0 dot 5"):
+        assert found(f"x {ip}. y") == [("ip", ip)], ip
+    phone, card = "five five five, one two three, nine eight seven six", "four one one one one one one one one one one one one one one one"
+    assert found(f"{phone}, {phone}.") == [("phone", phone)] * 2
+    assert found(f"{card}, {phone}") == [("card", card), ("phone", phone)]
+    assert found(f"{phone} 1234567890") == [("phone", phone)]
+    assert found(f"12, {phone}, 24 hours") == [("phone", phone)]
+    for mixed in ("plus 1 555 one two three 4567", "555 one two three 4567", "five5five 123 4567", "+1 555 dot 123 dot 4567"):
+        assert found(f"call {mixed} now") == [("phone", mixed)], mixed
+    assert found("x four one one one 1111 1111 one one one one y") == [("card", "four one one one 1111 1111 one one one one")]
+    for clean in ("Order 1234567890 one item", "for 2015, 2016, 2017, one of the", "10 dot 5", "300 dot 1 dot 1 dot 1", "one, two, three"):
+        assert not found(clean), clean
+
+
 def test_edges(spark):
     hostile = ["1" * 200000, "a" * 200000, "+1" + "(" * 100000, "a@" * 50000, "1." * 50000, "one " * 30000, "x at " * 20000, "е" * 100000, "а1" * 30000]
     rows = [(1, None), (2, ""), (None, "a@b.c"), (4, "a@b.c"), (4, "a@b.c")] + [(10 + i, t) for i, t in enumerate(hostile)]
