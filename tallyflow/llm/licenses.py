@@ -8,7 +8,7 @@ the edits and gives the span.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import regex
@@ -60,22 +60,31 @@ class Notice:
 
     def spans(self, norm: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) in bytes of ``norm``, leftmost first and not overlapping."""
-        areas = []
+        areas, slack = [], 4 * self.edits + 1  # an edit may be a character of 4 bytes
         for piece, offset in self.pieces:
             at = norm.find(piece)
             while at >= 0:
-                areas.append((max(0, at - offset - 2 * self.edits - 1), at - offset + len(self.text) + 2 * self.edits + 1))
+                areas.append((max(0, at - offset - slack), at - offset + len(self.text) + slack))
                 at = norm.find(piece, at + 1)
         found: list[tuple[int, int, int]] = []
         for start, end in _joined(areas):
             while start > 0 and norm[start] & 0xC0 == 0x80:  # not inside a character
                 start -= 1
+            while end < len(norm) and norm[end] & 0xC0 == 0x80:
+                end += 1
             area = norm[start:end].decode(errors="ignore")
-            for m in self.pattern.finditer(area):
+            for m in self._matches(area, 0, len(area)):
                 a = start + len(area[: m.start()].encode())
                 found.append((a, a + len(m[0].encode()), sum(m.fuzzy_counts)))
         return found
 
+    def _matches(self, area: str, start: int, end: int) -> Iterator[regex.Match]:
+        """The best match, those before it and those behind it, leftmost first."""
+        while end - start >= len(self.text) - self.edits and (m := self.pattern.search(area, start, end)):
+            yield from self._matches(area, start, m.start() - 1)  # without the space between
+            yield m
+            start = m.end()
+
 
 def _joined(areas: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []

@@ -34,6 +34,17 @@ def test_bounded_errors():
         assert not Scanner().scan(text.encode())[2], text
 
 
+def test_every_notice_of_an_area():
+    def fuzzy(text):
+        return [(m.label, m.first_word, m.last_word, m.edits) for m in Scanner().scan(text.encode())[2]]
+
+    assert fuzzy("all rigts reserved x all rights reserved") == [("reserved", 0, 2, 1), ("reserved", 4, 6, 0)]
+    assert fuzzy("all rigts reserved all rights reserved all rihts reserved") == [("reserved", 0, 2, 1), ("reserved", 3, 5, 0), ("reserved", 6, 8, 1)]
+    assert fuzzy("x all right\U00020000s reserved y") == [("reserved", 1, 3, 1)]
+    assert fuzzy("all rights reserved\U00020000\U00020000") == []
+    assert len(fuzzy("all rigts reserved " * 300)) == 300
+
+
 def test_edges(spark):
     long = "word " * 200000 + "All rights reserved"
     rows = [(1, None), (2, ""), (None, "cc by"), (4, long), (4, long), (5, "All rights reserved " * 500)]
