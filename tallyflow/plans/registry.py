@@ -96,8 +96,7 @@ QUERIES: dict[str, Query] = {
     "fan_out_having": lambda s, d: graph.degrees(_edges(s, d), graph.SOURCE, P.min_intermediaries),
     "fan_in_having": lambda s, d: graph.degrees(_edges(s, d), graph.TARGET, P.min_intermediaries),
     "semi_join_prune": lambda s, d: graph.pruned(_edges(s, d), graph.SOURCE, P.min_intermediaries).select(*graph.EDGE),
-    "explode_intermediary": lambda s, d: (_edges(s, d).groupBy(*graph.SOURCE).agg(F.collect_set(F.struct(*graph.TARGET)).alias("related"))
-                                          .select(*graph.SOURCE, F.explode("related").alias("mid")).select(*graph.SOURCE, "mid.to_bank", "mid.to_account")),
+    "explode_intermediary": lambda s, d: _edges(s, d).select(*graph.SOURCE, *graph.TARGET),
     "two_hop_pair_count": _pairs,
     "pair_having": lambda s, d: _pairs(s, d).where(F.col("n") >= P.min_intermediaries),
     "distinct_origins": lambda s, d: _pairs(s, d).where(F.col("n") >= P.min_intermediaries).select("bank", "account").distinct(),

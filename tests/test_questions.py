@@ -114,3 +114,9 @@ def test_partitioning_does_not_matter(spark):
     txn = registry._txn(spark, small())
     answers = [sorted(map(tuple, questions.q4(txn.repartition(n), registry.WIDE).collect())) for n in (1, 8, 50)]
     assert answers[0] == answers[1] == answers[2] and answers[0]
+
+
+def test_neighbours_of_an_account_are_not_gathered_in_one_row(spark):
+    df = registry.QUERIES["explode_intermediary"](spark, small("sf0.01"))
+    assert_same(df, registry.ORACLE_SQL["explode_intermediary"], small("sf0.01"))
+    assert "collect_set" not in df._jdf.queryExecution().toString()
