@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import written
 from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.jaccard_join import one_of_each
 from tallyflow.llm.line_dedup import line_dedup
 from tallyflow.llm.mixing import mix
 from tallyflow.llm.quality import classify, train
+from tallyflow.sources.shared import written
 
 
 def _beside(docs: DataFrame, results: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
