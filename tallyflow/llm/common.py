@@ -1,13 +1,11 @@
-"""What several operators need: the shared folder, written tables, word patterns, and hashing of words."""
+"""What several operators need: word patterns, and Python functions over rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,38 +19,6 @@ _SLICE = 512
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tallyflow-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and lost executors take nothing with them."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether a written table has at most ``rows`` rows, which bounds what a broadcast of it takes."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def hinted(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A side of a join: broadcast when its measured size allows, else left to the planner."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(NON_SPACES)), F.lit(0)).cast("long")

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import SPACES, written
+from tallyflow.llm.common import SPACES
+from tallyflow.sources.shared import written
 
 _PREFIX = 64
 

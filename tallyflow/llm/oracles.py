@@ -14,13 +14,14 @@ r AS (SELECT *, CAST([5, 2, 1] AS DOUBLE[])[((ROW_NUMBER() OVER (ORDER BY source
 q AS (SELECT *, cap / weight AS ratio FROM r),
 l AS (SELECT *, (1.5::DOUBLE * SUM(source_size) OVER () - COALESCE(SUM(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / SUM(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q),
-f AS (SELECT MIN_BY(level, ratio) AS fit FROM l WHERE level <= ratio),
+f AS (SELECT (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1) AS fit),
 g AS (SELECT source, source_size, LEAST(COALESCE(fit * weight, cap), cap) AS target FROM l, f),
-d AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS epochs,
-             ('0x' || substr(md5('7:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+d AS (SELECT doc_id, size, t.source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats,
+             ('0x' || substr(md5('7:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
       FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
-p AS (SELECT *, floor(epochs)::BIGINT AS repeats, CASE WHEN size > 0 THEN floor((epochs - floor(epochs)) * size + draw)::BIGINT ELSE 0 END AS part_words FROM d)
-SELECT doc_id, size, source_size, target, repeats * size + part_words AS taken, repeats, part_words FROM p
+p AS (SELECT *, floor(target - repeats * source_size)::BIGINT
+             - COALESCE(SUM(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS space FROM d)
+SELECT doc_id, size, source_size, target, repeats * size + LEAST(size, GREATEST(space, 0)) AS taken, repeats, LEAST(size, GREATEST(space, 0)) AS part_words FROM p
 """
 
 WARC = r"""

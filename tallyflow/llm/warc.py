@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm import zip_reader
-from tallyflow.llm.common import new_path, written
+from tallyflow.sources.shared import new_path, removed_at_exit, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _BLOCK_BYTES, _TASK_BYTES = 1 << 20, 128 << 20
@@ -167,5 +167,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     archive and an empty result; other columns of ``pages`` are not read.
     """
     folder = new_path(pages.sparkSession, "warc")
-    found = read_archives(write_archives(pages, folder, min_bytes), folder)
+    manifest = write_archives(pages, folder, min_bytes)
+    found = read_archives(manifest, removed_at_exit(pages.sparkSession, folder))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
