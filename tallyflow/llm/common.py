@@ -12,6 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
+#: Words of a text whose A-Z are lower-cased, found without doing that.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BITS = 1 << 24
 _SLICE = 512
 
 #: Byte table of ``bytes.translate``: A-Z become a-z, every other ASCII byte that is no word character a space.
@@ -24,6 +27,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NON_SPACES)), F.lit(0)).cast("long")
 
 
+def marked(rows: DataFrame, hash_col: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: whether the bit of their hash is on in a map made of ``wanted``'s.
+
+    The map is a table of at most _BITS / 64 words, which bounds its broadcast; bits that are on for other
+    hashes only let some more rows through.
+    """
+    bit = F.pmod(hash_col, F.lit(_BITS))
+    words = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    placed = rows.withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    return placed.join(F.broadcast(words), "word", "left").withColumn("marked", F.coalesce(F.expr("shiftrightunsigned(bits, cast(bit % 64 as int)) & 1L"), F.lit(0)) == 1).drop("bit", "word", "bits")
+
+
 def with_results(df: DataFrame, inputs: list[Column], keep: list[str], make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
     """``keep`` columns of each row and the columns of ``schema`` that a Python function makes of ``inputs``.
 

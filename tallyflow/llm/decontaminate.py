@@ -10,12 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD_BYTES, with_results
+from tallyflow.llm.common import WORD_BYTES, WORDS, marked
+from tallyflow.sources.shared import hinted, is_small, new_path, removed_at_exit, written
 
 Words = tuple[bytes, ...]
+Batches = Iterator[pa.RecordBatch]
+_FOUND = 100_000  # texts with hits that are broadcast
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -63,27 +68,23 @@ class WuManber:
 
 
 class Matcher:
-    """All tables of one block of test strings."""
-
-    def __init__(self, items: list[tuple[str, bytes | None]], size: int) -> None:
-        owners: dict[Words, set[str]] = {}
-        for item, text in items:
-            for p in windows(text, size):
-                owners.setdefault(p, set()).add(item)
-        self.owners = [sorted(v) for v in owners.values()]
+    """All tables of one block of test strings, (number, words) each."""
+
+    def __init__(self, tests: list[tuple[int, bytes]]) -> None:
         by_size: dict[int, list[tuple[Words, int]]] = {}
-        for number, p in enumerate(owners):
+        for number, text in tests:
+            p = tuple(text.split())
             by_size.setdefault(len(p), []).append((p, number))
         self.tables = [WuManber(ps, m) for m, ps in sorted(by_size.items())]
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """(merged half-open word ranges inside occurrences, items with an occurrence)."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """(merged half-open word ranges inside occurrences, numbers of the test strings that occur)."""
         spans, found = [], set()
         for t in self.tables:
             for end, number in t.ends(words):
                 spans.append((end - t.size, end))
                 found.add(number)
-        return merged(spans), {item for number in found for item in self.owners[number]}
+        return merged(spans), found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,48 +97,91 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items in blocks of about ``most`` windows; one block at a time is on the driver."""
-    block, windows_in = [], 0
-    for item, text in benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
-        text = bytes(text) if text is not None else None
-        block.append((item, text))
-        windows_in += max(1, len(words_of(text)) - size + 1)
-        if windows_in >= most:
-            yield block
-            block, windows_in = [], 0
-    yield block
+def _cut(size: int) -> Callable[[Batches], Batches]:
+    """(item, text) to rows (item, test), a row for each window."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tests = [b" ".join(p) for p in windows(text, size)]
+                if tests:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(tests), pa.string()), pa.array(tests, pa.binary())], names=["item", "test"])
+
+    return run
+
+
+def _search(block: Broadcast) -> Callable[[Batches], Batches]:
+    """(key, other, text) to (key, other, starts, ends, numbers) of the texts with an occurrence."""
+    schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int64()))])
 
+    def run(batches: Batches) -> Batches:
+        matcher = Matcher(block.value)
+        for batch in batches:
+            rows = []
+            for key, other, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                spans, numbers = matcher.scan(words_of(text.as_py()))
+                if spans:
+                    rows.append((key, other, [a for a, _ in spans], [b for _, b in spans], sorted(numbers)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_windows: int = 100_000,
+    return run
+
+
+def _occurrences(texts: DataFrame, tests: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """(key, other, starts, ends, numbers) of ``texts`` (key, other, text): one pass for each block of ``tests``.
+
+    A block has about ``most`` test strings of about ``most_bytes`` together. One block at a time is on the
+    driver, in the broadcast and in the workers.
+    """
+    spark = texts.sparkSession
+    count, size = tests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("test")), F.lit(0))).first()
+    blocks = max(1, -(-count // most), -(-size // most_bytes))
+    path = new_path(spark, "hits")
+    kind = "key long, other long, starts array<long>, ends array<long>, numbers array<long>"
+    for b in range(blocks):
+        part = tests.where(F.pmod(F.xxhash64("test"), F.lit(blocks)) == b).select("number", "test").collect()
+        block = spark.sparkContext.broadcast([(r.number, bytes(r.test)) for r in part])
+        texts.mapInArrow(_search(block), kind).write.mode("append").parquet(path)
+        block.destroy()
+    return spark.read.schema(kind).parquet(removed_at_exit(spark, path))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None, block_windows: int = 100_000, block_bytes: int = 32 << 20,
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``keep`` columns (all by default) of every row, and n_words, n_hit, n_items, item_ids, contaminated.
 
     A word is hit when inside any occurrence of a window of any item. Null and empty texts have no words and
-    are clean; items without an id or without words hit nothing; rows of one item id count as one item.
-    The test strings are broadcast in blocks of ``block_windows`` windows, which bounds a broadcast whatever
-    the benchmark's size: each further block is one more pass over the rows in the same task.
+    are clean; rows without words hit nothing; rows without an item id hit words but are no item; rows of one
+    item id count as one item. Columns of ``docs`` called like a result are replaced. Empty tables of
+    documents give empty ones; with an empty benchmark all are clean.
+
+    The test strings are searched in blocks of ``block_windows``, with one pass over the texts each; what a
+    pass finds is written, and put together by text, so a benchmark of any size needs the memory of a block.
+    Texts are told apart by 128 bits of two hashes; repeated texts are put together as one.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, window, block_windows)]
-
-    def make() -> Callable[[list[list]], list[list]]:
-        matchers = [Matcher(b.value, window) for b in blocks]
-
-        def work(columns: list[list]) -> list[list]:
-            out: list[list] = [[], [], [], [], []]
-            for text in columns[0]:
-                words, spans, items = words_of(text), [], set()
-                for m in matchers:
-                    found, of = m.scan(words)
-                    spans += found
-                    items |= of
-                hit = sum(e - s for s, e in merged(spans))
-                for column, value in zip(out, (len(words), hit, len(items), sorted(items), hit > 0), strict=True):
-                    column.append(value)
-            return out
-
-        return work
-
-    return with_results(docs, [F.col(text_col).cast("binary")], docs.columns if keep is None else keep, make,
-                        "n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
+    cut = written(items.mapInArrow(_cut(window), "item string, test binary").distinct(), "windows")
+    tests = written(cut.select("test").distinct().withColumn("number", F.monotonically_increasing_id()), "tests")
+    owners = written(cut.where("item IS NOT NULL").join(tests, "test").select("number", "item"), "owners")
+    text = F.col(text_col)
+    key, other = F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("other")
+    hits = _occurrences(docs.where(text.isNotNull()).select(key, other, text.cast("binary").alias("text")), tests, block_windows, block_bytes).dropDuplicates(["key", "other", "starts", "numbers"])
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
+    covered = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+                          lambda s, x: F.struct(F.greatest(s["end"], x["ends"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(s["end"], x["starts"]))).alias("n")))
+    hit = hits.groupBy("key", "other").agg(covered["n"].alias("hit"))  # a row for each block
+    named = hits.select("key", "other", F.explode("numbers").alias("number")).join(hinted(owners), "number").groupBy("key", "other").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = written(hit.join(named, ["key", "other"], "left"), "found")
+    results = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), key, other, F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    if is_small(found, _FOUND):
+        told = rows.join(F.broadcast(found), ["key", "other"], "left")
+    else:  # only rows whose bit is on are shuffled
+        flagged = marked(rows, "key", found)
+        absent = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("hit", "items")]
+        told = (flagged.where("marked").drop("marked").join(found, ["key", "other"], "left").select("doc", "n_words", "hit", "items")
+                .unionByName(flagged.where("NOT marked").select("doc", "n_words", *absent)))
+    n_hit, item_ids = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return told.select(*[F.col("doc")[c].alias(c) for c in kept], "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))

@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyflow.llm import oracles
+from tallyflow.llm import decontaminate, oracles
 from tallyflow.llm.decontaminate import contamination
 from tallyflow.llm.registry import op6_decontaminate
 from tests.oracle import assert_same, small
@@ -23,11 +24,11 @@ def brute(texts, items, size):
         w, hit, who = words(t), set(), set()
         for item, text in items:
             i = words(text)
-            for p in {tuple(i[k : k + size]) for k in range(max(1, len(i) - size + 1))} if i and item is not None else ():
+            for p in {tuple(i[k : k + size]) for k in range(max(1, len(i) - size + 1))} if i else ():
                 for s in range(len(w) - len(p) + 1):
                     if tuple(w[s : s + len(p)]) == p:
                         hit |= set(range(s, s + len(p)))
-                        who.add(str(item))
+                        who |= {str(item)} - {"None"}
         out.append((len(w), len(hit), len(who), sorted(who), bool(hit)))
     return out
 
@@ -41,10 +42,38 @@ def test_against_brute_force(spark, block):
     texts = [say(r.randrange(40)) for _ in range(60)] + [None, "", "...", "X, y; Z", "q " * 3000, "É q é Q", say(5), say(5)]
     docs = spark.createDataFrame([(i if i % 7 else None, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(docs.coalesce(1), bench, window=4, block_windows=block).collect()
+    got = contamination(docs.withColumn("k", F.monotonically_increasing_id()).coalesce(1), bench, window=4, block_windows=block).orderBy("k").collect()
     assert [(x.n_words, x.n_hit, x.n_items, x.item_ids, x.contaminated) for x in got] == brute(texts, items, 4)
 
 
+def test_many_found_texts(spark, monkeypatch):
+    found = op6_decontaminate(spark, small("sf0.01"))
+    monkeypatch.setattr(decontaminate, "_FOUND", 0)
+    assert sorted(map(tuple, op6_decontaminate(spark, small("sf0.01")).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    sizes = []
+
+    real = type(spark.sparkContext).broadcast
+    alive = []
+
+    def broadcast(self, value):
+        made = real(self, value)
+        sizes.append(len(value))
+        alive.append(1)
+        gone = made.destroy
+        made.destroy = lambda *a: (alive.pop(), gone(*a))
+        assert len(alive) == 1
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(490, 900))), (2, "w1 w3")], "doc_id long, text string")
+    assert [(x.doc_id, x.n_hit) for x in contamination(docs, bench, window=4, block_windows=100).orderBy("doc_id").collect()] == [(1, 10), (2, 0)]
+    assert len(sizes) == 5 and sum(sizes) == 497 and not alive
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs, bench).count() == 0
