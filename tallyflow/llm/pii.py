@@ -1,4 +1,4 @@
-"""Personal data: exact patterns, and disguised identifiers found in a normalised text.
+"""Personal data: exact patterns, disguised identifiers found in a normalised text, and secrets.
 
 Exact identifiers come from the source text. Disguises are undone by small transducers that rewrite a part
 of the text (look-alike letters and digits, spelled digits, at and dot words) and keep, for every character
@@ -22,6 +22,8 @@ from tallyflow.llm.common import with_results
 # The kinds, in the order in which they are listed, and their patterns. Possessive forms and
 # the look-behind only spare attempts that cannot end otherwise.
 KINDS = ("email", "ip", "card", "phone")
+#: Those and what the method adds besides: assigned secrets and keys.
+ALL_KINDS = (*KINDS, "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -55,12 +57,18 @@ _WORDED = re.compile(rf"[0-9]{_BETWEEN}{_DIGIT_WORD}|{_DIGIT_WORD}{_BETWEEN}(?:[
 _PLUS = re.compile(r"\+|plus[\x20-]+")
 _LETTER = re.compile("[a-z]")
 _TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# An email's parts from where a run of local characters begins; possessive, so each run is read once whatever its length.
 _DISGUISED = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})(\x20{0,2}[\[({<]\x20?at\x20?[\])}>]\x20{0,2}|\x20(?:at|arroba)\x20|\x20?@\x20?)"
-    r"([A-Za-z0-9-]{1,63}(?:(?:\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20{0,2}|\x20(?:dot|punto|punkt)\x20|\.)[A-Za-z0-9-]{1,63}){1,8})")
+    r"(?i)(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])([A-Za-z0-9._%+-]++)(\x20{0,2}[\[({<]\x20?at\x20?[\])}>]\x20{0,2}|\x20(?:at|arroba)\x20|\x20?@\x20?)"
+    r"([A-Za-z0-9-]++(?:(?:\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20{0,2}|\x20(?:dot|punto|punkt)\x20|\.)[A-Za-z0-9-]++)++)")
 _DOT = re.compile(r"(?i)\x20{0,2}[\[({<]\x20?(?:dot|punto|punkt)\x20?[\])}>]\x20{0,2}|\x20(?:dot|punto|punkt)\x20|\.")
 _DOT_WORD = re.compile(r"(?i)[\[({<\x20](?:dot|punto|punkt)[\])}>\x20]")
 _AT_OR_DOT = re.compile(r"(?i)[\[({<\x20]\x20?(?:at|arroba|dot|punto|punkt)\x20?[\])}>\x20]")
+# Names that secrets are assigned to, in lower case, and the formats of well-known keys.
+_NAMES = ("token", "secret", "password", "passwd", "pwd", "key")
+_ASSIGNED = re.compile(r"(?:token|secret|password|passwd|pwd|(?:api|access|auth|private)[_-]?key)[\"']?\x20{0,3}(?:=>|[=:])\x20{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|(?=[a-z+/_.~=-]*[0-9])([a-z0-9+/_.~=-]{12,}+))")
+_KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "AIza")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
 _LOOK_ALIKE_RUN = re.compile(f"[{re.escape(''.join(_LOOK_ALIKE))}{''.join(_HIDDEN)}]")
 
 
@@ -111,7 +119,7 @@ def exact(text: str) -> list[Span]:
 
 
 def _order(s: Span) -> tuple[int, int, int]:
-    return s.start, KINDS.index(s.kind), s.end
+    return s.start, ALL_KINDS.index(s.kind), s.end
 
 
 class Rewriter:
@@ -284,6 +292,16 @@ def _at_and_dot(text: str) -> list[Span]:
     return found
 
 
+def _secrets(plain: str, low: str) -> list[Span]:
+    """Values assigned to a telling name (quoted, or long with a digit), and keys of well-known formats."""
+    found = []
+    if any(name in low for name in _NAMES):
+        found += [Span("secret", *m.span(m.lastindex)) for m in _ASSIGNED.finditer(low)]
+    if any(start in plain for start in _KEY_STARTS):
+        found += [Span("secret", *m.span()) for m in _KEY.finditer(plain)]
+    return found
+
+
 def _folded(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes undone and hidden characters left out, and the source places of its characters where those moved."""
     plain = text.translate(_FOLD)
@@ -308,13 +326,13 @@ def disguised(text: str) -> list[Span]:
     worded = _numbers(low) if _WORDED.search(low) else []
     if _AT_OR_DOT.search(plain):
         worded += _at_and_dot(plain)
-    return found + _placed(worded, places)
+    return found + _placed(worded + _secrets(plain, low), places)
 
 
 def detect(text: str | None) -> tuple[list[Span], list[Span]]:
-    """(exact spans, all spans): a disguised identifier counts unless one of its kind covers it."""
+    """(exact spans, all spans): a disguised identifier counts unless one of its kind covers it; likewise secrets."""
     base = exact(text or "")
-    every, reach = [], dict.fromkeys(KINDS, 0)
+    every, reach = [], dict.fromkeys(ALL_KINDS, 0)
     for s, is_base in sorted([(s, True) for s in base] + [(s, False) for s in disguised(text or "")], key=lambda x: (x[0].start, -x[0].end, not x[1])):
         if is_base or s.end > reach[s.kind]:
             every.append(s)
@@ -330,19 +348,22 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None, text_col: str = "te
     """``keep`` columns (all by default) of every row, and the personal data of its whole text.
 
     n_email, n_ip, n_card, n_phone count exact identifiers; base_sha256 is the digest of their spans; spans
-    has those and the disguised ones as kind:start:end, in code points, end exclusive. Null counts as empty.
+    has those, the disguised ones and secrets as kind:start:end, in code points, end exclusive; n_spans counts
+    them. Null counts as empty, and empty texts have no spans. Every row is read by itself: repeated rows give
+    the same result each, and an empty table gives an empty one. Whole texts are searched, in time that grows
+    with their length. Columns called like a result are replaced.
     """
 
     def make() -> Callable[[list[list]], list[list]]:
         def work(columns: list[list]) -> list[list]:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text in columns[0]:
                 base, every = detect(text)
-                row = [sum(s.kind == k for s in base) for k in KINDS] + [hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)]
+                row = [sum(s.kind == k for s in base) for k in KINDS] + [hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return work
 
-    return with_results(docs, [F.col(text_col)], docs.columns if keep is None else keep, make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_results(docs, [F.col(text_col)], docs.columns if keep is None else keep, make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
