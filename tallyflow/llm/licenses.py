@@ -1,16 +1,19 @@
 """License scans: exact phrases, and notices found with bounded errors.
 
-A notice with at most k edits contains at least one of its k + 1 pieces unchanged. The pieces are searched
-exactly; around each place the regex library matches the whole notice with at most k errors, which verifies
-the edits and gives the span.
+A notice with at most k edits contains at least one of its k + 1 pieces unchanged. The pieces of all notices are
+searched exactly in one pass; around each place the regex library matches the whole notice with at most k errors,
+which verifies the edits and gives the span. Words that tell one licence from another must stand exactly.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,19 +27,69 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Short notices, in words, and their labels.
+# Short notices in words, and their labels. Words in capitals must stand exactly.
 NOTICES = {
     "all rights reserved": "reserved",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
-    "licensed under the apache license": "apache-2.0",
-    "released under the mit license": "mit",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "licensed under the APACHE license": "apache-2.0",
+    "APACHE license version 2 0": "apache-2.0",
+    "MIT license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "BSD license": "bsd",
+    "BSD 2 CLAUSE license": "bsd-2-clause",
+    "BSD 3 CLAUSE license": "bsd-3-clause",
     "redistribution and use in source and binary forms": "bsd",
+    "ISC license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "the software is provided as is": "no-warranty",
+    "this software is provided by the copyright holders and contributors as is": "no-warranty",
     "mozilla public license": "mpl",
-    "creative commons attribution": "cc-by",
-    "licensed under cc by nc": "cc-by-nc",
+    "eclipse public license": "epl",
+    "microsoft public license": "ms-pl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "boost software license": "bsl",
+    "python software foundation license": "psf",
+    "academic free license": "afl",
+    "artistic license 2 0": "artistic",
+    "ZLIB license": "zlib",
+    "SIL open font license": "ofl",
+    "open database license": "odbl",
+    "this is free and unencumbered software": "unlicense",
     "released into the public domain": "public-domain",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons zero": "cc0",
+    "licensed under CC BY": "cc-by",
+    "licensed under CC BY SA": "cc-by-sa",
+    "licensed under CC BY NC": "cc-by-nc",
+    "licensed under CC BY ND": "cc-by-nd",
+    "licensed under CC BY NC SA": "cc-by-nc-sa",
+    "licensed under CC BY NC ND": "cc-by-nc-nd",
+    "licensed under CC0": "cc0",
+    "spdx license identifier MIT": "mit",
+    "spdx license identifier APACHE 2 0": "apache-2.0",
+    "spdx license identifier BSD 2 CLAUSE": "bsd-2-clause",
+    "spdx license identifier BSD 3 CLAUSE": "bsd-3-clause",
+    "spdx license identifier ISC": "isc",
+    "spdx license identifier MPL 2 0": "mpl",
+    "spdx license identifier EPL 2 0": "epl",
+    "spdx license identifier BSL 1 0": "bsl",
+    "spdx license identifier GPL": "gpl",
+    "spdx license identifier LGPL": "lgpl",
+    "spdx license identifier AGPL": "agpl",
+    "spdx license identifier CC0": "cc0",
+    "spdx license identifier CC BY": "cc-by",
+    "spdx license identifier CC BY SA": "cc-by-sa",
+    "spdx license identifier CC BY NC": "cc-by-nc",
+    "spdx license identifier UNLICENSE": "unlicense",
 }
 
 
@@ -48,26 +101,45 @@ class Match(NamedTuple):
     similarity: float
 
 
+class Place(NamedTuple):
+    start: int
+    end: int
+    edits: int
+
+
 class Notice:
     """One notice: its pieces with their places, and the pattern that verifies it."""
 
     def __init__(self, text: str, label: str, error_rate: float) -> None:
-        self.text, self.label = text, label
+        self.text, self.label = text.lower(), label
         self.edits = int(len(text) * error_rate)
         cuts = [len(text) * i // (self.edits + 1) for i in range(self.edits + 2)]
-        self.pieces = [(text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={self.edits}}}(?![^ ])")
-
-    def spans(self, norm: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in bytes of ``norm``, leftmost first and not overlapping."""
-        areas, slack = [], 4 * self.edits + 1  # an edit may be a character of 4 bytes
-        for piece, offset in self.pieces:
-            at = norm.find(piece)
-            while at >= 0:
-                areas.append((max(0, at - offset - slack), at - offset + len(self.text) + slack))
-                at = norm.find(piece, at + 1)
-        found: list[tuple[int, int, int]] = []
-        for start, end in _joined(areas):
+        self.pieces = [(self.text[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        halves = [len(text) * i // (2 * self.edits + 2) for i in range(2 * self.edits + 3)]
+        self.halves = [self.text[a:b].encode() for a, b in zip(halves, halves[1:], strict=False)]
+        self.telling = [f" {w.lower()} ".encode() for w in text.split() if w == w.upper()]
+        self.slack = 4 * self.edits + 1  # an edit may be a character of 4 bytes
+        # Runs of words that must stand exactly, and what is between them, spaces included, with errors.
+        parts = re.findall(r"[A-Z0-9]+(?: [A-Z0-9]+)*|[a-z ]+", text)
+        made = [regex.escape(p, literal_spaces=True) if p.islower() else rf"(?<![^ ]){regex.escape(p.lower(), literal_spaces=True)}(?![^ ])" for p in parts]
+        within = [rf"(?:{m}){{e<={self.edits}}}" if p.islower() else m for m, p in zip(made, parts, strict=True)]
+        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{''.join(within)})(?![^ ])")
+
+    def places(self, norm: bytes, seeds: list[int]) -> list[Place]:
+        """Places in ``norm`` around ``seeds`` (where the notice would begin), not overlapping, leftmost first.
+
+        Of matches that overlap the one with the fewest edits stays, then the first.
+        """
+        found: set[Place] = set()
+        whole = f" {self.text} ".encode()
+        for seed in sorted(set(seeds)):
+            if seed > 0 and norm.startswith(whole, seed - 1):
+                found.add(Place(seed, seed + len(self.text), 0))
+                continue
+            start, end = max(0, seed - self.slack), min(len(norm), seed + len(self.text) + self.slack)
+            # An edit spoils at most one of the half pieces.
+            if any(norm.find(w, start, end) < 0 for w in self.telling) or sum(norm.find(h, start, end) >= 0 for h in self.halves) < self.edits + 2:
+                continue
             while start > 0 and norm[start] & 0xC0 == 0x80:  # not inside a character
                 start -= 1
             while end < len(norm) and norm[end] & 0xC0 == 0x80:
@@ -75,41 +147,63 @@ class Notice:
             area = norm[start:end].decode(errors="ignore")
             for m in self._matches(area, 0, len(area)):
                 a = start + len(area[: m.start()].encode())
-                found.append((a, a + len(m[0].encode()), sum(m.fuzzy_counts)))
-        return found
+                found.add(Place(a, a + len(m[0].encode()), sum(m.fuzzy_counts)))
+        chosen: list[Place] = []
+        for p in sorted(found, key=lambda p: (p.edits, p.start, p.end)):
+            at = bisect_left(chosen, p)
+            if (at == 0 or chosen[at - 1].end <= p.start) and (at == len(chosen) or p.end <= chosen[at].start):
+                insort(chosen, p)
+        return chosen
 
     def _matches(self, area: str, start: int, end: int) -> Iterator[regex.Match]:
-        """The best match, those before it and those behind it, leftmost first."""
+        """The best match of a short area, those before it and those behind it."""
         while end - start >= len(self.text) - self.edits and (m := self.pattern.search(area, start, end)):
             yield from self._matches(area, start, m.start() - 1)  # without the space between
-            yield m
+            if sum(m.fuzzy_counts) <= self.edits:
+                yield m
             start = m.end()
 
 
-def _joined(areas: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(areas):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, error_rate: float = 0.1) -> None:
         self.phrases = [(re.compile(rb"(?<= )" + re.escape(p.encode()) + rb"(?= )"), len(p.split()), label) for p, label in phrases.items()]
         self.rare = [max(p.split(), key=len).encode() for p in phrases]
         self.notices = [Notice(p, label, error_rate) for p, label in notices.items()]
+        uses: dict[str, list[tuple[int, int]]] = {}
+        for n, notice in enumerate(self.notices):
+            for piece, offset in notice.pieces:
+                uses.setdefault(piece, []).append((n, offset))
+        self.seeds = ahocorasick.Automaton()
+        for piece, of in uses.items():
+            self.seeds.add_word(piece, (len(piece), of))
+        self.seeds.make_automaton()
+
+    def notices_in(self, norm: bytes) -> Iterator[tuple[Notice, Place]]:
+        """Every place of every notice in ``norm``, the text's words between single spaces."""
+        around: dict[int, list[int]] = {}
+        for last, (size, of) in self.seeds.iter(norm.decode("latin-1")):  # a character for each byte
+            for n, offset in of:
+                around.setdefault(n, []).append(last + 1 - size - offset)
+        for n, seeds in around.items():
+            for p in self.notices[n].places(norm, seeds):
+                yield self.notices[n], p
 
     def scan(self, text: bytes | None) -> tuple[int, list[Match], list[Match]]:
-        """(number of words, exact phrase places, notices found with errors)."""
+        """(number of words, exact phrase places, notices found with errors and not inside a longer one)."""
         words = (text or b"").translate(WORD_BYTES).split()
         norm = b" " + b" ".join(words) + b" "
-        word_at = lambda p: norm.count(b" ", 0, p) - 1  # noqa: E731  of the word that begins at p
-        base = [Match(label, w := word_at(m.start()), w + n - 1, 0, 1.0)
-                for (pattern, n, label), rare in zip(self.phrases, self.rare, strict=True) if rare in norm for m in pattern.finditer(norm)]
-        fuzzy = [Match(n.label, word_at(a), word_at(b - 1), e, 1 - e / len(n.text)) for n in self.notices for a, b, e in n.spans(norm)]
+        exact = [(m.start(), n, label) for (pattern, n, label), rare in zip(self.phrases, self.rare, strict=True) if rare in norm for m in pattern.finditer(norm)]
+        found = sorted(self.notices_in(norm), key=lambda x: (x[1].start, -x[1].end, x[1].edits, x[0].text))
+        if not exact and not found:
+            return len(words), [], []
+        spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+        word_at = lambda p: int(np.searchsorted(spaces, p)) - 1  # noqa: E731  of the word that p is in
+        base = [Match(label, w := word_at(at), w + n - 1, 0, 1.0) for at, n, label in exact]
+        fuzzy, reach = [], 0
+        for notice, p in found:
+            if p.end > reach:
+                fuzzy.append(Match(notice.label, word_at(p.start), word_at(p.end - 1), p.edits, 1 - p.edits / len(notice.text)))
+                reach = p.end
         return len(words), base, fuzzy
 
 
@@ -118,8 +212,11 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, text_col: str =
 
     n_words; n_base, places of exact phrases; first_word and last_word, their smallest and largest start;
     base_labels and labels (the notices' too), distinct, sorted and comma-joined; score, the best similarity
-    of any match (1 - edits / length, exact phrases 1, none 0); spans of all matches in words. Null and
-    empty texts have no words, empty labels, null first and last words and score 0.
+    of any match (1 - edits / length, exact phrases 1, none 0); spans of all matches in words. A notice inside
+    a longer one that was found doesn't count. Null and empty texts have no words, empty labels, null first
+    and last words and score 0. Every row is read by itself: repeated rows give the same result each, and an
+    empty table gives an empty one. Whole texts are searched, in time that grows with their length and the
+    number of matches. Columns called like a result are replaced.
     """
 
     def make() -> Callable[[list[list]], list[list]]:

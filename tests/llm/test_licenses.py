@@ -1,6 +1,10 @@
+import random
 import re
+import time
 
-from tallyflow.llm.licenses import PHRASES, Scanner, license_scan
+import pytest
+
+from tallyflow.llm.licenses import NOTICES, PHRASES, Scanner, license_scan
 from tallyflow.llm.registry import op7_license_scan
 from tests.oracle import small
 
@@ -45,6 +49,81 @@ def test_every_notice_of_an_area():
     assert len(fuzzy("all rigts reserved " * 300)) == 300
 
 
+CATALOGUE = {
+    "The MIT License (MIT)": "mit", "BSD 3-Clause License": "bsd-3-clause", 'Simplified BSD 2-Clause License': "bsd-2-clause", "ISC License": "isc", "Boost Software License - Version 1.0": "bsl",
+    "Eclipse Public License 2.0": "epl", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    'THE SOFTWARE IS PROVIDED "AS IS"': "no-warranty", "licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "licenced under CC BY-ND": "cc-by-nd",
+    "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa", "Creative Commons Attribution-NonCommercial-NoDerivatives": "cc-by-nc-nd", "Mozilla Public License Version 2.0": "mpl",
+    "GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl", "Apache License, Version 2.0": "apache-2.0", "This is free and unencumbered software": "unlicense",
+}
+
+
+@pytest.mark.parametrize("text", CATALOGUE)
+def test_catalogue(text):
+    _, _, fuzzy = Scanner().scan(f"Foo 1 -- {text}, bar.".encode())
+    assert {m.label for m in fuzzy} == {CATALOGUE[text]}
+
+
+def test_telling_words():
+    for text in ("the NIT license", "licensed under the cache license", "BSD 4 clause license", "licensed under CC BX", "SPDX-License-Identifier: MTI", "is license", "disc license"):
+        assert not Scanner().scan(text.encode())[2], text
+
+
+def distances(notice, words):
+    """Edits of the best span of whole words that begins at each word, telling words exact; by plain dynamic programming."""
+    telling, text, k = [w.lower() for w in notice.split() if w.upper() == w], notice.lower(), int(len(notice) * 0.1)
+    best = None
+    for i in range(len(words)):
+        row, said = list(range(len(text) + 1)), ""
+        for j in range(i, len(words)):
+            for c in (" " if said else "") + words[j]:
+                last, row = row, [row[0] + 1]
+                for x in range(1, len(text) + 1):
+                    row.append(min(last[x] + 1, row[x - 1] + 1, last[x - 1] + (text[x - 1] != c)))
+                said += c
+            if min(row) > k:
+                break
+            if row[-1] <= k and telling_stand(telling, words[i : j + 1]):
+                best = row[-1] if best is None else min(best, row[-1])
+    return best
+
+
+def telling_stand(telling, words):
+    it = iter(words)
+    return all(t in it for t in telling)
+
+
+def test_notices_against_dynamic_programming():
+    r = random.Random(4)
+    scanner = Scanner()
+    found = 0
+    for n in range(250):
+        words = []
+        for _ in range(3):
+            words += [r.choice(["the", "license", "public", "cc", "by", "a", "2", "0", "é", "software"]) for _ in range(r.randrange(3))]
+            said = list(r.choice(list(NOTICES)).lower())
+            for _ in range(r.randrange(5)):
+                at = r.randrange(len(said) + 1)
+                said[at : at + r.randrange(2)] = r.choice(["", "x", "é", " "])
+            words += "".join(said).split()
+        got = {}
+        for notice, place in scanner.notices_in((" " + " ".join(words) + " ").encode()):
+            got[notice.text] = min(got.get(notice.text, 99), place.edits)
+        for notice in NOTICES:
+            want = distances(notice, words)
+            assert got.get(notice.lower()) == want, (notice, words)
+            found += want is not None
+    assert found > 300
+
+
+def test_many_matches_in_one_text():
+    began = time.perf_counter()
+    for text in ("All rights reserved ", "all rigts reserved ", "mit license ", "the software is provided as is "):
+        n, _, fuzzy = Scanner().scan((text * 20000).encode())
+        assert len(fuzzy) == 20000 and fuzzy[-1].last_word == n - 1
+    assert time.perf_counter() - began < 60
+
+
 def test_edges(spark):
     long = "word " * 200000 + "All rights reserved"
     rows = [(1, None), (2, ""), (None, "cc by"), (4, long), (4, long), (5, "All rights reserved " * 500)]
