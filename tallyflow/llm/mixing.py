@@ -71,9 +71,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     goal = goal.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = written(goal.withColumn("rest", F.floor(F.col("target") - F.col("repeats") * F.col("source_size"))).withColumnRenamed("source", "of_source"), "targets")
+    # Sums of the buckets before, over all sources in order: a source's own begin with its first bucket.
+    buckets = written(_running(buckets, [F.col("source").asc_nulls_last(), "bucket"], {"words_before": F.col("words")}), "buckets")
+    starts = buckets.groupBy(F.col("source").alias("start_source")).agg(F.min("words_before").alias("start"))
+    goal = written(goal.join(starts, goal["of_source"].eqNullSafe(starts["start_source"])).drop("start_source"), "targets")
     of_source = lambda df: df.join(hinted(goal), df["source"].eqNullSafe(goal["of_source"]))
-    # A source's buckets are at most _DRAWS / _BUCKET rows.
-    filled = of_source(buckets).withColumn("before", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    filled = of_source(buckets).withColumn("before", F.col("words_before") - F.col("start"))
     ends = filled.where("before <= rest AND rest < before + words").select(F.col("of_source").alias("end_source"), F.col("bucket").alias("end_bucket"), "before")
     goal = written(goal.join(ends, goal["of_source"].eqNullSafe(ends["end_source"]), "left").drop("end_source"), "targets")
     placed = of_source(sized).withColumn("bucket", F.expr(f"draw div {_BUCKET}"))
