@@ -12,8 +12,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
-#: Words of a text whose A-Z are lower-cased, found without doing that.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BITS = 1 << 24
 _SLICE = 512
 

@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import WORD_BYTES, WORDS, marked
+from tallyflow.llm.common import WORD_BYTES, marked, with_results
 from tallyflow.sources.shared import hinted, is_small, new_path, removed_at_exit, written
 
 Words = tuple[bytes, ...]
@@ -128,6 +128,10 @@ def _search(block: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
+def _word_counts(columns: list[list]) -> list[list]:
+    return [[len(words_of(t)) for t in columns[0]]]
+
+
 def _occurrences(texts: DataFrame, tests: DataFrame, most: int, most_bytes: int) -> DataFrame:
     """(key, other, starts, ends, numbers) of ``texts`` (key, other, text): one pass for each block of ``tests``.
 
@@ -175,7 +179,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     found = written(hit.join(named, ["key", "other"], "left"), "found")
     results = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), key, other, F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), key, other, text.cast("binary").alias("text"))
+    rows = with_results(whole, [F.col("text")], ["doc", "key", "other"], lambda: _word_counts, "n_words long")
     if is_small(found, _FOUND):
         told = rows.join(F.broadcast(found), ["key", "other"], "left")
     else:  # only rows whose bit is on are shuffled
