@@ -1,7 +1,7 @@
 """Main text of pages by a recurrent block labeller.
 
 A page is a sequence of leaf blocks. Each block is read as a vector of its tag path (hashed tags and names),
-a vector of its words (hashed) and a few numbers; a bidirectional LSTM in numpy passes over the sequence, so
+a vector of its words (hashed) and a few numbers, of itself and of the part of the page it stands in; a bidirectional LSTM in numpy passes over the sequence, so
 that every block is classified with the whole document as context. The weights are learned once on the driver
 from made-up labelled pages, and broadcast; their size is fixed.
 """
@@ -22,7 +22,8 @@ from tallyflow.llm.common import with_results
 from tallyflow.llm.html_blocks import Block, blocks
 from tallyflow.llm.html_samples import page as sample_page
 
-PATHS, WORDS, EMBEDDED, HIDDEN, NUMBERS = 2048, 1024, 16, 20, 5
+PATHS, WORDS, EMBEDDED, HIDDEN, NUMBERS = 2048, 1024, 16, 20, 9
+_PARTS = frozenset("article aside body dialog div footer form header main nav section".split())
 _AT_ONCE = 4096  # blocks of a batch of pages, to bound the arrays
 
 
@@ -45,6 +46,22 @@ def numbers(b: Block) -> list[float]:
     return [min(2.0, np.log1p(n) / 5), b.linked / n, float(b.text[-1] in ".!?"), sum(map(b.text.count, "0123456789")) / n, min(2.0, np.log1p(b.text.count(" ")) / 3)]
 
 
+def _region(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path down to its innermost part of the page."""
+    at = next((i for i in range(len(path) - 1, -1, -1) if path[i].partition(" ")[0] in _PARTS), -1)
+    return path[: at + 1]
+
+
+def regions(page: list[Block]) -> np.ndarray:
+    """For each block, of the part of the page that it stands in: whether it goes on, its share of the text and of the blocks, and its share of linked text."""
+    names: dict[tuple[str, ...], int] = {}
+    of = np.array([names.setdefault(_region(b.path), len(names)) for b in page])
+    size, linked = np.array([len(b.text) for b in page], float), np.array([b.linked for b in page], float)
+    text = np.bincount(of, size)
+    goes_on = np.concatenate([[0.0], of[1:] == of[:-1]])
+    return np.stack([goes_on, (text / size.sum())[of], (np.bincount(of) / len(of))[of], (np.bincount(of, linked) / text)[of]], 1)
+
+
 class Prepared(NamedTuple):
     """A page's blocks as hashed ids, one after another, with the places where each block's begin."""
 
@@ -60,7 +77,7 @@ def prepared(page: list[Block]) -> Prepared:
     paths, words = [path_ids(b.path) for b in page], [word_ids(b.text) for b in page]
     counts = np.array([*map(len, words)])
     return Prepared(np.concatenate(paths), np.cumsum([0, *map(len, paths)])[:-1], np.fromiter(chain.from_iterable(words), np.int64, counts.sum()), np.cumsum([0, *counts])[:-1],
-                    counts.astype(np.float32), np.array([numbers(b) for b in page], np.float32))
+                    counts.astype(np.float32), np.concatenate([np.array([numbers(b) for b in page]), regions(page)], 1).astype(np.float32))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,7 +175,7 @@ def _gradients(net: Labeller, x: np.ndarray, mask: np.ndarray, y: np.ndarray) ->
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 2000, epochs: int = 6, seed: int = 11, pages_at_once: int = 25, rate: float = 0.01) -> Labeller:
+def trained(n_pages: int = 4000, epochs: int = 6, seed: int = 11, pages_at_once: int = 25, rate: float = 0.01) -> Labeller:
     """Learns from ``n_pages`` made-up pages (a bound that no corpus changes); the same weights every time."""
     rng = np.random.default_rng(seed)
     net = Labeller(seed)
@@ -203,11 +220,14 @@ def trained(n_pages: int = 2000, epochs: int = 6, seed: int = 11, pages_at_once:
     return net
 
 
-def extract(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html", n_pages: int = 2000) -> DataFrame:
+def extract(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html", n_pages: int = 4000) -> DataFrame:
     """``keep`` columns (all by default) of every row, text and n_chars (code points).
 
     The text is that of all blocks labelled as the article's, in page order, one a line. Null and empty html,
-    and pages without an article, give an empty text and 0.
+    and pages without an article, give an empty text and 0. Every row is read by itself: repeated rows give the
+    same result each, and an empty table gives an empty one. Whole pages are read, in time that grows with
+    their length. Columns called text or n_chars are replaced. The first call of a driver trains the labeller
+    (about a minute); later ones reuse it.
     """
     net = pages.sparkSession.sparkContext.broadcast(trained(n_pages))
 

@@ -20,6 +20,7 @@ ADVERTS = ["<div class='ad'>", "<div class='ads'>", "<div class='advert'>", "<di
 FORMS = ["<form>", "<form class='search'>", "<form id='login'>", "<form action='/s' class='signup'>", "<fieldset>"]
 COMMENTS = ["<section class='comments'>", "<div id='comments'>", "<ol class='comment-list'>", "<div class='comment'>", "<div id='disqus_thread'>", "<div class='reader-comments'>", "<section id='responses'>", "<div class='replies'>", "<ul class='discussion'>", "<article class='comment'>"]
 SHARES = ["<div class='share'>", "<div class='social'>", "<ul class='tags'>", "<div class='toolbar'>", "<div class='share-buttons'>"]
+INSIDE = [("<math><mi>", "</mi></math>"), ("<object>", "</object>"), ("<svg><title>", "</title></svg>"), ("<noscript>", "</noscript>")]
 BOILER_WORDS = "home menu login register search subscribe newsletter privacy terms cookies accept contact about share tweet comment reply comments advertisement sponsored copyright rights reserved related more read next previous sign up follow us email password submit close".split()
 
 
@@ -27,13 +28,14 @@ class _Writer:
     def __init__(self, rng: np.random.Generator) -> None:
         self.rng, self.html, self.labels = rng, [], []
         self.syllables = ["".join(rng.choice(list("aeioubcdfghklmnprstvéèüñó"), rng.integers(1, 4))) for _ in range(40)]
-        self.opaque = rng.random() < 0.15
+        self.opaque = rng.random() < 0.3
         self.junk = str(rng.choice(["", "", "", "", "###", "!!", " |", "&amp;&amp;", "***"]))
 
     def words(self, n: int, boiler: float = 0.0) -> str:
         r = self.rng
-        out = [str(r.choice(BOILER_WORDS)) if r.random() < boiler else "".join(r.choice(self.syllables, r.integers(1, 4))) for _ in range(n)]
-        return " ".join(out)
+        sizes, told = r.integers(1, 4, n), r.random(n) < boiler
+        syllables = iter(r.integers(0, len(self.syllables), sizes.sum()).tolist())
+        return " ".join(BOILER_WORDS[r.integers(len(BOILER_WORDS))] if common else "".join(self.syllables[next(syllables)] for _ in range(size)) for size, common in zip(sizes.tolist(), told.tolist(), strict=True))
 
     def prose(self, n: int) -> str:
         text = self.words(n) if self.rng.random() < 0.93 else " ".join([self.words(1)] * n)
@@ -42,6 +44,9 @@ class _Writer:
         if self.rng.random() < 0.2:
             at = text.find(" ")
             text = f"{text[: at + 1]}<b>{text[at + 1 :]}</b>" if at > 0 else f"<i>{text}</i>"
+        elif self.rng.random() < 0.02:
+            start, end = INSIDE[self.rng.integers(len(INSIDE))]
+            text += f" {start}{self.words(2)}{end}"
         return text.capitalize() + str(self.rng.choice([".", ".", ".", "", "!", "?"]))
 
     def opened(self, choices: list[str]) -> tuple[str, str]:
