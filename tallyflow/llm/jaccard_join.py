@@ -7,9 +7,10 @@ exactly.
 
 So that the trees fit into tasks, sets meet in cells. A pair of the wanted similarity shares some of the first
 shingles, about a third of each set's, in any common order; the order here has those that many sets share last.
-The sets of like size that share such a shingle go to one cell; a set with too few of them goes nowhere. In a cell
-everything is held against a pivot, then what isn't linked to it against the rest; pairs already connected are
-not looked at, as only the components matter. Large cells are cut into chunks of bounded size.
+The sets of like size that share such a shingle go to one cell; a set with too few of them goes nowhere. Many cells
+of like set size together make a chunk of bounded size, with one tree over all its sets; a large cell makes several
+chunks. A cell's pivot searches the tree, then what isn't linked to the pivot does; pairs already connected are not
+verified, as only the components matter.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.components import components
 from tallyflow.llm.shingles import digest, shingle_sets
-from tallyflow.sources.shared import written
+from tallyflow.sources.shared import hinted, written
 
 _COUNTED = 1 << 21  # shingles that are counted together
 _HEAVY, _HEAVY_MOST = 64, 200_000
+_HOT = 50_000  # sets of a token that are not brought together
+_MANY = 1000  # members of a cell that are not brought together
 _CHUNK = 400_000  # shingles of a chunk
 _STRETCH = 1 << 20
 _BITS = 1 << 24
@@ -101,30 +104,38 @@ class _Sets:
         return i != k
 
 
-def chunk_links(sets: list[np.ndarray], probes: range, others: range) -> tuple[list[tuple[int, int]], _Sets]:
-    """(links that connect what wasn't connected, union-find) between ``probes`` and ``others`` of a chunk.
+def chunk_links(sets: list[np.ndarray], cells: list[list[int]], probes: list[int], others: int) -> tuple[list[tuple[int, int]], _Sets]:
+    """(links that connect what wasn't connected, union-find) of the sets of a chunk.
 
-    Set 0 comes first and is held against all; a probe then skips what it is connected with.
+    The first ``others`` sets are in the tree. Of each cell the first set, its pivot, searches it, then every
+    member that isn't connected with the pivot; ``probes`` search it in any case. No set searches twice.
     """
     found: list[tuple[int, int]] = []
     known = _Sets(len(sets))
     sizes = np.array([*map(len, sets)])
+    points = points_of(sets)
+    tree = RTree(points[:others], sizes[:others])
+    done: set[int] = set()
 
-    def verify(i: int, among: np.ndarray) -> None:
+    def search(i: int) -> None:
+        if i in done:
+            return
+        done.add(i)
         mine = known.find(i)
-        among = np.array([k for k in among.tolist() if known.find(k) != mine], np.int64)
+        among = np.array([k for k in tree.search(points[i], sizes[i]).tolist() if known.find(k) != mine], np.int64)
         if len(among):
             good = _linked(overlaps(sets[i], [sets[k] for k in among]), sizes[i], sizes[among])
             for k in among[good].tolist():
                 if known.join(i, k):
                     found.append((i, k))
 
-    verify(0, np.array([k for k in others if k]))
-    points = points_of(sets)
-    tree = RTree(points[others.start : others.stop], sizes[others.start : others.stop])
+    for pivot, *members in cells:
+        search(pivot)
+        for i in members:
+            if known.find(i) != known.find(pivot):
+                search(i)
     for i in probes:
-        if known.find(i) != known.find(0):
-            verify(i, tree.search(points[i], sizes[i]) + others.start)
+        search(i)
     return found, known
 
 
@@ -166,8 +177,10 @@ def _describe(batches: Batches) -> Batches:
         yield counted()
 
 
-def _prefixes(heavy: Broadcast) -> Callable[[Batches], Batches]:
-    """Rows (token, size and rank, node): the first shingles of each set in the common order, heavy ones last.
+def _prefixes(heavy: Broadcast, hot: Broadcast, only_hot: bool) -> Callable[[Batches], Batches]:
+    """Rows (token, mark, node): the first shingles of each set in the common order, heavy ones last.
+
+    Either those of the ``hot`` tokens or the others; the mark is the set's class or size, and its rank.
 
     Of n shingles the first n - 3n/4 + k, so that linked sets share at least the smaller k of theirs. Sets
     mostly of heavy shingles rank first: the text that a group of copies comes from names its cell.
@@ -186,16 +199,29 @@ def _prefixes(heavy: Broadcast) -> Callable[[Batches], Batches]:
                     seen.add(node)
                 is_heavy = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~is_heavy], s[is_heavy]])[: len(s) - _needed(len(s)) + _shared_least(len(s))]
+                if only_hot or len(hot.value):
+                    first = first[np.isin(first, hot.value) == only_hot]
                 tokens.append(first)
                 lengths.append(len(first))
                 nodes.append(node)
-                marks.append(len(s) << 8 | 100 - int(100 * is_heavy.mean()))
+                marks.append((int(np.searchsorted(_CLASSES, len(s), "right")) if only_hot else len(s)) << 8 | 100 - int(100 * is_heavy.mean()))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(marks, np.int64), lengths)), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], names=["token", "mark", "node"])
 
     return run
 
 
+def _classes() -> list[int]:
+    """The smallest sizes of classes of sets; sets that may link are of one class or of neighbours."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(4 * out[-1] // 3 + 1)
+    return out
+
+
+_CLASSES = _classes()
+
+
 def _needed(n: int) -> int:
     """The smallest set that a set of ``n`` can link with, and the least that they have in common: 3n/4, rounded up."""
     return (3 * n + 3) // 4
@@ -271,47 +297,54 @@ def _wanted_sets(bits: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
-def _grouped(batches: Batches) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows sorted by their first three columns, as groups of those; one group at a time is in memory."""
+def _grouped(batches: Batches) -> Iterator[list[tuple]]:
+    """The rest of rows sorted by their first three columns, as groups of those; one group at a time is in memory."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:3] != key:
                 if rows:
-                    yield key, rows
+                    yield rows
                 key, rows = row[:3], []
             rows.append(row[3:])
     if rows:
-        yield key, rows
+        yield rows
 
 
 def _join_chunks(batches: Batches) -> Batches:
-    """Groups of (role, chunks, node, shingles) to rows (a, b, cell, alone).
+    """Groups of (cell, role, chunks, node, shingles) to rows (a, b, cell, alone).
 
-    Roles: 0 the pivot, 1 a member, 2 a probe from another chunk. Links have a and b; in a cell of several
-    chunks a member that isn't connected with the pivot gives a row with itself as a, and ``alone``.
+    Roles: 0 the pivot of a cell, 1 a member, 2 a probe from another chunk. Links have a and b; in a cell of
+    several chunks a member that isn't connected with the pivot gives a row with itself as a, and ``alone``.
     """
-    for (cell, _, _), rows in _grouped(batches):
-        rows.sort(key=lambda r: (r[0], r[2]))
-        nodes = [r[2] for r in rows]
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        probing = sum(r[0] == 2 for r in rows)
-        if probing:  # members first, probes behind them; no pivot here
-            members = len(rows) - probing
-            if not members:
-                continue
-            found, _ = chunk_links(sets, range(members, len(rows)), range(0, members)) if members else ([], None)
-            alone: list[int] = []
-        else:
-            found, known = chunk_links(sets, range(1, len(rows)), range(0, len(rows)))
-            alone = [i for i in range(1, len(rows)) if rows[i][1] > 1 and known.find(i) != known.find(0)]
-        a, b = [nodes[i] for i, _ in found] + [nodes[i] for i in alone], [nodes[k] for _, k in found] + [None] * len(alone)
+    for rows in _grouped(batches):
+        roles = {r[1] for r in rows}
+        probing = 2 in roles
+        if roles in ({1}, {2}):  # another chunk's rest has nothing to meet here
+            continue
+        rows.sort(key=lambda r: (r[1] == 2, r[0], r[1], r[3]))  # probes behind all others; a cell's pivot first
+        place: dict[int, int] = {}
+        sets, cells, of_cell, others = [], [], {}, 0
+        for cell, role, chunks, node, shingles in rows:
+            if node not in place:
+                place[node] = len(sets)
+                sets.append(np.frombuffer(shingles, np.uint64))
+                others += role < 2
+            if role < 2 and not probing:
+                if cell not in of_cell:
+                    of_cell[cell] = chunks
+                    cells.append([])
+                cells[-1].append(place[node])
+        found, known = chunk_links(sets, cells, [place[r[3]] for r in rows if r[1] == 2], others)
+        nodes = list(place)
+        alone = [(i, cell) for members, (cell, chunks) in zip(cells, of_cell.items(), strict=True) if chunks > 1 for i in members[1:] if known.find(i) != known.find(members[0])]
+        a, b = [nodes[i] for i, _ in found] + [nodes[i] for i, _ in alone], [nodes[k] for _, k in found] + [None] * len(alone)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([cell] * len(a), pa.int64()), pa.array([False] * len(found) + [True] * len(alone))], names=["a", "b", "cell", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + [c for _, c in alone], pa.int64()), pa.array([False] * len(found) + [True] * len(alone))], names=["a", "b", "cell", "alone"])
 
 
 def _joined(text: DataFrame, places: DataFrame) -> DataFrame:
-    """Runs the chunks of ``places`` (cell, chunk, part, role, chunks, node), with their sets made again from the texts.
+    """Runs the chunks of ``places`` (of, chunk, part, cell, role, chunks, node), with their sets made again from the texts.
 
     The texts are not shuffled: a bit map of fixed size tells the tasks which sets are wanted.
     """
@@ -322,8 +355,8 @@ def _joined(text: DataFrame, places: DataFrame) -> DataFrame:
     for m in maps:  # at most _BITS / 32768 rows
         bits[m.page * 4096 : m.page * 4096 + 4096] = m.bits
     sets = text.mapInArrow(_wanted_sets(spark.sparkContext.broadcast(bytes(bits))), "node long, shingles binary").dropDuplicates(["node"])
-    key = ["cell", "chunk", "part"]
-    rows = places.join(sets, "node").select(*key, "role", "chunks", "node", "shingles").repartition(*key).sortWithinPartitions(*key)
+    key = ["of", "chunk", "part"]
+    rows = places.join(sets, "node").select(*key, "cell", "role", "chunks", "node", "shingles").repartition(*key).sortWithinPartitions(*key)
     return written(rows.mapInArrow(_join_chunks, "a long, b long, cell long, alone boolean"), "links")
 
 
@@ -331,13 +364,34 @@ def _slice_of(node: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(node), parts)
 
 
-def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[int]) -> DataFrame:
-    """(a, b) links that connect all linked sets of ``text`` (one binary column); ``sets`` has (node, size)."""
+def _hot_cells(text: DataFrame, heavy: Broadcast, hot: Broadcast) -> DataFrame:
+    """(node, cell, shared) by the ``hot`` tokens, which may be in a third of all sets, without bringing a token's sets together.
+
+    Sets are held with their class of size and the next. The first set in rank of a token and class, a minimum
+    that combines before the shuffle, names the cell.
+    """
+    rows = written(text.mapInArrow(_prefixes(heavy, hot, True), "token long, mark long, node long"), "hot")
+    kind = F.expr("mark div 256")
+    held = rows.select("token", "node", F.expr("mark % 256").alias("rank"), F.explode(F.array(kind, kind + 1)).alias("class"))
+    names = held.groupBy("token", "class").agg(F.min(F.struct("rank", "node")).alias("first"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    named = held.join(hinted(written(names.select("token", "class", F.col("first.node").alias("cell")), "names")), ["token", "class"])
+    return named.groupBy("node", "cell").agg(F.count_distinct("token", "class").alias("shared"))
+
+
+def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[tuple[int, int]]) -> DataFrame:
+    """(a, b) links that connect all linked sets of ``text`` (one binary column); ``sets`` has (node, size).
+
+    ``heavy`` has the tokens of many sets and how often they were counted; it orders, and routes the hot ones.
+    """
     spark = text.sparkSession
-    known = spark.sparkContext.broadcast(np.sort(np.array(heavy, np.int64).view(np.uint64)))
-    tokens = text.mapInArrow(_prefixes(known), "token long, mark long, node long")
+    known = spark.sparkContext.broadcast(np.sort(np.array([t for t, _ in heavy], np.int64).view(np.uint64)))
+    hot = spark.sparkContext.broadcast(np.array([t for t, n in heavy if n >= _HOT], np.int64).view(np.uint64))
+    tokens = text.mapInArrow(_prefixes(known, hot, False), "token long, mark long, node long")
     runs = tokens.repartition("token").sortWithinPartitions("token", "mark", "node")
-    pairs = written(runs.mapInArrow(_cells, "node long, cell long, shared long").groupBy("node", "cell").agg(F.sum("shared").alias("shared")), "pairs")
+    pairs = runs.mapInArrow(_cells, "node long, cell long, shared long")
+    if len(hot.value):
+        pairs = pairs.unionByName(_hot_cells(text, known, hot))
+    pairs = written(pairs.groupBy("node", "cell").agg(F.sum("shared").alias("shared")), "pairs")
     # A set that shares fewer tokens than any set it could link with must have in common links with none. Two
     # linked sets have that many in common; if either leaves the cells where it shares least, up to less than
     # half of that number, a cell is left where they meet.
@@ -345,10 +399,19 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[int]) -> DataFra
     of_node = W.partitionBy("node")
     ranked = pairs.join(sets, "node").select("*", F.sum("shared").over(of_node).alias("all_shared"), F.sum("shared").over(of_node.orderBy("shared", "cell").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("up_to"))
     pairs = written(ranked.where((F.col("all_shared") >= least) & (F.col("up_to") > (least - 1) / 2)).select("node", "cell", "shared", "size"), "pairs")
-    chunks = (pairs.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members"))
-              .where("members > 1").drop("members"))
-    members = pairs.join(chunks, "cell").where("node <> pivot").select("cell", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), F.lit(1).alias("role"), "chunks", "node", "size")
-    pivots = chunks.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("role"), "chunks", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("size"))
+    cells = pairs.groupBy("cell").agg(F.sum("size").alias("shingles"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    cells = cells.withColumn("chunks", F.ceil(F.col("shingles") / _CHUNK)).withColumn("class", F.when(F.col("chunks") == 1, F.floor(F.log2(F.col("shingles") / F.col("members")))))
+    cells = written(cells, "cells")
+    # Cells of one chunk share chunks with others of their class; there are at most some 60 classes.
+    shared = cells.where("class IS NOT NULL").groupBy(F.col("class").alias("of_class")).agg(F.ceil(F.sum("shingles") / _CHUNK).alias("together"))
+    cells = written(cells.join(F.broadcast(shared), F.col("class") == F.col("of_class"), "left").withColumn(
+        "of", F.when(F.col("class").isNull(), F.col("cell")).otherwise(F.xxhash64("class", F.pmod(F.xxhash64("cell"), F.col("together"))))).select("cell", "of", "pivot", "chunks", "members"), "cells")
+    # The rows of cells of many members don't go to one task each: there are few such cells.
+    many, few = cells.where(F.col("members") > _MANY), cells.where(F.col("members") <= _MANY)
+    of_many = hinted(many)
+    rows = pairs.join(of_many, "cell").unionByName(pairs.join(of_many.select("cell"), "cell", "left_anti").join(few, "cell"))
+    members = rows.where("node <> pivot").select("of", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(1).alias("role"), "chunks", "node", "size")
+    pivots = cells.select("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(0).alias("role"), "chunks", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("size"))
     places = written(members.unionByName(pivots), "places")
     first = _joined(text, places.drop("size"))
     links = first.where("NOT alone").select("a", "b")
@@ -356,13 +419,15 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[int]) -> DataFra
     if alone.isEmpty():
         return links
     # The rest of the large cells: what isn't connected with the pivot meets the cell's other chunks.
-    alone = alone.join(places.where("role = 1"), ["cell", "node"])
+    large = places.where("role = 1 AND chunks > 1").drop("part")
+    alone = written(alone.join(large, ["cell", "node"]), "alone")
     parts = alone.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("parts"))
     all_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    targets = places.where("role = 1").join(parts, "cell").select("cell", "chunk", all_parts, "role", "chunks", "node")
+    parts = hinted(written(parts, "parts"))
+    targets = large.join(parts, "cell").select("of", "chunk", all_parts, "cell", "role", "chunks", "node")
     probes = alone.join(parts, "cell").withColumn("own", F.col("chunk")).select(
-        "cell", "own", _slice_of(F.col("node"), F.col("parts")).alias("part"), "chunks", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).where("own <> chunk")
-    more = written(targets.unionByName(probes.select("cell", "chunk", "part", F.lit(2).alias("role"), "chunks", "node")), "places")
+        "cell", "of", "own", _slice_of(F.col("node"), F.col("parts")).alias("part"), "chunks", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).where("own <> chunk")
+    more = written(targets.unionByName(probes.select("of", "chunk", "part", "cell", F.lit(2).alias("role"), "chunks", "node")), "places")
     return links.unionByName(_joined(text, more).select("a", "b"))
 
 
@@ -373,7 +438,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component's id is the smallest id of its rows. Rows with equal sets are of one component and are joined
     as one. Null and texts without words have no shingles, link with nothing, and keep their own id; null
     ids are never the smallest. Sets and shingles are told apart by 64-bit hashes. Every row is joined: no
-    group is capped, and the broadcasts (heavy shingles, which only order; a bit map) have fixed bounds.
+    group is capped, and the broadcasts (heavy shingles, which only order and route; a bit map) have fixed
+    bounds. Other columns are not read. An empty table gives an empty one.
     """
     found = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
     return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
@@ -387,7 +453,7 @@ def _components(docs: DataFrame) -> DataFrame:
     rows = told.where("token IS NULL").select("id", "size", "node")
     heavy = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= _HEAVY).orderBy(F.desc("times"), "token").limit(_HEAVY_MOST)
     sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.max("size").alias("size"), F.min("id").alias("first_id"))
-    links = jaccard_links(text, sets.select("node", "size"), [r.token for r in heavy.collect()])
+    links = jaccard_links(text, sets.select("node", "size"), [(r.token, r.times) for r in heavy.collect()])
     roots = components(links)
     labelled = sets.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     labels = labelled.join(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")

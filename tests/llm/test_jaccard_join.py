@@ -6,7 +6,7 @@ import pytest
 
 from tallyflow.llm import jaccard_join, oracles
 from tallyflow.llm.components import components
-from tallyflow.llm.jaccard_join import RTree, jaccard_components, overlaps, points_of
+from tallyflow.llm.jaccard_join import RTree, chunk_links, jaccard_components, overlaps, points_of
 from tallyflow.llm.registry import op8_jaccard_join
 from tallyflow.llm.shingles import shingle_sets
 from tests.oracle import assert_same, small
@@ -62,9 +62,11 @@ def texts(seed, families=12, copies=25):
     return out
 
 
-@pytest.mark.parametrize("chunk", [400_000, 700])
-def test_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "hot", "many"), [(400_000, 50_000, 1000), (700, 50_000, 3), (700, 5, 1000), (5000, 4, 3)])
+def test_against_brute_force(spark, monkeypatch, chunk, hot, many):
     monkeypatch.setattr(jaccard_join, "_CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "_HOT", hot)
+    monkeypatch.setattr(jaccard_join, "_MANY", many)
     monkeypatch.setattr(jaccard_join, "_HEAVY", 4)
     rows = list(enumerate(texts(chunk)))
     random.Random(1).shuffle(rows)
@@ -76,6 +78,30 @@ def test_against_brute_force(spark, monkeypatch, chunk):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_classes_of_sets_that_link():
+    for n in [*range(1, 3000), 10**6, 10**9 + 7]:
+        at, most = (np.searchsorted(jaccard_join._CLASSES, m, "right") for m in (n, 4 * n // 3))
+        assert at <= most <= at + 1
+
+
+def test_chunk_of_many_cells():
+    r = np.random.default_rng(3)
+    sets, cells = [], []
+    for _ in range(40):
+        base = np.unique(r.integers(0, 2**64, r.integers(20, 60), dtype=np.uint64))
+        first = len(sets)
+        for _ in range(r.integers(2, 7)):
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) < 0.93], r.integers(0, 2**64, 2, dtype=np.uint64)])))
+        cells.append(list(range(first, len(sets))))
+    found, known = chunk_links(sets, cells, [], len(sets))
+    for members in cells:
+        for i in members:
+            for k in members:
+                if 7 * len(np.intersect1d(sets[i], sets[k])) >= 3 * (len(sets[i]) + len(sets[k])):
+                    assert known.find(i) == known.find(k)
+    assert found and all(7 * len(np.intersect1d(sets[i], sets[k])) >= 3 * (len(sets[i]) + len(sets[k])) for i, k in found)
+
+
 def test_bound_never_loses_a_pair():
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 2**64, 300, dtype=np.uint64))
