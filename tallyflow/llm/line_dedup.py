@@ -4,18 +4,30 @@ Two lines within ``edits`` edits of each other: if one is cut into edits + 1 seg
 stands unchanged in the other, near the same place. So every line gives index keys (its length, a segment's
 number and text) and probe keys (for each length it may meet, the substrings at the places where that
 length's segments can stand). Lines that share a key are verified by a banded bit-parallel edit distance.
+
+A segment may stand in very many lines, such as an opening that all lines of a log have. Lines of such a key are
+cut finer instead: of p segments all but ``edits`` stand unchanged, so a key of p - edits segments in their places
+will do, and it goes beyond what the lines have in common. What the finest cut leaves in large groups is compared
+in blocks, over many tasks.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from itertools import combinations, product
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.sources.shared import written
+from tallyflow.llm.common import marked
+from tallyflow.sources.shared import hinted, written
 
-_BITS = 1 << 24
+_HOT = 1000  # rows of a key beyond which its lines are cut finer
+_CHOICES = 100  # kinds of index keys of a line, at most, in a cut after the first finer one
+_BLOCK = 2000  # rows of a block of what is still in large groups
+_SAMPLED, _SAMPLE_HOT = 64, 32  # one in so many lines shows which keys are hot from the start, by so many rows
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,22 +114,39 @@ def _keys(edits: int) -> tuple[list[Column], list[Column]]:
     return index, probe
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, row, line_no, line, h) of every line of at least ``min_chars``, spaces at its ends taken off."""
-    told = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
-    return told.select("id", "row", "line_no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+def _fine_specs(edits: int, pieces: int) -> list[tuple[int, int, bool, list[tuple[int, int, int]]]]:
+    """(length that the line has more, number of the choice, whether it is an index key, runs of kept segments as first, end and shift)."""
+    specs = []
+    for number, out in enumerate(combinations(range(pieces), edits)):
+        ends = [(a + 1, b) for a, b in zip((-1, *out), (*out, pieces), strict=True)]
+        seen = set()
+        for moves in product(range(-edits, edits + 1), repeat=edits):  # what each segment left out adds to the length
+            more = sum(moves)
+            if more < 0 or sum(map(abs, moves)) > edits:
+                continue
+            runs = tuple((a, b, sum(moves[:i])) for i, (a, b) in enumerate(ends) if a < b)
+            if (more, runs) not in seen:
+                seen.add((more, runs))
+                specs.append((more, number, not any(moves) or not (more or any(shift for _, _, shift in runs)), list(runs)))
+    return specs
+
+
+def _fine_keys(lines: DataFrame, edits: int, pieces: int) -> DataFrame:
+    """(h, key, indexed) of ``lines`` (h, line): keys of all but ``edits`` of ``pieces`` segments."""
+    made = [{"more": more, "number": number, "indexed": indexed, "runs": [{"a": a, "b": b, "shift": shift} for a, b, shift in runs]} for more, number, indexed, runs in _fine_specs(edits, pieces)]
+    specs = F.from_json(F.lit(json.dumps(made)), "array<struct<more: int, number: int, indexed: boolean, runs: array<struct<a: int, b: int, shift: int>>>>")
+    told = lines.select("h", "line", F.length("line").alias("n"), F.explode(specs).alias("s")).withColumn("m", F.expr("n - s.more"))
+    start, end = f"(m * r.a) div {pieces} + r.shift", f"(m * r.b) div {pieces} + r.shift"
+    fits = told.where(F.expr(f"m > 0 AND forall(s.runs, r -> {start} >= 0 AND {end} <= n)"))
+    key = F.expr(f"aggregate(s.runs, xxhash64(m, s.number), (k, r) -> xxhash64(k, substring(line, cast({start} as int) + 1, cast({end} - ({start}) as int))))")
+    return fits.select("h", key.alias("key"), "s.indexed").groupBy("h", "key").agg(F.max("indexed").alias("indexed"))
 
 
-def _marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lines`` with ``marked``: whether the bit of their hash is on in a map made of ``wanted`` (h).
-
-    The map is a table of at most _BITS / 64 words, which bounds its broadcast; bits that are on for other
-    hashes only let some more lines through.
-    """
-    bit = F.pmod("h", F.lit(_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    placed = lines.withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
-    return placed.join(F.broadcast(words), "word", "left").withColumn("marked", F.coalesce(F.expr("shiftrightunsigned(bits, cast(bit % 64 as int)) & 1L"), F.lit(0)) == 1).drop("bit", "word", "bits")
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, row, line_no, line, h, g) of every line of at least ``min_chars``, spaces at its ends taken off; h and g are hashes."""
+    told = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw"))
+    long = told.select("id", "row", "line_no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).where(F.length("line") >= min_chars)
+    return long.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def _mark(line: Column) -> Column:
@@ -130,31 +159,85 @@ def _mark(line: Column) -> Column:
     return _let(F.split(line, ""), parities)
 
 
-def near_earlier(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """(h) of the distinct lines that have a line within ``edits`` edits whose first place comes before theirs.
-
-    ``firsts`` has the first place and the number of occurrences (h, first, times) of every line. One earlier
-    line is enough, so the join is a semi join: a group of many lines near each other gives a row each, not
-    their pairs, and the search for a line ends with the first that is found.
-    """
+def _first_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, k) of ``lines`` (h, line): keys of one of edits + 1 segments; the last bit tells index keys from probe keys."""
     index, probe = _keys(edits)
-    told = _marked(lines.select("h", "line"), firsts.where("times > 1").select("h"))
-    once = told.where("NOT marked").select("h", "line").unionByName(told.where("marked").select("h", "line").dropDuplicates(["h"]))
-    # One number a row: the last bit of a key tells index keys from probe keys.
     keys = [k.bitwiseOR(F.lit(1).cast("long")) for k in index] + [k.bitwiseAND(F.lit(-2).cast("long")) for k in probe]
-    keyed = once.select("h", "line", F.length("line").cast("long").alias("n")).select("h", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").repartition(F.expr("k & -2L"))
-    # Most keys are of one line. The window keeps the rows of the others without making pairs.
-    active = keyed.selectExpr("h", "k & -2L AS key", "(k & 1L) = 1 AS indexed").selectExpr("h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index")
-    active = written(active.where("least <> most AND any_index").groupBy("h", "key").agg(F.max("indexed").alias("indexed")), "keys")
-    members = active.select("h").distinct()
-    texts = _marked(lines.select("h", "line"), members).where("marked").select("h", "line").dropDuplicates(["h"])
-    texts = written(texts.join(firsts.select("h", "first"), "h").withColumn("mark", _mark(F.col("line"))), "lines")
-    full = active.join(texts, "h")
-    later = full.select("key", F.col("h").alias("x"), F.col("line").alias("a"), F.col("first").alias("a_first"), F.col("mark").alias("a_mark"), F.col("indexed").alias("a_indexed"))
-    earlier = full.select("key", F.col("line").alias("b"), F.col("first").alias("b_first"), F.col("mark").alias("b_mark"), F.col("indexed").alias("b_indexed"))
-    linked = ((later["key"] == earlier["key"]) & (F.col("b_first") < F.col("a_first")) & (F.col("a_indexed") | F.col("b_indexed"))
+    return lines.select("h", "line", F.length("line").cast("long").alias("n")).select("h", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL")
+
+
+def _grouped(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, key, indexed) to the rows whose key is of several lines, with their number: those of few, and those of more than ``_HOT``.
+
+    The counts combine before the shuffle, and the rows of hot keys stay where they are.
+    """
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("indexed").alias("any_index")).where("times > 1 AND any_index").drop("any_index")
+    counts = written(counts, "counts")
+    hot = hinted(counts.where(F.col("times") > _HOT))
+    rest = keyed.join(hot.select("key"), "key", "left_anti").join(counts.where(F.col("times") <= _HOT), "key")
+    return rest.select("h", "key", "indexed"), keyed.join(hot, "key")
+
+
+def _linked(full: DataFrame, edits: int, also: list[str]) -> DataFrame:
+    """(h, g) of the lines that have a near earlier one among those of their key (and of equal ``also``)."""
+    later = full.select("key", *also, F.col("h").alias("x"), "g", F.col("line").alias("a"), F.col("first").alias("a_first"), F.col("mark").alias("a_mark"), F.col("indexed").alias("a_indexed"))
+    earlier = full.select("key", *also, F.col("line").alias("b"), F.col("first").alias("b_first"), F.col("mark").alias("b_mark"), F.col("indexed").alias("b_indexed"))
+    if also:  # a row meets every block as a later line, and stands in its own as an earlier one
+        later = later.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        earlier = earlier.withColumn("other", F.col("own")).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    same = later["key"] == earlier["key"]
+    for c in ("own", "other") if also else ():
+        same &= later[c] == earlier[c]
+    linked = (same & (F.col("b_first") < F.col("a_first")) & (F.col("a_indexed") | F.col("b_indexed"))
               & (F.bit_count(F.col("a_mark").bitwiseXOR(F.col("b_mark"))) <= 4 * edits) & (edit_distance(F.col("a"), F.col("b"), edits) <= edits))
-    return later.join(earlier, linked, "left_semi").select(F.col("x").alias("h")).distinct()
+    return later.join(earlier, linked, "left_semi").select(F.col("x").alias("h"), "g").distinct()
+
+
+def near_earlier(lines: DataFrame, firsts: DataFrame, sample: DataFrame, edits: int) -> DataFrame:
+    """(h, g) of the distinct lines that have a line within ``edits`` edits whose first place comes before theirs.
+
+    ``firsts`` has the first place and the number of occurrences (h, g, first, times) of every line, ``sample``
+    some of the lines (h, line). One earlier line is enough, so the join is a semi join: a group of many lines
+    near each other gives a row each, not their pairs, and the search for a line ends with the first that is
+    found. The sample only tells which keys take the other way from the start; no key is left out.
+    """
+    told = marked(lines.select("h", "g", "line"), "h", firsts.where("times > 1").select("h"))
+    once = told.where("NOT marked").select("h", "line").unionByName(told.where("marked").dropDuplicates(["h", "g"]).select("h", "line"))
+    keyed = _first_keys(once, edits)
+    often = written(_first_keys(sample.dropDuplicates(["h"]), edits).groupBy(F.expr("k & -2L").alias("key")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= _SAMPLE_HOT).select("key"), "often")
+    hot_lines: list[DataFrame] = []
+    if not often.isEmpty():
+        known = hinted(often)
+        hot_lines.append(keyed.join(known, F.expr("k & -2L") == known["key"], "left_semi").select("h").distinct())
+        keyed = keyed.join(known, F.expr("k & -2L") == known["key"], "left_anti")
+    # Most keys are of one line. The window keeps the rows of the others without making pairs.
+    told = keyed.repartition(F.expr("k & -2L")).selectExpr("h", "k & -2L AS key", "(k & 1L) = 1 AS indexed").selectExpr(
+        "h", "key", "indexed", "min(h) OVER (PARTITION BY key) AS least", "max(h) OVER (PARTITION BY key) AS most", "max(indexed) OVER (PARTITION BY key) AS any_index", "count(1) OVER (PARTITION BY key) AS times")
+    active = written(told.where("least <> most AND any_index").groupBy("h", "key").agg(F.max("indexed").alias("indexed"), F.max("times").alias("times")), "keys")
+    groups = [active.where(F.col("times") <= _HOT).select("h", "key", "indexed")]
+    if not active.where(F.col("times") > _HOT).isEmpty():
+        hot_lines.append(active.where(F.col("times") > _HOT).select("h"))
+    large = None
+    for pieces in (2 * (edits + 1), 4 * (edits + 1)):
+        if not hot_lines or large is not None and comb(pieces, edits) > _CHOICES:
+            break
+        hot = written(hot_lines[0].unionByName(hot_lines[1]).distinct() if len(hot_lines) > 1 else hot_lines[0].distinct(), "hot-lines")
+        finer = marked(lines.select("h", "line"), "h", hot).where("marked").select("h", "line").dropDuplicates(["h"]).join(hot, "h", "left_semi")
+        few, large = _grouped(written(_fine_keys(finer, edits, pieces), "fine-keys"))
+        groups.append(written(few, "keys"))
+        large = written(large, "large")
+        hot_lines = [] if large.isEmpty() else [large.select("h")]
+    active = groups[0]
+    for more in groups[1:]:
+        active = active.unionByName(more)
+    members = active.select("h") if large is None else active.select("h").unionByName(large.select("h"))
+    texts = marked(lines.select("h", "g", "line"), "h", members).where("marked").select("h", "g", "line").dropDuplicates(["h", "g"])
+    texts = written(texts.join(firsts.select("h", "g", "first"), ["h", "g"]).withColumn("mark", _mark(F.col("line"))), "lines")
+    near = _linked(active.join(texts, "h"), edits, [])
+    if large is None or large.isEmpty():
+        return near
+    blocks = F.ceil(F.col("times") / _BLOCK)
+    return near.unionByName(_linked(large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).join(texts, "h"), edits, ["blocks", "own"])).distinct()
 
 
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,18 +247,19 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str
     stay. A line goes when an equal line, or one within ``edits`` edits, comes before it: in a smaller id
     (null ids last), or earlier in the same text. The first of equal lines so stays unless a near line comes
     before. Rows that repeat an id are told apart by their texts; rows that repeat both are one. Null text
-    stays null with no lines. Columns called n_lines or n_dropped are replaced. Lines and texts are told
-    apart by 64-bit hashes; near lines are verified by their characters.
+    stays null with no lines. Columns called n_lines or n_dropped are replaced. Lines are told apart by 128
+    bits of two hashes, texts of one id by 64; near lines are verified by their characters. An empty table
+    gives an empty one.
     """
     if edits < 1 or min_chars <= edits:
         raise ValueError("at least one edit, and lines longer than the edits")
     lines = _lines(docs, id_col, text_col, min_chars)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row", "line_no")
-    occurring = written(lines.select("h", place.alias("place")), "occurring")
-    firsts = written(occurring.groupBy("h").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
-    near = near_earlier(lines, firsts, edits).withColumn("near", F.lit(True))
-    touched = written(firsts.join(near, "h", "left").where("times > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near")), "touched")
-    gone = occurring.join(touched, "h").where(F.col("near") | (F.col("place") > F.col("first")))
+    occurring = written(lines.select("h", "g", place.alias("place"), F.when(F.pmod("h", F.lit(_SAMPLED)) == 0, F.col("line")).alias("line")), "occurring")
+    firsts = written(occurring.groupBy("h", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")), "firsts")
+    near = near_earlier(lines, firsts, occurring.where("line IS NOT NULL").select("h", "line"), edits).withColumn("near", F.lit(True))
+    touched = written(firsts.join(near, ["h", "g"], "left").where("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "touched")
+    gone = occurring.drop("line").join(touched, ["h", "g"]).where(F.col("near") | (F.col("place") > F.col("first")))
     dropped = gone.select("place.id", "place.row", "place.line_no").groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_dropped"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     others = F.struct(*[F.col(f"`{c}`") for c in rest if c != text_col])

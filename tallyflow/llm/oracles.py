@@ -57,3 +57,22 @@ c(r, reached) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON e.a
 SELECT d.doc_id, COALESCE(ANY_VALUE(n.size), 0) AS n_shingles, MIN(t.doc_id) AS component_id
 FROM c JOIN d ON d.r = c.r JOIN d t ON t.r = c.reached LEFT JOIN n ON n.r = c.r GROUP BY d.r, d.doc_id
 """
+
+# DuckDB's levenshtein counts bytes, so characters are renamed to those of one byte; a corpus of over 127 different
+# characters would need another way.
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line, ROW_NUMBER() OVER (ORDER BY doc_id, i) AS pos FROM n),
+f AS (SELECT line, length(line) AS size, MIN(pos) AS first_pos FROM l WHERE length(line) >= 20 GROUP BY line),
+c AS (SELECT c, ROW_NUMBER() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(string_split(line, '')) AS c FROM f)),
+m AS (SELECT string_agg(c, '' ORDER BY k) AS chars, string_agg(chr(k::INT), '' ORDER BY k) AS bytes FROM c),
+b AS (SELECT line, size, first_pos, translate(line, chars, bytes) AS code FROM f, m),
+s AS (SELECT *, code[1 : size // 3] AS s1, code[size // 3 + 1 : 2 * size // 3] AS s2, code[2 * size // 3 + 1 : size] AS s3, unnest(range(size - 2, size + 3)) AS meets FROM b),
+near AS (SELECT DISTINCT x.line FROM s x JOIN b y ON y.size = x.meets AND y.first_pos < x.first_pos
+         WHERE (contains(y.code, x.s1) OR contains(y.code, x.s2) OR contains(y.code, x.s3)) AND levenshtein(x.code, y.code) <= 2),
+g AS (SELECT l.doc_id, l.i, l.raw, f.first_pos IS NOT NULL AND (l.pos > f.first_pos OR near.line IS NOT NULL) AS gone
+      FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.line = l.line),
+k AS (SELECT doc_id, COALESCE(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped FROM g GROUP BY doc_id)
+SELECT doc_id, k.text, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -84,6 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": oracles.MIX,
     "op3_warc_zip": oracles.WARC,
     "op4_exact_dedup": oracles.EXACT_DEDUP,
+    "op5_line_dedup": oracles.LINE_DEDUP,
     "op6_decontaminate": oracles.DECONTAMINATE,
     "op8_jaccard_join": oracles.JACCARD,
 }

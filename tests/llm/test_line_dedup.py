@@ -4,7 +4,11 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.llm.line_dedup import edit_distance, line_dedup
+from tallyflow.llm import line_dedup as line_dedup_module
+from tallyflow.llm import oracles
+from tallyflow.llm.line_dedup import _fine_specs, edit_distance, line_dedup
+from tallyflow.llm.registry import op5_line_dedup
+from tests.oracle import assert_same, small
 
 
 def levenshtein(a, b):
@@ -46,8 +50,10 @@ def brute(rows, edits, least):
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_against_brute_force(spark, edits):
+@pytest.mark.parametrize(("edits", "hot", "block", "sampled"), [(1, 1000, 2000, 64), (2, 1000, 2000, 64), (2, 3, 2, 10**9), (2, 2, 2, 2), (1, 2, 3, 1)])
+def test_against_brute_force(spark, monkeypatch, edits, hot, block, sampled):
+    for name, value in (("_HOT", hot), ("_BLOCK", block), ("_SAMPLED", sampled), ("_SAMPLE_HOT", 3 if sampled < 10 else 32)):
+        monkeypatch.setattr(line_dedup_module, name, value)
     r = random.Random(edits)
     base = ["".join(r.choice("abcde f") for _ in range(r.randrange(6, 26))).strip() or "x" for _ in range(12)]
 
@@ -66,6 +72,45 @@ def test_against_brute_force(spark, edits):
     assert all(got[k].n_lines - got[k].n_dropped == (len(got[k].text.split("\n")) if got[k].text or got[k].n_lines > got[k].n_dropped else 0) for k, (_, t) in enumerate(rows) if t is not None)
 
 
+@pytest.mark.parametrize(("edits", "pieces"), [(1, 4), (2, 6), (2, 12)])
+def test_fine_keys_meet(edits, pieces):
+    """Lines within ``edits`` edits share a fine key, made here as in the docstring."""
+    specs, r = _fine_specs(edits, pieces), random.Random(pieces)
+
+    def keys(line, indexed):
+        out = set()
+        for more, number, is_index, runs in specs:
+            m = len(line) - more
+            places = [(m * a // pieces + shift, m * b // pieces + shift) for a, b, shift in runs]
+            if is_index >= indexed and m > 0 and all(a >= 0 and b <= len(line) for a, b in places):
+                out.add((m, number, *(line[a:b] for a, b in places)))
+        return out
+
+    for _ in range(800):
+        x = "".join(r.choice("abc") for _ in range(r.randrange(20, 45)))
+        y = list(x)
+        for _ in range(r.randrange(1, edits + 1)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randrange(2)] = r.choice(["", "x", "a"])
+        short, long = sorted((x, "".join(y)), key=len)
+        assert keys(short, True) & keys(long, False), (x, y)
+
+
+def test_common_openings_and_templates(spark):
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    lines = [f"2024-01-01 INFO server started request {say(20)}" for _ in range(2500)]
+    lines += [f"{say(10)} the template of very many lines {say(10)} ends" for _ in range(2500)]
+    near = [x[:-3] + "##" + x[-2:] for x in r.sample(lines, 50)]
+    rows = list(enumerate(lines + near))
+    got = {x.doc_id: x.text for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[i] == t for i, t in rows[:5000]) and all(got[i] == "" for i, _ in rows[5000:])
+
+
+def test_sql(spark):
+    assert_same(op5_line_dedup(spark, small("sf0.01")), oracles.LINE_DEDUP, small("sf0.01"))
+
+
 def test_repeated_rows_and_long_texts(spark):
     long = "\n".join(f"line number {i:06d} of many lines" for i in range(0, 3000 * 1111, 1111))
     passage = "this passage is well over twenty characters long"
