@@ -19,12 +19,19 @@ def to_bank(text: Column) -> Column:
 
 
 def to_timestamp(text: Column) -> Column:
-    """``yyyy/MM/dd H:mm`` in the session time zone (UTC); null when malformed."""
-    return F.try_to_timestamp(text, F.lit("yyyy/MM/dd H:mm"))
+    """``yyyy/MM/dd H:mm`` in UTC, whatever the session's time zone; null when malformed."""
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyy/MM/dd H:mm xx"))
+
+
+def utc_day(ts: Column) -> Column:
+    """The date in UTC, whatever the session's time zone."""
+    micros, day = F.unix_micros(ts), F.lit(86_400_000_000)
+    return F.date_from_unix_date(((micros - F.pmod(micros, day)) / day).cast("int"))
 
 
 def two_decimals(amount: Column) -> Column:
-    return F.format_string("%.2f", amount)
+    """Text with two decimals; null for null."""
+    return F.when(amount.isNotNull(), F.format_string("%.2f", amount))
 
 
 def to_usd(amount: Column, rate: Column) -> Column:

@@ -9,6 +9,7 @@ from tallyflow.params import Period
 
 
 def inside(period: Period, column: str = "ts") -> Column:
+    """Both ends are instants: neither the machine's time zone nor the session's moves them."""
     return F.col(column).between(F.lit(period.start), F.lit(period.end))
 
 
@@ -29,5 +30,5 @@ def by_format(txn: DataFrame, formats: tuple[str, ...]) -> DataFrame:
 
 
 def tag_period(txn: DataFrame, first: Period, second: Period) -> DataFrame:
-    """Adds ``period`` 1 or 2; where both hold the first wins, rows in neither go."""
-    return txn.withColumn("period", F.when(inside(first), 1).when(inside(second), 2)).where("period IS NOT NULL")
+    """Adds ``period`` 1 or 2; where both hold the first wins, rows in neither go (already at the scan)."""
+    return txn.where(inside(first) | inside(second)).withColumn("period", F.when(inside(first), 1).otherwise(2))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.sources.shared import hinted, written
+
 EDGE = ["from_bank", "account", "to_bank", "to_account"]
 SOURCE, TARGET = EDGE[:2], EDGE[2:]
 
@@ -23,15 +25,27 @@ def pruned(edge: DataFrame, key: list[str], least: int) -> DataFrame:
     return edge.join(degrees(edge, key, least).drop("degree"), key, "left_semi")
 
 
-def path_counts(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(origin, destination, n): n distinct intermediaries, as edges are distinct. Loops count like any path."""
+def path_counts(first: DataFrame, second: DataFrame, hub: int | None = None) -> DataFrame:
+    """(origin, destination, n): n distinct intermediaries, as edges are distinct. Loops count like any path.
+
+    The edges into an intermediary that has over ``hub`` of them are dealt into parts by their origins, and
+    those out of it are repeated for each part, so that no task has to make all paths through it.
+    """
     left = first.select(F.col("from_bank").alias("bank"), "account", F.col("to_bank").alias("mid_bank"), F.col("to_account").alias("mid"))
     right = second.select(F.col("from_bank").alias("mid_bank"), F.col("account").alias("mid"), "to_bank", "to_account")
-    return left.join(right, ["mid_bank", "mid"]).groupBy("bank", "account", "to_bank", "to_account").agg(F.count(F.lit(1)).alias("n"))
-
-
-def scatter_gather(edge: DataFrame, least: int, prune: bool = True) -> DataFrame:
-    """Origins with ``least`` intermediaries to one destination."""
+    mid = ["mid_bank", "mid"]
+    hubs = left.groupBy(*mid).agg(F.ceil(F.count(F.lit(1)) / hub).alias("parts")).where("parts > 1") if hub else None
+    if hubs is not None and not hubs.isEmpty():
+        hubs = hinted(written(hubs, "hubs"))
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        left = left.join(hubs, mid, "left").withColumn("part", F.pmod(F.xxhash64("bank", "account"), parts)).drop("parts")
+        right = right.join(hubs, mid, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        mid.append("part")
+    return left.join(right, mid).groupBy("bank", "account", "to_bank", "to_account").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter_gather(edge: DataFrame, least: int, prune: bool = True, hub: int = 10_000) -> DataFrame:
+    """Origins with ``least`` intermediaries to one destination. ``edge`` is read several times: written edges are made once."""
     first = pruned(edge, SOURCE, least) if prune else edge
     second = pruned(edge, TARGET, least) if prune else edge
-    return path_counts(first, second).where(F.col("n") >= least).select("bank", "account").distinct()
+    return path_counts(first, second, hub).where(F.col("n") >= least).select("bank", "account").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.scalars import to_usd
+from tallyflow.functions.scalars import to_usd, utc_day
 
 
 def with_bank_name(df: DataFrame, banks: DataFrame, unknown: str) -> DataFrame:
@@ -20,6 +20,6 @@ def below_average(candidates: DataFrame, averages: DataFrame, divisor: float) ->
 
 def with_usd(txn: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds ``usd``; rows without a rate, or with rate 0, go."""
-    day = txn.withColumn("rate_date", F.to_date("ts"))
+    day = txn.withColumn("rate_date", utc_day(F.col("ts")))
     dim = rates.where("rate <> 0").select("rate_date", F.col("currency").alias("payment_currency"), "rate")
     return day.join(dim, ["rate_date", "payment_currency"]).withColumn("usd", to_usd(F.col("amount"), F.col("rate")))

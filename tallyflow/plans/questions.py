@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from tallyflow.operators import aggregates, filters, graph, joins
 from tallyflow.params import Params
+from tallyflow.sources.shared import written
 from tallyflow.sources.sinks import write_csv
 
 
@@ -22,15 +23,16 @@ def q2(txn: DataFrame, banks: DataFrame, p: Params) -> DataFrame:
 
 def q3(txn: DataFrame, p: Params) -> DataFrame:
     """Payments far below the earlier average of their format."""
-    tagged = filters.tag_period(filters.by_currency(txn, p.currency), p.average_period, p.candidate_period)
-    averages = aggregates.average_by_format(tagged.where("period = 1"))
-    return joins.below_average(tagged.where("period = 2"), averages, p.average_divisor).select("account", "amount", "amount_text")
+    paid = filters.by_currency(txn, p.currency)
+    averages = aggregates.average_by_format(filters.in_period(paid, p.average_period))
+    candidates = filters.in_period(paid, p.candidate_period).where(~filters.inside(p.average_period))
+    return joins.below_average(candidates, averages, p.average_divisor).select("account", "amount", "amount_text")
 
 
 def q4(txn: DataFrame, p: Params, prune: bool = True) -> DataFrame:
     """Origins of scatter-gather patterns."""
     usd = filters.in_period(filters.by_currency(txn, p.currency), p.graph_period)
-    return graph.scatter_gather(graph.edges(usd), p.min_intermediaries, prune)
+    return graph.scatter_gather(written(graph.edges(usd), "edges"), p.min_intermediaries, prune)
 
 
 def q5(txn: DataFrame, rates: DataFrame, p: Params) -> DataFrame:
@@ -39,11 +41,14 @@ def q5(txn: DataFrame, rates: DataFrame, p: Params) -> DataFrame:
     return aggregates.row_count(filters.below(joins.with_usd(wanted, rates), "usd", p.converted_amount))
 
 
-def run_all(txn: DataFrame, banks: DataFrame, rates: DataFrame, p: Params, folder: str) -> dict[str, str]:
-    """All five, written as CSV. The common subset of one currency is kept between the actions."""
+def run_all(txn: DataFrame, banks: DataFrame, rates: DataFrame, p: Params, folder: str, quarantined: DataFrame | None = None) -> dict[str, str]:
+    """All five, written as CSV, and beside them the rows that could not be read. The common subset of one currency is kept between the actions."""
     usd = filters.by_currency(txn, p.currency).persist()
     try:
         results = {"q1": q1(usd, p), "q2": q2(usd, banks, p), "q3": q3(usd, p), "q4": q4(usd, p), "q5": q5(txn, rates, p)}
-        return {name: write_csv(name, df, folder) for name, df in results.items()}
+        paths = {name: write_csv(name, df, folder) for name, df in results.items()}
+        if quarantined is not None:
+            paths["quarantine"] = write_csv("quarantine", quarantined, folder)
+        return paths
     finally:
         usd.unpersist()

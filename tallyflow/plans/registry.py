@@ -9,11 +9,14 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.functions.scalars import to_amount, to_bank, to_timestamp, two_decimals
 from tallyflow.operators import aggregates, filters, graph, joins
 from tallyflow.params import Params, Period
 from tallyflow.plans import questions
 from tallyflow.sources import rates as fx
-from tallyflow.sources.tables import testdata_banks, testdata_transactions
+from tallyflow.sources.shared import new_path, removed_at_exit
+from tallyflow.sources.sinks import write_csv
+from tallyflow.sources.tables import read_banks_csv, read_transactions_csv, testdata_banks, testdata_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,8 +69,58 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sales_below(s: SparkSession, d: str) -> DataFrame:
     sales = _sales(s, d)
-    early = aggregates.average_by_format(sales.where("l_shipdate < timestamp'1995-01-01'"))
-    return joins.below_average(sales.where("l_shipdate >= timestamp'1995-01-01'"), early, 20.0).select("account", "payment_format", "amount")
+    early = aggregates.average_by_format(sales.where("l_shipdate < timestamp'1998-01-01'"))
+    return joins.below_average(sales.where("l_shipdate >= timestamp'1998-01-01'"), early, 20.0).select("account", "payment_format", "amount")
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The transactions written as CSV of clients' form, to the minute, and read back: (transactions, quarantined rows).
+
+    Accounts ending in 7 have a bank, and those ending in 3 an amount, that can't be read.
+    """
+    minute = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy/MM/dd H:mm").alias("ts")
+    bank = F.when(F.col("account").endswith("7"), "x").otherwise(F.concat(F.lit("00"), F.col("from_bank").cast("string")))
+    amount = F.when(F.col("account").endswith("3"), "n/a").otherwise(F.col("amount_text"))
+    path = new_path(spark, "csv")
+    _txn(spark, sf_dir).select(minute, bank, "account", "to_bank", "to_account", F.lit("1"), F.lit("x"), amount, "payment_currency", "payment_format").write.option("header", True).csv(path)
+    return read_transactions_csv(spark, removed_at_exit(spark, path))
+
+
+def _csv_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` as accounts of banks in CSV, twice each with another name, read back."""
+    path = new_path(spark, "csv")
+    nation = testdata_banks(spark, sf_dir).select(F.explode(F.array("bank_name", F.concat("bank_name", F.lit(" AG")))).alias("name"), F.col("bank_id").cast("string"), F.lit("1"), F.lit("2"), F.lit("3"))
+    nation.toDF("name", "bank", "a", "b", "c").write.option("header", True).csv(path)
+    return read_banks_csv(spark, removed_at_exit(spark, path))
+
+
+def _through_csv(name: str, schema: str) -> Query:
+    """A question from CSV in to CSV out, its result file read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        txn = _csv(spark, sf_dir)[0]
+        ask = {"q1": lambda: questions.q1(txn, P), "q2": lambda: questions.q2(txn, _csv_banks(spark, sf_dir), P), "q3": lambda: questions.q3(txn, P), "q4": lambda: questions.q4(txn, P),
+               "q5": lambda: questions.q5(txn, _rates(spark), P)}
+        path = write_csv(name, ask[name](), new_path(spark, "results"))
+        return spark.read.schema(schema).option("header", True).csv(removed_at_exit(spark, path))
+
+    return run
+
+
+_TEXTS = ["1", "007", "+5", "1.50", " 2", "x", "", "1e3", ".5", "-3", "2022/09/01 0:20", "2022/09/01 13:05", "2022/13/01 0:20"]
+
+
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversions of texts, good and bad."""
+    text = F.col("text")
+    return spark.createDataFrame([(t,) for t in _TEXTS], "text string").select(
+        "text", to_amount(text).alias("amount"), to_bank(text).alias("bank"), F.unix_seconds(to_timestamp(text)).alias("seconds"), two_decimals(to_amount(text)).alias("written"))
+
+
+def _parsed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a rate service as the dimension table."""
+    body = '[{"quote": "EUR", "rate": 0.5}, {"quote": "XXX", "rate": 3}, {"quote": "JPY", "rate": 140}]'
+    return fx.from_rows(spark, [r for day in (date(2022, 9, 2), date(2022, 9, 6)) for r in fx.parse(day, body)])
 
 
 _SHOWN = ["account", "to_account", "amount"]
@@ -105,6 +158,16 @@ QUERIES: dict[str, Query] = {
     "global_count": lambda s, d: aggregates.row_count(_txn(s, d)),
     "union_tagged_inputs": lambda s, d: (_usd(s, d).select(F.col("from_bank").alias("bank"), F.lit("payment").alias("kind"))
                                          .unionByName(testdata_banks(s, d).select(F.col("bank_id").alias("bank"), F.lit("name").alias("kind")))),
+    "csv_transactions": lambda s, d: _csv(s, d)[0].select("ts", "from_bank", "account", "to_bank", "to_account", "amount", "payment_currency", "payment_format"),
+    "csv_quarantine": lambda s, d: _csv(s, d)[1].groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n")),
+    "csv_banks": _csv_banks,
+    "csv_q1": _through_csv("q1", "account string, to_account string, amount double"),
+    "csv_q2": _through_csv("q2", "bank_name string, account string, amount double"),
+    "csv_q3": _through_csv("q3", "account string, amount double"),
+    "csv_q4": _through_csv("q4", "bank int, account string"),
+    "csv_q5": _through_csv("q5", "count long"),
+    "scalar_conversions": _scalars,
+    "parsed_rates": _parsed_rates,
     "supplier_max_lineitem": lambda s, d: aggregates.largest_per_bank(_sales(s, d)).select("from_bank", "account", "amount"),
     "lineitem_below_average": _sales_below,
 }
@@ -146,6 +209,9 @@ def _below(divisor: int) -> str:
             f"SELECT u.account, u.amount FROM usd u JOIN th USING (payment_format) WHERE {_P2} AND u.amount < threshold")
 
 
+_READABLE = "FROM usd WHERE NOT (account LIKE '%7' OR account LIKE '%3')"
+_FROM_CSV = """SELECT date_trunc('minute', ts) AS ts, from_bank, account, to_bank, to_account, CASE WHEN account NOT LIKE '%3' THEN amount END AS amount, payment_currency, payment_format
+FROM txn WHERE account NOT LIKE '%7'"""
 _ORIGINS = "SELECT DISTINCT bank, account FROM p WHERE n >= {k}"
 
 ORACLE_SQL: dict[str, str] = {k: _TXN + v for k, v in {
@@ -179,11 +245,24 @@ ORACLE_SQL: dict[str, str] = {k: _TXN + v for k, v in {
     "currency_convert": _USD_AMOUNT,
     "converted_amount_filter": _USD_AMOUNT + " AND amount / rate < 1.0",
     "global_count": "SELECT COUNT(*) AS count FROM txn",
+    "csv_transactions": f"SELECT ts::TIMESTAMPTZ AS ts, * EXCLUDE (ts) FROM ({_FROM_CSV})",
+    "csv_quarantine": "SELECT account, CASE WHEN account LIKE '%7' THEN 'row' ELSE 'amount' END AS reason, COUNT(*) AS n FROM txn WHERE account LIKE '%7' OR account LIKE '%3' GROUP BY ALL",
+    "csv_banks": "SELECT bank_id, bank_name FROM banks",
+    "csv_q1": "SELECT account, to_account, amount FROM usd WHERE amount < 50 AND NOT (account LIKE '%7' OR account LIKE '%3')",
+    "csv_q2": f"SELECT COALESCE(bank_name, 'Unknown Bank') AS bank_name, account, amount FROM ({_BEST.replace('FROM usd', _READABLE)}) LEFT JOIN banks ON bank_id = from_bank",
+    "csv_q3": _below(100).replace("FROM usd WHERE", f"{_READABLE} AND").replace("FROM usd u", f"FROM (SELECT * {_READABLE}) u"),
+    "csv_q4": ", paid AS (SELECT * FROM usd WHERE account NOT LIKE '%7')" + _edge_sql(_P1).replace("FROM usd", "FROM paid") + _PATHS.format(l="e", r="e") + _ORIGINS.format(k=3),
+    "csv_q5": f"SELECT COUNT(*) AS count FROM (SELECT * FROM txn WHERE NOT (account LIKE '%7' OR account LIKE '%3')) JOIN rates ON currency = payment_currency WHERE {_P1} AND payment_format IN ('Wire', 'ACH') AND rate <> 0 AND amount / rate < 1.0",
     "union_tagged_inputs": "SELECT from_bank AS bank, 'payment' AS kind FROM usd UNION ALL SELECT bank_id, 'name' FROM banks",
 }.items()} | {
+    "scalar_conversions": """SELECT * FROM (VALUES ('1', 1.0::DOUBLE, 1, NULL::BIGINT, '1.00'), ('007', 7, 7, NULL, '7.00'), ('+5', 5, 5, NULL, '5.00'), ('1.50', 1.5, NULL, NULL, '1.50'), (' 2', NULL, NULL, NULL, NULL),
+  ('x', NULL, NULL, NULL, NULL), ('', NULL, NULL, NULL, NULL), ('1e3', 1000, NULL, NULL, '1000.00'), ('.5', 0.5, NULL, NULL, '0.50'), ('-3', -3, -3, NULL, '-3.00'), ('2022/09/01 0:20', NULL, NULL, 1661991600, NULL),
+  ('2022/09/01 13:05', NULL, NULL, 1662037500, NULL), ('2022/13/01 0:20', NULL, NULL, NULL, NULL)) t(text, amount, bank, seconds, written)""",
+    "parsed_rates": """SELECT * FROM (VALUES (DATE '2022-09-02', 'Euro', 0.5::DOUBLE), (DATE '2022-09-02', 'Yen', 140), (DATE '2022-09-02', 'US Dollar', 1), (DATE '2022-09-02', 'Bitcoin', 199999),
+  (DATE '2022-09-06', 'Euro', 0.5), (DATE '2022-09-06', 'Yen', 140), (DATE '2022-09-06', 'US Dollar', 1)) t(rate_date, currency, rate)""",
     "supplier_max_lineitem": """SELECT CAST(l_suppkey AS INT) AS from_bank, CAST(l_orderkey AS VARCHAR) AS account, l_extendedprice AS amount FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, CAST(l_orderkey AS VARCHAR)) AS rn FROM lineitem) WHERE rn = 1""",
-    "lineitem_below_average": """WITH th AS (SELECT l_returnflag, AVG(l_extendedprice) / 20 AS threshold FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1)
+    "lineitem_below_average": """WITH th AS (SELECT l_returnflag, AVG(l_extendedprice) / 20 AS threshold FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1)
 SELECT CAST(l_orderkey AS VARCHAR) AS account, l_returnflag AS payment_format, l_extendedprice AS amount
-FROM lineitem JOIN th USING (l_returnflag) WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_extendedprice < threshold""",
+FROM lineitem JOIN th USING (l_returnflag) WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_extendedprice < threshold""",
 }

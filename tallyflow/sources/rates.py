@@ -48,13 +48,13 @@ def constant(spark: SparkSession, first: date, days: int, rates: dict[str, float
 
 
 def url_for(template: str, day: date) -> str:
-    """The address of a day's rates: fill ``{date}``, replace a ``date=``, or append one."""
+    """The address of a day's rates: with ``{date}`` filled; as it is where it names a ``date=``; else with one appended."""
     text = day.isoformat()
     if "{date}" in template:
         return template.replace("{date}", text)
-    base, _, query = template.partition("?")
-    kept = [x for x in query.split("&") if x and not x.startswith("date=")]
-    return f"{base}?{'&'.join([*kept, f'date={text}'])}"
+    if "date=" in template:
+        return template
+    return f"{template}{'&' if '?' in template else '?'}date={text}"
 
 
 def parse(day: date, body: str) -> list[tuple[date, str, float]]:

@@ -9,7 +9,7 @@ from tallyflow.functions.scalars import two_decimals
 
 
 def as_text(name: str, result: DataFrame) -> DataFrame:
-    """The columns as they are written: question 1 with two decimals, 2 and 3 with the source's own text."""
+    """The columns as they are written: question 1 with two decimals, 2 and 3 with the source's own text, quarantined rows as they were read."""
     if name == "q1":
         return result.select("account", "to_account", two_decimals(F.col("amount")).alias("amount"))
     if name == "q2":
@@ -18,7 +18,7 @@ def as_text(name: str, result: DataFrame) -> DataFrame:
         return result.select("account", F.col("amount_text").alias("amount"))
     if name == "q4":
         return result.select(F.col("bank").cast("string").alias("bank"), "account")
-    return result.select("count")
+    return result if name == "quarantine" else result.select("count")
 
 
 def write_csv(name: str, result: DataFrame, folder: str) -> str:

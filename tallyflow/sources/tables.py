@@ -14,29 +14,37 @@ from tallyflow.functions.scalars import to_amount, to_bank, to_timestamp
 
 _RAW = ["raw_ts", "raw_from_bank", "account", "raw_to_bank", "to_account", "unused_5", "unused_6", "amount_text", "payment_currency", "payment_format"]
 TRANSACTIONS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in [*_RAW, "_corrupt"]])
+#: Decoded rows that are transactions.
+IS_ROW = "reason IS NULL OR reason = 'amount'"
 ACCOUNTS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in ("bank_name", "raw_bank", "unused_2", "unused_3", "unused_4")])
 
 
 def decode_transactions(raw: DataFrame) -> DataFrame:
-    """Typed columns beside the raw ones; ``bad`` marks rows that cannot be decoded."""
+    """Typed columns beside the raw ones; ``reason`` tells what cannot be decoded: the row or only its amount.
+
+    A row is bad when its time or a bank can't be read or it has too few fields; further fields don't matter,
+    and empty texts are texts. A bad amount is null: questions that need amounts leave the row out.
+    """
+    short = F.col("payment_format").isNull() & (F.col("_corrupt").isNotNull() & (F.size(F.split("_corrupt", ",")) < len(_RAW)))
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("account", "to_account", "amount_text", "payment_currency", "payment_format")}
     typed = raw.withColumns({
         "ts": to_timestamp(F.col("raw_ts")), "from_bank": to_bank(F.col("raw_from_bank")),
         "to_bank": to_bank(F.col("raw_to_bank")), "amount": to_amount(F.col("amount_text")),
     })
-    needed = ["ts", "from_bank", "account", "to_bank", "to_account", "amount", "payment_currency", "payment_format"]
-    bad = F.lit(False)
-    for c in needed:
-        bad = bad | F.col(c).isNull()
-    return typed.withColumn("bad", bad)
+    bad = F.col("ts").isNull() | F.col("from_bank").isNull() | F.col("to_bank").isNull() | F.coalesce(short, F.lit(False))
+    return typed.withColumn("reason", F.when(bad, "row").when(F.col("amount").isNull(), "amount")).withColumns(texts)
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(transactions, quarantined rows). Columns go by position; bad rows never fail the job."""
+    """(transactions, quarantined rows with their reason). Columns go by position; bad rows never fail the job.
+
+    Rows of which only the amount is bad are in both.
+    """
     raw = (spark.read.schema(TRANSACTIONS_CSV).option("header", True).option("enforceSchema", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path))
     decoded = decode_transactions(raw)
-    good = decoded.where(~F.col("bad")).select("ts", "from_bank", "account", "to_bank", "to_account", "amount_text", "amount", "payment_currency", "payment_format")
-    return good, decoded.where("bad").select(*_RAW)
+    good = decoded.where(IS_ROW).select("ts", "from_bank", "account", "to_bank", "to_account", "amount_text", "amount", "payment_currency", "payment_format")
+    return good, decoded.where("reason IS NOT NULL").select(*_RAW, "reason")
 
 
 def read_banks_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +73,12 @@ def testdata_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for event_type, name in formats.items():
         kind = F.when(F.col("event_type") == event_type, name).otherwise(kind)
+    # The table's times are in UTC. Where the session's zone is another, they are moved to it before they become instants.
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    ts = F.col("ts") if zone == "UTC" or events.schema["ts"].dataType != T.TimestampNTZType() else F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts"))
     return (events.withColumn("payee", F.get_json_object("props", "$.k").try_cast("bigint"))
             .join(payer, "user_id").join(payee, "payee")
-            .select(F.col("ts").cast("timestamp").alias("ts"), "from_bank", F.col("user_id").cast("string").alias("account"),
+            .select(ts.cast("timestamp").alias("ts"), "from_bank", F.col("user_id").cast("string").alias("account"),
                     "to_bank", F.col("payee").cast("string").alias("to_account"), F.col("value").cast("string").alias("amount_text"),
                     F.col("value").alias("amount"), currency.alias("payment_currency"), kind.alias("payment_format")))
 

@@ -1,16 +1,21 @@
-from datetime import date, datetime
+import os
+import subprocess
+import sys
+from datetime import UTC, date, datetime
 
 import pytest
 
 from tallyflow.operators import graph
-from tallyflow.params import Params
+from tallyflow.params import Params, Period, from_config
 from tallyflow.plans import questions, registry
 from tallyflow.sources import rates as fx
 from tallyflow.sources.sinks import write_csv
 from tallyflow.sources.tables import read_banks_csv, read_transactions_csv
 from tallyflow.streaming import incremental
 from tests.oracle import assert_same, small
+from tests.verify import assert_result
 
+_ZONED = ["q3_below_average", "q4_scatter_gather", "q5_converted_count", "csv_q5", "scalar_conversions"]
 SCHEMA = "ts timestamp, from_bank int, account string, to_bank int, to_account string, amount_text string, amount double, payment_currency string, payment_format string"
 P = Params()
 
@@ -70,24 +75,79 @@ def test_csv_in_and_out(spark, tmp_path):
                                     "2022/09/01 00:20,1,A,1,B,9,x,abc,US Dollar,ACH\nbad,1,A,1,B,9,x,1,US Dollar,ACH\n2022/09/01 00:20,1,A,1,B,9,x,1,US Dollar\n")
     (tmp_path / "a.csv").write_text("h,h,h,h,h\nBank Z,0070,1,2,3\nBank Y,70,1,2,3\n")
     good, bad = read_transactions_csv(spark, str(tmp_path / "t.csv"))
-    assert [(r.from_bank, r.amount_text) for r in good.collect()] == [(70, "49.90")]
-    assert bad.count() == 4
+    assert sorted((r.from_bank, r.amount_text, r.amount) for r in good.collect()) == [(1, "abc", None), (70, "49.90", 49.9)]
+    assert sorted((r.reason, r.raw_ts, r.raw_from_bank) for r in bad.collect()) == [("amount", "2022/09/01 00:20", "1"), ("row", "2022/09/01 00:20", "1"), ("row", "2022/09/01 00:20", "x"), ("row", "bad", "1")]
     banks = read_banks_csv(spark, str(tmp_path / "a.csv"))
     assert [tuple(r) for r in banks.collect()] == [(70, "Bank Y")]
     rates = fx.constant(spark, date(2022, 9, 1), 1, {"US Dollar": 1})
-    paths = questions.run_all(good, banks, rates, P, str(tmp_path / "out"))
+    paths = questions.run_all(good, banks, rates, P, str(tmp_path / "out"), bad)
+    assert spark.read.option("header", True).csv(paths["quarantine"]).count() == 4
     assert spark.read.option("header", True).csv(paths["q1"]).collect()[0].amount == "49.90"
     assert spark.read.option("header", True).csv(paths["q2"]).collect()[0].bank_name == "Bank Y"
     assert spark.read.option("header", True).csv(paths["q5"]).collect()[0]["count"] == "0"
     assert write_csv("q4", questions.q4(good, P), str(tmp_path / "again"))
 
 
+def test_fields_of_a_row(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("h,h,h,h,h,h,h,h,h,h,h\n2022/09/01 0:20,1,,1,B,9,x,5,,,0\n2022/09/01 0:20,1,A,1,B,9,x,,US Dollar,ACH\n2022/09/01 0:20,1,A,1\n2022/09/01 0:20,1,A,1,B,9,x,7,US Dollar,\n")
+    good, bad = read_transactions_csv(spark, str(tmp_path / "t.csv"))
+    assert sorted(tuple(r)[2:] for r in good.collect()) == [("", 1, "B", "5", 5.0, "", ""), ("A", 1, "B", "", None, "US Dollar", "ACH"), ("A", 1, "B", "7", 7.0, "US Dollar", "")]
+    assert sorted(r.reason for r in bad.collect()) == ["amount", "row"]
+    assert questions.q1(good, P).count() == 1 and graph.edges(good).count() == 2
+
+
+def test_all_results_against_expected(spark, tmp_path):
+    lines = ["2022/09/01 0:20,1,o,1,m%d,9,x,10.50,US Dollar,ACH" % i for i in range(5)] + ["2022/09/02 0:20,1,m%d,2,d,9,x,0.50,US Dollar,Wire" % i for i in range(5)]
+    lines += ["2022/09/07 0:20,3,z,1,y,9,x,0.01,US Dollar,ACH", "2022/09/03 0:20,4,w,1,y,9,x,n/a,US Dollar,ACH", "2022/09/03 10:00,4,w,1,y,9,x,900.129,US Dollar,Cash"]
+    (tmp_path / "t.csv").write_text("\n".join(["h,h,h,h,h,h,h,h,h,h", *lines]))
+    good, bad = read_transactions_csv(spark, str(tmp_path / "t.csv"))
+    banks = spark.createDataFrame([(1, "One"), (4, "Four")], "bank_id int, bank_name string")
+    rates = fx.constant(spark, date(2022, 9, 1), 9, {"US Dollar": 1})
+    paths = questions.run_all(good, banks, rates, P, str(tmp_path / "out"), bad)
+    assert_result("q1", [("o", f"m{i}", "10.5") for i in range(5)] + [(f"m{i}", "d", "0.5") for i in range(5)] + [("z", "y", "0.01")], paths["q1"])
+    assert_result("q2", [("One", "o", "10.50"), ("Unknown Bank", "z", "0.01"), ("Four", "w", "900.13")], paths["q2"])
+    assert_result("q3", [("z", "0.01")], paths["q3"])
+    assert_result("q4", [("1", "o")], paths["q4"])
+    assert_result("q5", [("5",)], paths["q5"])
+    with pytest.raises(AssertionError):
+        assert_result("q5", [("6",)], paths["q5"])
+
+
+def test_hub_in_parts(spark):
+    edge = [(1, f"o{i}", 1, "hub") for i in range(40)] + [(1, "hub", 1, f"d{i}") for i in range(3)] + [(1, "o1", 1, "m"), (1, "m", 1, "d1")]
+    df = spark.createDataFrame(edge, "from_bank int, account string, to_bank int, to_account string")
+    want = sorted(map(tuple, graph.path_counts(df, df).collect()))
+    assert sorted(map(tuple, graph.path_counts(df, df, hub=7).collect())) == want and (1, "o1", 1, "d1", 2) in want
+
+
+def test_config():
+    p = from_config({"MICRO_AMOUNT": "12.5", "FORMATS": "Wire,ACH,", "MIN_INTERMEDIARIES": "3", "GRAPH_PERIOD_START": "2022-09-01T00:00:00-03:00", "GRAPH_PERIOD_END": "2022-09-02T00:00:00.5Z"})
+    assert (p.micro_amount, p.formats, p.min_intermediaries, p.currency) == (12.5, ("Wire", "ACH", ""), 3, "US Dollar")
+    assert p.graph_period == Period(datetime(2022, 9, 1, 3, tzinfo=UTC), datetime(2022, 9, 2, 0, 0, 0, 500000)) and from_config({}) == P
+    for bad in ({"X": "1"}, {"MICRO_AMOUNT": "x"}, {"GRAPH_PERIOD_START": "2022-09-01T00:00:00Z"}, {"GRAPH_PERIOD_START": "2022-09-01", "GRAPH_PERIOD_END": "2022-09-02T00:00:00Z"}):
+        with pytest.raises(ValueError):
+            from_config(bad)
+
+
+@pytest.mark.parametrize(("machine", "session"), [("America/New_York", "UTC"), ("UTC", "Asia/Tokyo")])
+def test_time_zones_do_not_matter(spark, machine, session):
+    code = f"""
+from pyspark.sql import SparkSession
+from tallyflow.plans.registry import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "{session}").getOrCreate()
+print("COUNTS", *[sorted(map(tuple, QUERIES[q](spark, "{small('sf0.01')}").collect())) for q in {_ZONED}], sep="|")
+"""
+    said = subprocess.run([sys.executable, "-c", code], env=os.environ | {"TZ": machine}, capture_output=True, text=True, timeout=200)
+    want = [sorted(map(tuple, registry.QUERIES[q](spark, small("sf0.01")).collect())) for q in _ZONED]
+    assert said.stdout.strip().split("COUNTS|")[-1] == "|".join(map(str, want)), said.stderr[-2000:]
+
+
 def test_rates_source(spark):
     day = date(2022, 9, 2)
     assert fx.url_for("http://h/r?base=USD&date={date}", day) == "http://h/r?base=USD&date=2022-09-02"
     assert fx.url_for("http://h/r?base=USD", day) == "http://h/r?base=USD&date=2022-09-02"
     assert fx.url_for("http://h/r", day) == "http://h/r?date=2022-09-02"
-    assert fx.url_for("http://h/r?date=1&base=USD", day) == "http://h/r?base=USD&date=2022-09-02"
+    assert fx.url_for("http://h/r?date=1&base=USD", day) == "http://h/r?date=1&base=USD"
     got = {c: r for _, c, r in fx.parse(day, '[{"quote": "EUR", "rate": 0.9}, {"quote": "XXX", "rate": 3}]')}
     assert got == {"Euro": 0.9, "US Dollar": 1.0, "Bitcoin": 199999.0}
 
@@ -100,6 +160,11 @@ def test_streams_match_batch(spark, tmp_path):
     incremental.drain(incremental.q2_stream(stream(), P), "s2", "complete", str(tmp_path / "c2"))
     rates = fx.constant(spark, date(2022, 9, 1), 1, {"US Dollar": 1})
     incremental.drain(incremental.q5_stream(stream(), rates, P), "s5", "complete", str(tmp_path / "c5"))
+    once = incremental.settled(stream(), str(tmp_path / "kept"), str(tmp_path / "c3"))
+    (tmp_path / "in" / "u.csv").write_text("h,h,h,h,h,h,h,h,h,h\n2022/09/06 0:20,7,C,1,B,9,x,0.10,US Dollar,ACH\n")
+    assert once.count() == 2
+    txn = incremental.settled(stream(), str(tmp_path / "kept"), str(tmp_path / "c3"))
+    assert txn.count() == 3 and [r.account for r in questions.q3(txn, P).collect()] == ["C"] and questions.q4(txn, P).count() == 0
     assert [r.amount for r in spark.table("s1").collect()] == [0.9]
     assert [r.account for r in spark.table("s2").collect()] == ["B"]
     assert [r["count"] for r in spark.table("s5").collect()] == [1]
