@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node takes its smallest neighbour, if smaller than itself, as parent, the stars are
     contracted and the edges between them go on; at least half of the nodes that still have edges vanish a
-    round. Minima combine before the shuffle, so a node with very many edges is no burden to one task.
+    round. Minima combine before the shuffle, so a node with very many edges is no burden to one task. Edges
+    may repeat, in either direction; those with a null end and loops are left out; no edges give no rows.
     """
     edges = written(edges.select("a", "b").where("a <> b"), "edges")
     roots = None

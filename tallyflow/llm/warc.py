@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm import zip_reader
-from tallyflow.sources.shared import new_path, removed_at_exit, written
+from tallyflow.sources.shared import hinted, new_path, removed_at_exit, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _BLOCK_BYTES, _TASK_BYTES = 1 << 20, 128 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+_DATE = "1970-01-01T00:00:00Z"
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -40,18 +41,26 @@ def _header_text(text: str) -> str:
     return "".join("".join(f"%{b:02X}" for b in c.encode()) if c <= " " or c in "%\x7f" else c for c in text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _record_id(page_id: int | None, digest: str) -> str:
+    """Made from the page's id and payload, so that a revisit knows it; any other where there is no id."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One WARC record, gzipped by itself. A revisit has the payload's digest and length but not its bytes."""
+    digest = payload_digest(payload)
     http = _HTTP % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z",
-            "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id if refers_to is None else None, digest)}", f"WARC-Date: {_DATE}",
+            "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header_text(url)}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {_SAME_PAYLOAD}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {_SAME_PAYLOAD}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_header_text(refers_url)}")
     packed = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packed.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packed.flush()
 
@@ -97,33 +106,54 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, those with the smallest id are responses
     and the others revisit it. Null html is an empty payload; null ids are never the smallest: they revisit
-    when an id has the payload, and are responses otherwise; a null url leaves its header out.
+    when an id has the payload, and are responses otherwise; a null url leaves its header out. Rows that repeat
+    an id and a payload share a record id. Payloads are shuffled only where too many have copies for a broadcast.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
-    firsts = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    firsts = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("id").alias("first_id"), F.min_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("copies"))
               .where("copies > 1").drop("copies"))
+    firsts = hinted(written(firsts, "copies"))
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    told = rows.join(firsts, "key", "left").select("id", "url", "payload", refers.alias("refers_to"))
+    told = rows.join(firsts, "key", "left").select("id", "url", "payload", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
     return written(told.mapInArrow(_write_task(folder), "path string, records long, bytes long"), "manifest")
 
 
+def _index_lines(f: pa.NativeFile, at: int, size: int) -> Iterator[bytes]:
+    """The lines of a stored index, read a part at a time."""
+    end, rest = at + size, b""
+    while at < end:
+        part = f.read_at(min(_BLOCK_BYTES, end - at), at)
+        at += len(part)
+        *lines, rest = (rest + part).split(b"\n")
+        yield from lines
+    if rest:
+        yield rest
+
+
 def _blocks(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("lengths", pa.list_(pa.int64()))])
+
+    def row(path: str, at: int, lengths: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": [path], "at": [at], "lengths": [lengths]}, schema)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         for path in (p for b in batches for p in b.column(0).to_pylist()):
             with store.open_input_file(path) as f:
                 found = zip_reader.members(f, f.size())
                 start = zip_reader.data_offset(f, found[DATA])
-                f.seek(zip_reader.data_offset(f, found[INDEX]))
-                index = f.read(found[INDEX].stored_bytes).decode().splitlines()
-            block: list[tuple[int, int]] = []
-            for n, line in enumerate(index):
-                place = json.loads(line.partition(" ")[2])
-                block.append((start + place["offset"], place["length"]))
-                if n + 1 == len(index) or block[-1][0] + block[-1][1] - block[0][0] >= _BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pydict({"path": [path], "at": [block[0][0]], "lengths": [[x for _, x in block]]}, pa.schema([("path", pa.string()), ("at", pa.int64()), ("lengths", pa.list_(pa.int64()))]))
-                    block = []
+                at, size, lengths = start, 0, []
+                for line in _index_lines(f, zip_reader.data_offset(f, found[INDEX]), found[INDEX].stored_bytes):
+                    place = json.loads(line.partition(b" ")[2])
+                    if size >= _BLOCK_BYTES:
+                        yield row(path, at, lengths)
+                        size, lengths = 0, []
+                    at = at if lengths else start + place["offset"]
+                    lengths.append(place["length"])
+                    size += place["length"]
+                if lengths:
+                    yield row(path, at, lengths)
 
     return find
 

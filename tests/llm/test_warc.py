@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from tallyflow.llm import oracles, warc, zip_reader
@@ -32,6 +33,21 @@ def test_edges(spark):
     assert large == {"response"}
 
 
+def test_revisits_refer_to_the_response():
+    first, payload = warc.parse_record(warc.record(3, "http://a/ b", b"x", None))
+    again, nothing = warc.parse_record(warc.record(5, "http://c", b"x", 3, "http://a/ b"))
+    assert payload == b"x" and nothing == b""
+    assert again["warc-refers-to"] == first["warc-record-id"] and again["warc-record-id"] != first["warc-record-id"]
+    assert again["warc-refers-to-target-uri"] == first["warc-target-uri"] == "http://a/%20b" and again["warc-refers-to-date"] == first["warc-date"]
+
+
+def test_index_in_parts(spark, monkeypatch):
+    f = pa.BufferReader(b"xx" + b"\n".join(b"%d {}" % i for i in range(1000)) + b"yy")
+    monkeypatch.setattr(warc, "_BLOCK_BYTES", 7)
+    size = f.size() - 4
+    assert list(warc._index_lines(f, 2, size)) == [b"%d {}" % i for i in range(1000)] and list(warc._index_lines(f, 2, 0)) == []
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
