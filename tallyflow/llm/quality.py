@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
 def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``keep`` columns (all by default) of every row, score (0 to 1) and predicted (score >= ``threshold``).
 
-    Scores depend on the text alone; null counts as empty, and empty texts get a score like any other.
+    Scores depend on the whole text alone; null counts as empty, and empty texts get a score like any other.
+    Repeated rows get the same result each; an empty table gives an empty one. Columns called score or
+    predicted are replaced.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -195,6 +197,6 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, thres
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``id_col``, held_out, score, predicted. Rows without id are held out."""
+    """One row per document: ``id_col``, held_out, score, predicted. Rows without id are held out; rows that repeat an id have a row each; other columns are not returned."""
     scored = classify(docs, train(docs, labels, id_col=id_col), keep=[id_col])
     return scored.select(id_col, F.coalesce(remainder(F.col(id_col)) == 0, F.lit(True)).alias("held_out"), "score", "predicted")

@@ -76,6 +76,22 @@ def test_stages_keep_columns(spark):
     assert docs.where("score <> 'mine' OR contaminated <> 3").isEmpty()
 
 
+def test_stages_with_nulls_and_repeated_rows(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = "A fine line of quite usual words that stands here, and it says nothing new. " * 3
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (None, None, "en", "b", None), (3, "", "en", None, 0), (None, text + "more of it", "en", "a", 7), (4, "word " * 60000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, schema).withColumn("score", F.lit("mine")).withColumn("own score", F.lit("too"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        ids = [r.doc_id for r in got]
+        if name in ("line dedup", "decontamination", "mix sources"):
+            assert sorted(map(str, ids)) == sorted(str(r[0]) for r in rows)
+        if name != "mix sources":
+            assert got == [] or {(r.score, r["own score"]) for r in got} == {("mine", "too")}
+        if name == "near copies":
+            assert sorted(map(str, ids)) in (["1", "2", "3", "4", "None"], ["1", "2", "3", "4", "None", "None"])
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_empty_table(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)

@@ -1,8 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 
-from tallyflow.llm.quality import FEATURES, features, fit, quality
+from tallyflow.llm.quality import FEATURES, features, fit, quality, train
 from tallyflow.llm.registry import op10_quality
 from tests.oracle import small
 
@@ -39,6 +40,25 @@ def test_interactions():
     assert abs(by_hand + model.pairs[0, 1][tuple(np.searchsorted(model.coarse[f], x[7, f], side="right") for f in (0, 1))] - model.margin(x)[7]) < 1e-12
 
 
+def test_whole_table_against_a_plain_sum_of_the_tables(spark):
+    """Every score is the intercept and one entry of each table, looked up here one by one."""
+    sf = small("sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = op10_quality(spark, sf).collect()
+    assert len(got) == len(texts) and len(model.pairs) > 0
+    for r in got:
+        x = features(None if texts[r.doc_id] is None else texts[r.doc_id].encode())
+        total = model.intercept
+        for f, table in enumerate(model.tables):
+            total += table[sum(edge <= x[f] for edge in model.edges[f])]
+        for (f, g), table in model.pairs.items():
+            total += table[sum(edge <= x[f] for edge in model.coarse[f]), sum(edge <= x[g] for edge in model.coarse[g])]
+        score = 1 / (1 + math.exp(-max(-30, min(30, total))))
+        assert abs(r.score - score) < 1e-9 and (abs(score - 0.3) < 1e-9 or r.predicted == (score >= 0.3))
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (4, "word " * 200000), (4, "word " * 200000), (5, "\n\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
