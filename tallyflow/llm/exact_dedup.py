@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import SPACES
-from tallyflow.sources.shared import written
+from tallyflow.sources.shared import hinted, written
 
 _PREFIX = 64
 
@@ -83,10 +83,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = dict(rows.dtypes)["id"]
     pieces = written(placed.select("id", "norm", "text_sha256").mapInArrow(
         _pieces, f"id {kind}, text_sha256 string, first_id {kind}, piece_size long, head boolean, edge boolean, part long"), "pieces")
-    # Only runs at a task's borders can go on elsewhere: at most two rows a task, which bounds this broadcast.
+    # Only runs at a task's borders can go on elsewhere: at most two rows a task.
     whole = (pieces.where("edge AND head").groupBy("text_sha256")
              .agg(F.min("part").alias("first_part"), F.min_by("first_id", "part").alias("whole_id"), F.sum("piece_size").alias("whole_size")))
-    return pieces.join(F.broadcast(whole), "text_sha256", "left").select(
+    return pieces.join(hinted(written(whole, "borders")), "text_sha256", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("edge"), F.col("whole_id")).otherwise(F.col("first_id")).alias("keep_id"),
         F.when(F.col("edge"), F.col("whole_size")).otherwise(F.col("piece_size")).alias("group_size"),

@@ -50,7 +50,7 @@ def brute(rows, edits, least):
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("edits", "hot", "block", "sampled"), [(1, 1000, 2000, 64), (2, 1000, 2000, 64), (2, 3, 2, 10**9), (2, 2, 2, 2), (1, 2, 3, 1)])
+@pytest.mark.parametrize(("edits", "hot", "block", "sampled"), [(1, 1000, 2000, 64), (2, 1000, 2000, 64), (2, 3, 2, 10**9), (2, 2, 2, 2)])
 def test_against_brute_force(spark, monkeypatch, edits, hot, block, sampled):
     for name, value in (("_HOT", hot), ("_BLOCK", block), ("_SAMPLED", sampled), ("_SAMPLE_HOT", 3 if sampled < 10 else 32)):
         monkeypatch.setattr(line_dedup_module, name, value)
