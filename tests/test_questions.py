@@ -117,7 +117,7 @@ def test_hub_in_parts(spark):
     edge = [(1, f"o{i}", 1, "hub") for i in range(40)] + [(1, "hub", 1, f"d{i}") for i in range(3)] + [(1, "o1", 1, "m"), (1, "m", 1, "d1")]
     df = spark.createDataFrame(edge, "from_bank int, account string, to_bank int, to_account string")
     want = sorted(map(tuple, graph.path_counts(df, df).collect()))
-    assert sorted(map(tuple, graph.path_counts(df, df, hub=7).collect())) == want and (1, "o1", 1, "d1", 2) in want
+    assert sorted(map(tuple, graph.path_counts(df, df, graph._hubs(df, 7)).collect())) == want and (1, "o1", 1, "d1", 2) in want and graph._hubs(df, 40) is None
 
 
 def test_config():

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tallyflow.sources.shared import hinted, is_small, removed_at_exit, shared_folder, written
+from tallyflow.sources.shared import hinted, is_small, new_path, removed_at_exit, shared_folder, written
 
 
 def session(master, where=None):
@@ -32,7 +32,10 @@ def test_written_tables(spark):
 
 
 def test_tables_are_deleted_when_the_application_ends(spark):
-    path = written(spark.range(3).toDF("n"), "numbers").inputFiles()[0].rpartition("/")[0]
+    path = new_path(spark, "numbers")
+    spark.range(3).write.parquet(path)
+    assert removed_at_exit(spark, path) == path
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    assert files.exists(place) and files.cancelDeleteOnExit(place) and removed_at_exit(spark, path) == path
+    assert files.exists(place) and files.cancelDeleteOnExit(place)
+    removed_at_exit(spark, path)
