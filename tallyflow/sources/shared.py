@@ -33,14 +33,29 @@ def removed_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
+def written(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(removed_at_exit(spark, path))
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, for callers that have read them for the last time.
+
+    What is derived from such a table and not yet written fails afterwards. Other tables are refused.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_folder(spark)
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rpartition(":")[2].lstrip("/") != path.rpartition("/")[0].rpartition(":")[2].lstrip("/"):
+                raise ValueError(f"not a table of the shared folder: {path}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most ``rows`` rows, which bounds what a broadcast of it takes."""
     return df.limit(rows + 1).count() <= rows

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tallyflow.sources.shared import hinted, is_small, new_path, removed_at_exit, shared_folder, written
+from tallyflow.sources.shared import hinted, is_small, new_path, release, removed_at_exit, shared_folder, written
 
 
 def session(master, where=None):
@@ -39,3 +39,14 @@ def test_tables_are_deleted_when_the_application_ends(spark):
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert files.exists(place) and files.cancelDeleteOnExit(place)
     removed_at_exit(spark, path)
+
+
+def test_release(spark):
+    table = written(spark.range(5).toDF("n"), "numbers", compression="zstd")
+    (folder,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    release(table)
+    assert not files.exists(place)
+    with pytest.raises(ValueError):
+        release(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"))
