@@ -76,3 +76,37 @@ g AS (SELECT l.doc_id, l.i, l.raw, f.first_pos IS NOT NULL AND (l.pos > f.first_
 k AS (SELECT doc_id, COALESCE(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped FROM g GROUP BY doc_id)
 SELECT doc_id, k.text, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_dropped, 0) AS n_dropped FROM d LEFT JOIN k USING (doc_id)
 """
+
+PHRASES = r"""
+WITH d AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g, COUNT(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, SUM(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.g, c.k, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g x ON x.lang = c.lang AND x.g = c.g[1 : j] JOIN g y ON y.lang = c.lang AND y.g = c.g[j + 1 : c.k]),
+lowest AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM cuts) WHERE nth = 1),
+around AS (SELECT lang, part, MAX(f) AS f FROM (SELECT lang, unnest([g[1 : 2], g[2 : 3]]) AS part, f FROM c WHERE k = 3) GROUP BY ALL),
+ranked AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM lowest b LEFT JOIN around o ON o.lang = b.lang AND o.part = b.g WHERE o.f IS NULL OR 100 * o.f < 50 * a)
+SELECT * FROM (SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang)) WHERE rank <= 2000
+"""
+
+# DuckDB has no crc32, so its table of 256 entries and its loop over bytes are written out.
+RESAMPLE = r"""
+WITH step AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step FROM range(256) t(i)),
+d AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+dw AS (SELECT row, unnest(w) AS word FROM d),
+h AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM b)),
+k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, step),
+s AS (SELECT bucket, COUNT(*) AS s FROM dw JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, COUNT(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT COUNT(*) FROM dw)::DOUBLE AS ss, (SELECT COUNT(*) FROM b)::DOUBLE AS ts),
+gains AS (SELECT bucket, floor(1000 * ln((COALESCE(t, 0) + 1.0::DOUBLE) * (ss + 10000) / ((COALESCE(s, 0) + 1.0::DOUBLE) * (ts + 10000)))) AS gain FROM s FULL JOIN t USING (bucket), sums),
+weights AS (SELECT row, floor(SUM(gain) / COUNT(*))::BIGINT AS weight FROM dw JOIN k USING (word) JOIN gains USING (bucket) GROUP BY row),
+scores AS (SELECT row, doc_id, len(w) AS n_features, COALESCE(weight, 0) AS weight,
+                  COALESCE(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+           FROM d LEFT JOIN weights USING (row)),
+ranked AS (SELECT row, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, COUNT(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scores LEFT JOIN ranked USING (row)
+"""

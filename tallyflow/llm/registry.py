@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ from tallyflow.llm.jaccard_join import jaccard_components
 from tallyflow.llm.licenses import license_scan
 from tallyflow.llm.line_dedup import line_dedup
 from tallyflow.llm.mixing import mix
+from tallyflow.llm.phrases import collocations
+from tallyflow.llm.pieces import encode
 from tallyflow.llm.pii import find_pii
 from tallyflow.llm.quality import quality
+from tallyflow.llm.resampling import resample
 from tallyflow.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +71,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_extract_text": op1_extract_text,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_find_pii": op9_find_pii,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
+    "op12_resample": op12_resample,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +107,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": oracles.LINE_DEDUP,
     "op6_decontaminate": oracles.DECONTAMINATE,
     "op8_jaccard_join": oracles.JACCARD,
+    "op11_phrases": oracles.PHRASES,
+    "op12_resample": oracles.RESAMPLE,
 }
