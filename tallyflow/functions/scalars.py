@@ -30,8 +30,8 @@ def utc_day(ts: Column) -> Column:
 
 
 def two_decimals(amount: Column) -> Column:
-    """Text with two decimals; null for null."""
-    return F.when(amount.isNotNull(), F.format_string("%.2f", amount))
+    """Text with two decimals, by the number's exact value, ties to even; null for null."""
+    return F.call_function("format_number", amount, F.lit("0.00"))
 
 
 def to_usd(amount: Column, rate: Column) -> Column:

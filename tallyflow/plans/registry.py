@@ -14,9 +14,13 @@ from tallyflow.operators import aggregates, filters, graph, joins
 from tallyflow.params import Params, Period
 from tallyflow.plans import questions
 from tallyflow.sources import rates as fx
-from tallyflow.sources.shared import new_path, removed_at_exit
+from tallyflow.sources.commits import CommittedTable
+from tallyflow.sources.shared import new_path, removed_at_exit, written
 from tallyflow.sources.sinks import write_csv
 from tallyflow.sources.tables import read_banks_csv, read_transactions_csv, testdata_banks, testdata_transactions
+from tallyflow.streaming import incremental
+from tallyflow.streaming.below_average import q3_stream
+from tallyflow.streaming.paths import PathCounts, q4_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +54,9 @@ def _edges(spark: SparkSession, sf_dir: str, period: Period = DAYS_1_5) -> DataF
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
-    return graph.path_counts(graph.pruned(e, graph.SOURCE, P.min_intermediaries), graph.pruned(e, graph.TARGET, P.min_intermediaries))
+    e = written(_edges(spark, sf_dir), "edges")
+    first, second = (graph.pruned(e, key, P.min_intermediaries) for key in (graph.SOURCE, graph.TARGET))
+    return graph.path_counts(first, second, graph.hubs(e, 10_000))
 
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +78,8 @@ def _sales_below(s: SparkSession, d: str) -> DataFrame:
     return joins.below_average(sales.where("l_shipdate >= timestamp'1998-01-01'"), early, 20.0).select("account", "payment_format", "amount")
 
 
-def _csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The transactions written as CSV of clients' form, to the minute, and read back: (transactions, quarantined rows).
+def _csv_files(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
+    """The transactions written as CSV of clients' form, to the minute.
 
     Accounts ending in 7 have a bank, and those ending in 3 an amount, that can't be read.
     """
@@ -82,16 +87,26 @@ def _csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bank = F.when(F.col("account").endswith("7"), "x").otherwise(F.concat(F.lit("00"), F.col("from_bank").cast("string")))
     amount = F.when(F.col("account").endswith("3"), "n/a").otherwise(F.col("amount_text"))
     path = new_path(spark, "csv")
-    _txn(spark, sf_dir).select(minute, bank, "account", "to_bank", "to_account", F.lit("1"), F.lit("x"), amount, "payment_currency", "payment_format").write.option("header", True).csv(path)
-    return read_transactions_csv(spark, removed_at_exit(spark, path))
+    rows = _txn(spark, sf_dir).select(minute, bank, "account", "to_bank", "to_account", F.lit("1"), F.lit("x"), amount, "payment_currency", "payment_format")
+    (rows if files is None else rows.repartition(files)).write.option("header", True).csv(path)
+    return removed_at_exit(spark, path)
 
 
-def _csv_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nation`` as accounts of banks in CSV, twice each with another name, read back."""
+def _csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(transactions, quarantined rows) of those files."""
+    return read_transactions_csv(spark, _csv_files(spark, sf_dir))
+
+
+def _csv_bank_files(spark: SparkSession, sf_dir: str) -> str:
+    """``nation`` as accounts of banks in CSV, twice each with another name."""
     path = new_path(spark, "csv")
     nation = testdata_banks(spark, sf_dir).select(F.explode(F.array("bank_name", F.concat("bank_name", F.lit(" AG")))).alias("name"), F.col("bank_id").cast("string"), F.lit("1"), F.lit("2"), F.lit("3"))
     nation.toDF("name", "bank", "a", "b", "c").write.option("header", True).csv(path)
-    return read_banks_csv(spark, removed_at_exit(spark, path))
+    return removed_at_exit(spark, path)
+
+
+def _csv_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_banks_csv(spark, _csv_bank_files(spark, sf_dir))
 
 
 def _through_csv(name: str, schema: str) -> Query:
@@ -107,20 +122,73 @@ def _through_csv(name: str, schema: str) -> Query:
     return run
 
 
-_TEXTS = ["1", "007", "+5", "1.50", " 2", "x", "", "1e3", ".5", "-3", "2022/09/01 0:20", "2022/09/01 13:05", "2022/13/01 0:20"]
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as texts of many forms, good and bad."""
+    n, value = F.col("event_id") % 12, F.col("value").cast("string")
+    minute = F.date_format("ts", "yyyy/MM/dd H:mm")
+    forms = [value, F.concat(F.lit("00"), F.col("user_id").cast("string")), minute, F.concat(F.lit("+"), value), F.concat(value, F.lit(" ")), F.concat(F.lit("-"), F.col("user_id").cast("string")),
+             F.concat(F.col("user_id").cast("string"), F.lit("e2")), F.concat(F.lit("."), F.col("user_id").cast("string")), F.concat(minute, F.lit(":00")), F.replace(minute, F.lit("/"), F.lit("-")), F.col("event_type"), F.lit("")]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(n == i, form).otherwise(text)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("text"))
 
 
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversions of texts, good and bad."""
+    """The conversions of texts."""
     text = F.col("text")
-    return spark.createDataFrame([(t,) for t in _TEXTS], "text string").select(
-        "text", to_amount(text).alias("amount"), to_bank(text).alias("bank"), F.unix_seconds(to_timestamp(text)).alias("seconds"), two_decimals(to_amount(text)).alias("written"))
+    return _texts(spark, sf_dir).select("event_id", to_amount(text).alias("amount"), to_bank(text).alias("bank"), F.unix_seconds(to_timestamp(text)).alias("seconds"), two_decimals(to_amount(text)).alias("written"))
 
 
 def _parsed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a rate service as the dimension table."""
-    body = '[{"quote": "EUR", "rate": 0.5}, {"quote": "XXX", "rate": 3}, {"quote": "JPY", "rate": 140}]'
-    return fx.from_rows(spark, [r for day in (date(2022, 9, 2), date(2022, 9, 6)) for r in fx.parse(day, body)])
+    """Answers of a rate service, made of the largest order of each day and customer's nation, as the dimension table."""
+    codes = F.array(*[F.lit(c) for c in [*sorted(fx.CURRENCY_NAMES), "XXX", "USD"]])
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.element_at(codes, (F.col("c_nationkey") % 15 + 1).cast("int")).alias("quote"))
+    day = F.date_add(F.lit(date(2022, 8, 25)), (F.col("o_orderkey") % 20).cast("int")).alias("rate_date")
+    best = spark.read.parquet(f"{sf_dir}/orders.parquet").join(customers, "o_custkey").groupBy(day, "quote").agg(F.max("o_totalprice").alias("rate"))
+    return fx.parsed(best.groupBy("rate_date").agg(F.to_json(F.collect_list(F.struct("quote", "rate"))).alias("body")))  # 15 quotes a day at most
+
+
+def _streamed(ask: Callable[[SparkSession, str, str, str], DataFrame]) -> Query:
+    """A question over a stream of the transactions as CSV, in at least four micro-batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, state = _csv_files(spark, sf_dir, files=4), new_path(spark, "stream")
+        incremental.close(spark, path)
+        return ask(spark, sf_dir, path, state)
+
+    return run
+
+
+def _stream_q1(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataFrame:
+    table = CommittedTable(spark, state, "account string, to_account string, amount double")
+    incremental.drain(incremental.q1_stream(incremental.read_csv_stream(spark, path, 1), P), table, "append", f"{state}/checkpoint")
+    return table.read().drop("batch")
+
+
+def _stream_q2(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataFrame:
+    table = CommittedTable(spark, state, "from_bank int, bank_name string, account string, amount double")
+    banks = incremental.read_banks_stream(spark, _csv_bank_files(spark, sf_dir), 1)
+    incremental.drain(incremental.q2_named_stream(incremental.read_csv_stream(spark, path, 1), banks, P), table, "update", f"{state}/checkpoint")
+    return table.newest(["from_bank"]).drop("from_bank")
+
+
+def _stream_q3(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataFrame:
+    table = CommittedTable(spark, state, "account string, amount double")
+    incremental.drain(q3_stream(incremental.read_csv_stream(spark, path, 1), P, parts=8), table, "append", f"{state}/checkpoint")
+    return table.read().drop("batch")
+
+
+def _stream_q4(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataFrame:
+    counts = PathCounts(spark, state, merge_every=2)
+    q4_stream(incremental.read_csv_stream(spark, path, 1), P, counts, f"{state}/checkpoint")
+    return counts.read()
+
+
+def _stream_q5(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataFrame:
+    table = CommittedTable(spark, state, "count long")
+    incremental.drain(incremental.q5_stream(incremental.read_csv_stream(spark, path, 1), _rates(spark), P), table, "complete", f"{state}/checkpoint")
+    return table.last()
 
 
 _SHOWN = ["account", "to_account", "amount"]
@@ -149,7 +217,7 @@ QUERIES: dict[str, Query] = {
     "fan_out_having": lambda s, d: graph.degrees(_edges(s, d), graph.SOURCE, P.min_intermediaries),
     "fan_in_having": lambda s, d: graph.degrees(_edges(s, d), graph.TARGET, P.min_intermediaries),
     "semi_join_prune": lambda s, d: graph.pruned(_edges(s, d), graph.SOURCE, P.min_intermediaries).select(*graph.EDGE),
-    "explode_intermediary": lambda s, d: _edges(s, d).select(*graph.SOURCE, *graph.TARGET),
+    "explode_intermediary": lambda s, d: graph.intermediaries(written(_edges(s, d), "edges")),
     "two_hop_pair_count": _pairs,
     "pair_having": lambda s, d: _pairs(s, d).where(F.col("n") >= P.min_intermediaries),
     "distinct_origins": lambda s, d: _pairs(s, d).where(F.col("n") >= P.min_intermediaries).select("bank", "account").distinct(),
@@ -161,13 +229,18 @@ QUERIES: dict[str, Query] = {
     "csv_transactions": lambda s, d: _csv(s, d)[0].select("ts", "from_bank", "account", "to_bank", "to_account", "amount", "payment_currency", "payment_format"),
     "csv_quarantine": lambda s, d: _csv(s, d)[1].groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n")),
     "csv_banks": _csv_banks,
-    "csv_q1": _through_csv("q1", "account string, to_account string, amount double"),
+    "csv_q1": _through_csv("q1", "account string, to_account string, amount string"),
     "csv_q2": _through_csv("q2", "bank_name string, account string, amount double"),
     "csv_q3": _through_csv("q3", "account string, amount double"),
     "csv_q4": _through_csv("q4", "bank int, account string"),
     "csv_q5": _through_csv("q5", "count long"),
     "scalar_conversions": _scalars,
     "parsed_rates": _parsed_rates,
+    "stream_q1": _streamed(_stream_q1),
+    "stream_q2": _streamed(_stream_q2),
+    "stream_q3": _streamed(_stream_q3),
+    "stream_q4_pairs": _streamed(_stream_q4),
+    "stream_q5": _streamed(_stream_q5),
     "supplier_max_lineitem": lambda s, d: aggregates.largest_per_bank(_sales(s, d)).select("from_bank", "account", "amount"),
     "lineitem_below_average": _sales_below,
 }
@@ -238,7 +311,8 @@ ORACLE_SQL: dict[str, str] = {k: _TXN + v for k, v in {
     "fan_out_having": _edge_sql(_P1) + "SELECT from_bank, account, COUNT(*) AS degree FROM e GROUP BY ALL HAVING COUNT(*) >= 3",
     "fan_in_having": _edge_sql(_P1) + "SELECT to_bank, to_account, COUNT(*) AS degree FROM e GROUP BY ALL HAVING COUNT(*) >= 3",
     "semi_join_prune": _edge_sql(_P1) + _PRUNED + "SELECT from_bank, account, to_bank, to_account FROM e1",
-    "explode_intermediary": _edge_sql(_P1) + "SELECT from_bank, account, to_bank, to_account FROM e",
+    "explode_intermediary": _edge_sql(_P1) + """SELECT to_bank AS mid_bank, to_account AS mid, from_bank AS bank, account, 'origin' AS role FROM e
+UNION ALL SELECT from_bank, account, to_bank, to_account, 'destination' FROM e""",
     "two_hop_pair_count": _edge_sql(_P1) + _PRUNED + _PATHS.format(l="e1", r="e2") + "SELECT * FROM p",
     "pair_having": _edge_sql(_P1) + _PATHS.format(l="e", r="e") + "SELECT * FROM p WHERE n >= 3",
     "distinct_origins": _edge_sql(_P1) + _PATHS.format(l="e", r="e") + _ORIGINS.format(k=3),
@@ -248,21 +322,33 @@ ORACLE_SQL: dict[str, str] = {k: _TXN + v for k, v in {
     "csv_transactions": f"SELECT ts::TIMESTAMPTZ AS ts, * EXCLUDE (ts) FROM ({_FROM_CSV})",
     "csv_quarantine": "SELECT account, CASE WHEN account LIKE '%7' THEN 'row' ELSE 'amount' END AS reason, COUNT(*) AS n FROM txn WHERE account LIKE '%7' OR account LIKE '%3' GROUP BY ALL",
     "csv_banks": "SELECT bank_id, bank_name FROM banks",
-    "csv_q1": "SELECT account, to_account, amount FROM usd WHERE amount < 50 AND NOT (account LIKE '%7' OR account LIKE '%3')",
+    "csv_q1": "SELECT account, to_account, printf('%.2f', amount) AS amount FROM usd WHERE amount < 50 AND NOT (account LIKE '%7' OR account LIKE '%3')",
     "csv_q2": f"SELECT COALESCE(bank_name, 'Unknown Bank') AS bank_name, account, amount FROM ({_BEST.replace('FROM usd', _READABLE)}) LEFT JOIN banks ON bank_id = from_bank",
     "csv_q3": _below(100).replace("FROM usd WHERE", f"{_READABLE} AND").replace("FROM usd u", f"FROM (SELECT * {_READABLE}) u"),
     "csv_q4": ", paid AS (SELECT * FROM usd WHERE account NOT LIKE '%7')" + _edge_sql(_P1).replace("FROM usd", "FROM paid") + _PATHS.format(l="e", r="e") + _ORIGINS.format(k=3),
     "csv_q5": f"SELECT COUNT(*) AS count FROM (SELECT * FROM txn WHERE NOT (account LIKE '%7' OR account LIKE '%3')) JOIN rates ON currency = payment_currency WHERE {_P1} AND payment_format IN ('Wire', 'ACH') AND rate <> 0 AND amount / rate < 1.0",
     "union_tagged_inputs": "SELECT from_bank AS bank, 'payment' AS kind FROM usd UNION ALL SELECT bank_id, 'name' FROM banks",
 }.items()} | {
-    "scalar_conversions": """SELECT * FROM (VALUES ('1', 1.0::DOUBLE, 1, NULL::BIGINT, '1.00'), ('007', 7, 7, NULL, '7.00'), ('+5', 5, 5, NULL, '5.00'), ('1.50', 1.5, NULL, NULL, '1.50'), (' 2', NULL, NULL, NULL, NULL),
-  ('x', NULL, NULL, NULL, NULL), ('', NULL, NULL, NULL, NULL), ('1e3', 1000, NULL, NULL, '1000.00'), ('.5', 0.5, NULL, NULL, '0.50'), ('-3', -3, -3, NULL, '-3.00'), ('2022/09/01 0:20', NULL, NULL, 1661991600, NULL),
-  ('2022/09/01 13:05', NULL, NULL, 1662037500, NULL), ('2022/13/01 0:20', NULL, NULL, NULL, NULL)) t(text, amount, bank, seconds, written)""",
-    "parsed_rates": """SELECT * FROM (VALUES (DATE '2022-09-02', 'Euro', 0.5::DOUBLE), (DATE '2022-09-02', 'Yen', 140), (DATE '2022-09-02', 'US Dollar', 1), (DATE '2022-09-02', 'Bitcoin', 199999),
-  (DATE '2022-09-06', 'Euro', 0.5), (DATE '2022-09-06', 'Yen', 140), (DATE '2022-09-06', 'US Dollar', 1)) t(rate_date, currency, rate)""",
+    "scalar_conversions": r"""WITH t AS (SELECT event_id, CASE event_id % 12 WHEN 0 THEN value::VARCHAR WHEN 1 THEN '00' || user_id WHEN 2 THEN strftime(ts, '%Y/%m/%d %-H:%M') WHEN 3 THEN '+' || value
+  WHEN 4 THEN value || ' ' WHEN 5 THEN '-' || user_id WHEN 6 THEN user_id || 'e2' WHEN 7 THEN '.' || user_id WHEN 8 THEN strftime(ts, '%Y/%m/%d %-H:%M') || ':00' WHEN 9 THEN strftime(ts, '%Y-%m-%d %-H:%M')
+  WHEN 10 THEN event_type ELSE '' END AS text FROM events),
+a AS (SELECT event_id, text, CASE WHEN regexp_full_match(text, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(text AS DOUBLE) END AS amount FROM t)
+SELECT event_id, amount, CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN TRY_CAST(text AS INT) END AS bank, epoch(try_strptime(text, '%Y/%m/%d %H:%M'))::BIGINT AS seconds,
+  CASE WHEN amount IS NOT NULL THEN printf('%.2f', amount) END AS written FROM a""",
+    "parsed_rates": f"""WITH c AS (SELECT c_custkey, {[*sorted(fx.CURRENCY_NAMES), "XXX", "USD"]}[c_nationkey % 15 + 1] AS quote FROM customer),
+n AS (SELECT unnest({list(fx.CURRENCY_NAMES)}) AS quote, unnest({list(fx.CURRENCY_NAMES.values())}) AS currency),
+o AS (SELECT (DATE '2022-08-25' + (o_orderkey % 20)::INT)::DATE AS rate_date, o_custkey, o_totalprice FROM orders),
+b AS (SELECT unnest({list(fx.BITCOIN)})::DATE AS rate_date, unnest({list(fx.BITCOIN.values())})::DOUBLE AS rate)
+SELECT rate_date, currency, MAX(o_totalprice) AS rate FROM o JOIN c ON c_custkey = o_custkey JOIN n USING (quote) GROUP BY ALL
+UNION ALL SELECT DISTINCT rate_date, 'US Dollar', 1.0 FROM o JOIN c ON c_custkey = o_custkey UNION ALL SELECT rate_date, 'Bitcoin', rate FROM b SEMI JOIN o USING (rate_date)""",
     "supplier_max_lineitem": """SELECT CAST(l_suppkey AS INT) AS from_bank, CAST(l_orderkey AS VARCHAR) AS account, l_extendedprice AS amount FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, CAST(l_orderkey AS VARCHAR)) AS rn FROM lineitem) WHERE rn = 1""",
     "lineitem_below_average": """WITH th AS (SELECT l_returnflag, AVG(l_extendedprice) / 20 AS threshold FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1)
 SELECT CAST(l_orderkey AS VARCHAR) AS account, l_returnflag AS payment_format, l_extendedprice AS amount
 FROM lineitem JOIN th USING (l_returnflag) WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_extendedprice < threshold""",
 }
+# The streams give what the batch questions give from the same files.
+ORACLE_SQL |= {f"stream_{q}": ORACLE_SQL[f"csv_{q}"] for q in ("q2", "q3", "q5")} | {
+    "stream_q1": ORACLE_SQL["csv_q1"].replace("printf('%.2f', amount) AS amount", "amount"),
+    "stream_q4_pairs": _TXN + ", paid AS (SELECT * FROM usd WHERE account NOT LIKE '%7')" + _edge_sql(_P1).replace("FROM usd", "FROM paid") + _PATHS.format(l="e", r="e") + "SELECT * FROM p",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,16 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The store of ``path`` as Spark sees it, and the path in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def removed_at_exit(spark: SparkSession, path: str) -> str:
     """``path``, which exists; it is deleted when the application ends, as lazy results may read it until then."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files, place = file_system(spark, path)
+    files.deleteOnExit(place)
     return path
 
 
@@ -52,8 +59,8 @@ def release(*tables: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if folder.rpartition(":")[2].lstrip("/") != path.rpartition("/")[0].rpartition(":")[2].lstrip("/"):
                 raise ValueError(f"not a table of the shared folder: {path}")
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            files, place = file_system(spark, path)
+            files.delete(place, True)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
