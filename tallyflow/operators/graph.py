@@ -1,18 +1,22 @@
-"""Two-hop paths over the graph of accounts; a vertex is the pair (bank, account)."""
+"""Two-hop paths over the graph of accounts; a vertex is the pair (bank, account).
+
+``by`` are columns that a vertex has in front, such as a client's: each of their values has a graph of its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.operators.aggregates import Keys
 from tallyflow.sources.shared import hinted, written
 
 EDGE = ["from_bank", "account", "to_bank", "to_account"]
 SOURCE, TARGET = EDGE[:2], EDGE[2:]
 
 
-def edges(txn: DataFrame) -> DataFrame:
-    return txn.select(*EDGE).distinct()
+def edges(txn: DataFrame, by: Keys = ()) -> DataFrame:
+    return txn.select(*by, *EDGE).distinct()
 
 
 def degrees(edge: DataFrame, key: list[str], least: int) -> DataFrame:
@@ -35,32 +39,32 @@ def intermediaries(edge: DataFrame) -> DataFrame:
     return ends(TARGET, SOURCE, "origin").unionByName(ends(SOURCE, TARGET, "destination"))
 
 
-def hubs(edge: DataFrame, hub: int) -> DataFrame | None:
+def hubs(edge: DataFrame, hub: int, by: Keys = ()) -> DataFrame | None:
     """(mid_bank, mid, parts) of the vertices with over ``hub`` edges into them; none if there are none."""
-    into = edge.groupBy(F.col("to_bank").alias("mid_bank"), F.col("to_account").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / hub).alias("parts"))
+    into = edge.groupBy(*by, F.col("to_bank").alias("mid_bank"), F.col("to_account").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / hub).alias("parts"))
     found = into.where("parts > 1")
     return None if found.isEmpty() else hinted(written(found, "hubs"))
 
 
-def path_counts(first: DataFrame, second: DataFrame, hub_parts: DataFrame | None = None) -> DataFrame:
+def path_counts(first: DataFrame, second: DataFrame, hub_parts: DataFrame | None = None, by: Keys = ()) -> DataFrame:
     """(origin, destination, n): n distinct intermediaries, as edges are distinct. Loops count like any path.
 
     The edges into one of the ``hub_parts`` are dealt into its parts by their origins, and those out of it are
     repeated for each part, so that no task has to make all paths through it.
     """
-    left = first.select(F.col("from_bank").alias("bank"), "account", F.col("to_bank").alias("mid_bank"), F.col("to_account").alias("mid"))
-    right = second.select(F.col("from_bank").alias("mid_bank"), F.col("account").alias("mid"), "to_bank", "to_account")
-    mid = ["mid_bank", "mid"]
+    left = first.select(*by, F.col("from_bank").alias("bank"), "account", F.col("to_bank").alias("mid_bank"), F.col("to_account").alias("mid"))
+    right = second.select(*by, F.col("from_bank").alias("mid_bank"), F.col("account").alias("mid"), "to_bank", "to_account")
+    mid = [*by, "mid_bank", "mid"]
     if hub_parts is not None:
         parts = F.coalesce("parts", F.lit(1).cast("long"))
         left = left.join(hub_parts, mid, "left").withColumn("part", F.pmod(F.xxhash64("bank", "account"), parts)).drop("parts")
         right = right.join(hub_parts, mid, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
         mid.append("part")
-    return left.join(right, mid).groupBy("bank", "account", "to_bank", "to_account").agg(F.count(F.lit(1)).alias("n"))
+    return left.join(right, mid).groupBy(*by, "bank", "account", "to_bank", "to_account").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scatter_gather(edge: DataFrame, least: int, prune: bool = True, hub: int = 10_000) -> DataFrame:
+def scatter_gather(edge: DataFrame, least: int, prune: bool = True, hub: int = 10_000, by: Keys = ()) -> DataFrame:
     """Origins with ``least`` intermediaries to one destination. ``edge`` is read several times: written edges are made once."""
-    first = pruned(edge, SOURCE, least) if prune else edge
-    second = pruned(edge, TARGET, least) if prune else edge
-    return path_counts(first, second, hubs(edge, hub)).where(F.col("n") >= least).select("bank", "account").distinct()
+    first = pruned(edge, [*by, *SOURCE], least) if prune else edge
+    second = pruned(edge, [*by, *TARGET], least) if prune else edge
+    return path_counts(first, second, hubs(edge, hub, by), by).where(F.col("n") >= least).select(*by, "bank", "account").distinct()

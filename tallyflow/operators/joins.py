@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import to_usd, utc_day
+from tallyflow.operators.aggregates import Keys
 
 
-def with_bank_name(df: DataFrame, banks: DataFrame, unknown: str) -> DataFrame:
-    names = banks.select(F.col("bank_id").alias("from_bank"), "bank_name")
-    return df.join(names, "from_bank", "left").withColumn("bank_name", F.coalesce("bank_name", F.lit(unknown)))
+def with_bank_name(df: DataFrame, banks: DataFrame, unknown: str, by: Keys = ()) -> DataFrame:
+    names = banks.select(*by, F.col("bank_id").alias("from_bank"), "bank_name")
+    return df.join(names, [*by, "from_bank"], "left").withColumn("bank_name", F.coalesce("bank_name", F.lit(unknown)))
 
 
-def below_average(candidates: DataFrame, averages: DataFrame, divisor: float) -> DataFrame:
+def below_average(candidates: DataFrame, averages: DataFrame, divisor: float, by: Keys = ()) -> DataFrame:
     """Rows under their format's average over ``divisor``; formats without an average give nothing."""
-    return candidates.join(averages, "payment_format").where(F.col("amount") < F.col("avg_amount") / divisor)
+    return candidates.join(averages, [*by, "payment_format"]).where(F.col("amount") < F.col("avg_amount") / divisor)
 
 
 def with_usd(txn: DataFrame, rates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyflow.functions.scalars import to_amount, to_bank, to_timestamp, two_de
 from tallyflow.operators import aggregates, filters, graph, joins
 from tallyflow.params import Params, Period
 from tallyflow.plans import questions
+from tallyflow.plans.submission import submit
 from tallyflow.sources import rates as fx
 from tallyflow.sources.commits import CommittedTable
 from tallyflow.sources.shared import new_path, removed_at_exit, written
@@ -191,6 +192,32 @@ def _stream_q5(spark: SparkSession, sf_dir: str, path: str, state: str) -> DataF
     return table.last()
 
 
+_BY = ("client_id",)
+
+
+def _client_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as those of three clients, who know the same banks and accounts."""
+    return _txn(spark, sf_dir).withColumn("client_id", (F.col("account").cast("long") % 3).cast("string"))
+
+
+def _client_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client lacks the names of a third of the banks."""
+    return testdata_banks(spark, sf_dir).withColumn("client_id", F.explode(F.array(*map(F.lit, "012")))).where("bank_id % 3 <> client_id")
+
+
+def _clients_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txn = _client_txn(spark, sf_dir)
+    return questions.q5(txn, _rates(spark), P, _BY, txn.select(*_BY).distinct())
+
+
+def _submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read, accepted, refused and answered of a submission of CSV files."""
+    path = new_path(spark, "results")
+    told = submit(spark, _csv_files(spark, sf_dir), _csv_bank_files(spark, sf_dir), _rates(spark), P, path)
+    removed_at_exit(spark, path)
+    return spark.createDataFrame(list(told.items()), "what string, n long")
+
+
 _SHOWN = ["account", "to_account", "amount"]
 
 QUERIES: dict[str, Query] = {
@@ -236,6 +263,11 @@ QUERIES: dict[str, Query] = {
     "csv_q5": _through_csv("q5", "count long"),
     "scalar_conversions": _scalars,
     "parsed_rates": _parsed_rates,
+    "clients_q2": lambda s, d: questions.q2(_client_txn(s, d), _client_banks(s, d), P, _BY).select("client_id", "bank_name", "account", "amount"),
+    "clients_q3": lambda s, d: questions.q3(_client_txn(s, d), replace(P, average_divisor=20.0), _BY).select("client_id", "account", "amount"),
+    "clients_q4": lambda s, d: questions.q4(_client_txn(s, d), replace(P, graph_period=ALL_DAYS), by=_BY),
+    "clients_q5": _clients_q5,
+    "submission": _submission,
     "stream_q1": _streamed(_stream_q1),
     "stream_q2": _streamed(_stream_q2),
     "stream_q3": _streamed(_stream_q3),
@@ -352,3 +384,21 @@ ORACLE_SQL |= {f"stream_{q}": ORACLE_SQL[f"csv_{q}"] for q in ("q2", "q3", "q5")
     "stream_q1": ORACLE_SQL["csv_q1"].replace("printf('%.2f', amount) AS amount", "amount"),
     "stream_q4_pairs": _TXN + ", paid AS (SELECT * FROM usd WHERE account NOT LIKE '%7')" + _edge_sql(_P1).replace("FROM usd", "FROM paid") + _PATHS.format(l="e", r="e") + "SELECT * FROM p",
 }
+
+_CLIENTS = _TXN + """, c AS (SELECT *, (account::BIGINT % 3)::VARCHAR AS client_id FROM txn), cusd AS (SELECT * FROM c WHERE payment_currency = 'US Dollar')
+"""
+_COUNTED = {q: f"SELECT '{q}' AS what, COUNT(*) AS n FROM ({ORACLE_SQL[f'csv_{q}']})" for q in ("q1", "q2", "q3", "q4", "q5")}
+ORACLE_SQL |= {
+    "clients_q2": _CLIENTS + """SELECT b.client_id, COALESCE(bank_name, 'Unknown Bank') AS bank_name, account, amount
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id, from_bank ORDER BY amount DESC, account) AS rn FROM cusd) b LEFT JOIN banks ON bank_id = from_bank AND bank_id % 3 <> b.client_id::INT WHERE rn = 1""",
+    "clients_q3": _CLIENTS + f""", th AS (SELECT client_id, payment_format, AVG(amount) / 20 AS threshold FROM cusd WHERE {_P1} GROUP BY ALL)
+SELECT client_id, account, amount FROM cusd JOIN th USING (client_id, payment_format) WHERE {_P2} AND amount < threshold""",
+    "clients_q4": _CLIENTS + f""", e AS (SELECT DISTINCT client_id, from_bank, account, to_bank, to_account FROM cusd WHERE {_YEAR})
+SELECT DISTINCT client_id, bank, account FROM (SELECT l.client_id, l.from_bank AS bank, l.account, r.to_bank, r.to_account, COUNT(*) AS n
+  FROM e l JOIN e r ON l.client_id = r.client_id AND l.to_bank = r.from_bank AND l.to_account = r.account GROUP BY ALL) WHERE n >= 3""",
+    "clients_q5": _CLIENTS + f"""SELECT client_id, COUNT(*) FILTER (currency IS NOT NULL AND {_P1} AND payment_format IN ('Wire', 'ACH') AND rate <> 0 AND amount / rate < 1.0) AS count
+FROM c LEFT JOIN rates ON currency = payment_currency GROUP BY client_id""",
+    "submission": _TXN + f"""SELECT what, n FROM (SELECT COUNT(*) AS "read", COUNT(*) FILTER (account NOT LIKE '%7') AS accepted, COUNT(*) FILTER (account LIKE '%3') AS without_amount,
+  COUNT(*) FILTER (account LIKE '%7') AS bad, COUNT(*) FILTER (account LIKE '%7' OR account LIKE '%3') AS quarantine FROM txn) UNPIVOT (n FOR what IN ("read", accepted, without_amount, bad, quarantine))
+UNION ALL {" UNION ALL ".join(_COUNTED.values())}""",
+}

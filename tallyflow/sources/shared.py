@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables that this thread writes inside are in a folder of their own, which is deleted at the end, whatever happened."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(before)
+        files, place = file_system(spark, path)
+        files.delete(place, True)
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
@@ -57,7 +76,7 @@ def release(*tables: DataFrame) -> None:
         spark = table.sparkSession
         folder = shared_folder(spark)
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if folder.rpartition(":")[2].lstrip("/") != path.rpartition("/")[0].rpartition(":")[2].lstrip("/"):
+            if not path.rpartition(":")[2].lstrip("/").startswith(f"{folder.rpartition(':')[2].lstrip('/')}/"):
                 raise ValueError(f"not a table of the shared folder: {path}")
             files, place = file_system(spark, path)
             files.delete(place, True)

@@ -6,14 +6,16 @@ amount_text, amount, payment_currency, payment_format. Of a bank: bank_id, bank_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.functions.scalars import to_amount, to_bank, to_timestamp
+from tallyflow.operators.aggregates import Keys
 
-_RAW = ["raw_ts", "raw_from_bank", "account", "raw_to_bank", "to_account", "unused_5", "unused_6", "amount_text", "payment_currency", "payment_format"]
-TRANSACTIONS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in [*_RAW, "_corrupt"]])
+CANONICAL = ["ts", "from_bank", "account", "to_bank", "to_account", "amount_text", "amount", "payment_currency", "payment_format"]
+RAW = ["raw_ts", "raw_from_bank", "account", "raw_to_bank", "to_account", "unused_5", "unused_6", "amount_text", "payment_currency", "payment_format"]
+TRANSACTIONS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in [*RAW, "_corrupt"]])
 #: Decoded rows that are transactions.
 IS_ROW = "reason IS NULL OR reason = 'amount'"
 ACCOUNTS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in ("bank_name", "raw_bank", "unused_2", "unused_3", "unused_4")])
@@ -25,7 +27,7 @@ def decode_transactions(raw: DataFrame) -> DataFrame:
     A row is bad when its time or a bank can't be read or it has too few fields; further fields don't matter,
     and empty texts are texts. A bad amount is null: questions that need amounts leave the row out.
     """
-    short = F.col("payment_format").isNull() & (F.col("_corrupt").isNotNull() & (F.size(F.split("_corrupt", ",")) < len(_RAW)))
+    short = F.col("payment_format").isNull() & (F.col("_corrupt").isNotNull() & (F.size(F.split("_corrupt", ",")) < len(RAW)))
     texts = {c: F.coalesce(c, F.lit("")) for c in ("account", "to_account", "amount_text", "payment_currency", "payment_format")}
     typed = raw.withColumns({
         "ts": to_timestamp(F.col("raw_ts")), "from_bank": to_bank(F.col("raw_from_bank")),
@@ -35,26 +37,35 @@ def decode_transactions(raw: DataFrame) -> DataFrame:
     return typed.withColumn("reason", F.when(bad, "row").when(F.col("amount").isNull(), "amount")).withColumns(texts)
 
 
-def read_transactions_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(transactions, quarantined rows with their reason). Columns go by position; bad rows never fail the job.
+def decoded_csv(spark: SparkSession, path: str, by: Keys = ()) -> DataFrame:
+    """Every row of the files as ``decode_transactions`` gives it. Columns go by position; bad rows never fail the job.
 
-    Rows of which only the amount is bad are in both.
+    With ``by``, a column name, each row has there the client of its file, ``client_<name>_transactions.csv``.
     """
     raw = (spark.read.schema(TRANSACTIONS_CSV).option("header", True).option("enforceSchema", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path))
-    decoded = decode_transactions(raw)
-    good = decoded.where(IS_ROW).select("ts", "from_bank", "account", "to_bank", "to_account", "amount_text", "amount", "payment_currency", "payment_format")
-    return good, decoded.where("reason IS NOT NULL").select(*_RAW, "reason")
+    return decode_transactions(raw.select("*", *_client(by, "transactions")))
 
 
-def read_banks_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One row per bank id; of several names the smallest stays."""
+def _client(by: Keys, kind: str) -> list[Column]:
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # Spark gives an address
+    return [F.regexp_extract(path, rf"/client_([^/]*)_{kind}\.csv", 1).alias(c) for c in by]
+
+
+def read_transactions_csv(spark: SparkSession, path: str, by: Keys = ()) -> tuple[DataFrame, DataFrame]:
+    """(transactions, quarantined rows with their reason), of ``decoded_csv``. Rows of which only the amount is bad are in both."""
+    decoded = decoded_csv(spark, path, by)
+    return decoded.where(IS_ROW).select(*by, *CANONICAL), decoded.where("reason IS NOT NULL").select(*by, *RAW, "reason")
+
+
+def read_banks_csv(spark: SparkSession, path: str, by: Keys = ()) -> DataFrame:
+    """One row per bank id; of several names the smallest stays. ``by`` takes the client of files ``client_<name>_accounts.csv``."""
     raw = spark.read.schema(ACCOUNTS_CSV).option("header", True).csv(path)
-    return unique_banks(raw.select(to_bank(F.col("raw_bank")).alias("bank_id"), "bank_name"))
+    return unique_banks(raw.select(*_client(by, "accounts"), to_bank(F.col("raw_bank")).alias("bank_id"), "bank_name"), by)
 
 
-def unique_banks(banks: DataFrame) -> DataFrame:
-    return banks.where("bank_id IS NOT NULL").groupBy("bank_id").agg(F.min("bank_name").alias("bank_name"))
+def unique_banks(banks: DataFrame, by: Keys = ()) -> DataFrame:
+    return banks.where("bank_id IS NOT NULL").groupBy(*by, "bank_id").agg(F.min("bank_name").alias("bank_name"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
