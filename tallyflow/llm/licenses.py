@@ -67,31 +67,58 @@ NOTICES = {
     "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
     "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
     "creative commons zero": "cc0",
-    "licensed under CC BY": "cc-by",
-    "licensed under CC BY SA": "cc-by-sa",
-    "licensed under CC BY NC": "cc-by-nc",
-    "licensed under CC BY ND": "cc-by-nd",
-    "licensed under CC BY NC SA": "cc-by-nc-sa",
-    "licensed under CC BY NC ND": "cc-by-nc-nd",
     "licensed under CC0": "cc0",
-    "spdx license identifier MIT": "mit",
-    "spdx license identifier APACHE 2 0": "apache-2.0",
-    "spdx license identifier BSD 2 CLAUSE": "bsd-2-clause",
-    "spdx license identifier BSD 3 CLAUSE": "bsd-3-clause",
-    "spdx license identifier ISC": "isc",
-    "spdx license identifier MPL 2 0": "mpl",
-    "spdx license identifier EPL 2 0": "epl",
-    "spdx license identifier BSL 1 0": "bsl",
-    "spdx license identifier GPL": "gpl",
-    "spdx license identifier LGPL": "lgpl",
-    "spdx license identifier AGPL": "agpl",
-    "spdx license identifier CC0": "cc0",
-    "spdx license identifier CC BY": "cc-by",
-    "spdx license identifier CC BY SA": "cc-by-sa",
-    "spdx license identifier CC BY NC": "cc-by-nc",
-    "spdx license identifier UNLICENSE": "unlicense",
+    "business source license": "busl",
+    "THE UNLICENSE": "unlicense",
+    "APACHE 2 0": "apache-2.0",
+    "APACHE LICENSED": "apache",
+    "MIT LICENSED": "mit",
+    "BSD LICENSED": "bsd",
 }
 
+# The parts of short names, and the identifiers of tags with their labels.
+CC_PARTS = ["BY", "BY SA", "BY NC", "BY ND", "BY NC SA", "BY NC ND"]
+GNU = ["GPL", "LGPL", "AGPL"]
+TAGS = {
+    "MIT": "mit",
+    "MIT 0": "mit-0",
+    "APACHE 1 1": "apache-1.1",
+    "APACHE 2 0": "apache-2.0",
+    "BSD 2 CLAUSE": "bsd-2-clause",
+    "BSD 3 CLAUSE": "bsd-3-clause",
+    "BSD 4 CLAUSE": "bsd-4-clause",
+    "0BSD": "0bsd",
+    "ISC": "isc",
+    "MPL 1 1": "mpl",
+    "MPL 2 0": "mpl",
+    "EPL 1 0": "epl",
+    "EPL 2 0": "epl",
+    "BSL 1 0": "bsl",
+    "BUSL 1 1": "busl",
+    "CC0": "cc0",
+    "UNLICENSE": "unlicense",
+    "ZLIB": "zlib",
+    "OFL 1 1": "ofl",
+    "ODBL 1 0": "odbl",
+    "EUPL 1 2": "eupl",
+    "ARTISTIC 2 0": "artistic",
+    "MS PL": "ms-pl",
+    "CDDL 1 0": "cddl",
+    "GFDL 1 3": "gfdl",
+}
+
+
+def families() -> dict[str, str]:
+    """Notices made of the parts: every short name alone, if it is no phrase already, and behind the words that announce it.
+
+    A name that another begins with is found in that one too, at the same place, where the longer one counts.
+    """
+    cc = {f"CC {parts}": f"cc-{parts.lower().replace(' ', '-')}" for parts in CC_PARTS}
+    gnu = {name: name.lower() for name in GNU}
+    made = {name: label for name, label in cc.items() if name.lower() not in PHRASES} | gnu | {f"{name}V{version}": name.lower() for name in GNU for version in (1, 2, 3)}
+    made |= {f"licensed under {name}": label for name, label in cc.items()} | {name.replace("CC", "creative commons"): label for name, label in cc.items()}
+    return made | {f"spdx license identifier {name}": label for name, label in (cc | gnu | TAGS).items()}
+
 
 class Match(NamedTuple):
     label: str
@@ -165,7 +192,8 @@ class Notice:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, error_rate: float = 0.1) -> None:
+    def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] | None = None, error_rate: float = 0.1) -> None:
+        notices = NOTICES | families() if notices is None else notices
         self.phrases = [(re.compile(rb"(?<= )" + re.escape(p.encode()) + rb"(?= )"), len(p.split()), label) for p, label in phrases.items()]
         self.rare = [max(p.split(), key=len).encode() for p in phrases]
         self.notices = [Notice(p, label, error_rate) for p, label in notices.items()]

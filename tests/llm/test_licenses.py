@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from tallyflow.llm.licenses import NOTICES, PHRASES, Scanner, license_scan
+from tallyflow.llm.licenses import CC_PARTS, NOTICES, PHRASES, TAGS, Scanner, families, license_scan
 from tallyflow.llm.registry import op7_license_scan
 from tests.oracle import small
 
@@ -54,6 +54,8 @@ CATALOGUE = {
     "Eclipse Public License 2.0": "epl", "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
     'THE SOFTWARE IS PROVIDED "AS IS"': "no-warranty", "licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "licenced under CC BY-ND": "cc-by-nd",
     "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa", "Creative Commons Attribution-NonCommercial-NoDerivatives": "cc-by-nc-nd", "Mozilla Public License Version 2.0": "mpl",
+    "GNU GPL v3": "gpl", "GPLv2": "gpl", "released under the LGPLv2.1": "lgpl", "AGPL-3.0": "agpl", "Apache 2.0 licensed": "apache-2.0", "Business Source License 1.1": "busl", "The Unlicense": "unlicense",
+    "CC BY-NC-SA 4.0": "cc-by-nc-sa", "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by-nc-sa", "SPDX-License-Identifier: BUSL-1.1": "busl", "Creative Commons BY-NC-ND": "cc-by-nc-nd", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl",
     "GNU Lesser General Public License": "lgpl", "GNU Affero General Public License": "agpl", "Apache License, Version 2.0": "apache-2.0", "This is free and unencumbered software": "unlicense",
 }
 
@@ -64,6 +66,26 @@ def test_catalogue(text):
     assert {m.label for m in fuzzy} == {CATALOGUE[text]}
 
 
+def test_no_name_is_taken_for_another():
+    wanted = {f"CC-{p.replace(' ', '-')}-4.0": f"cc-{p.lower().replace(' ', '-')}" for p in CC_PARTS} | {f"{g}-{v}": g.lower() for g in ("GPL", "LGPL", "AGPL") for v in ("2.0-only", "3.0-or-later")}
+    tags = wanted | {t.replace(" ", "-"): label for t, label in TAGS.items()}
+    scanner = Scanner()
+    for tag, label in tags.items():
+        for text in (f"x SPDX-License-Identifier: {tag} x", f"# SPDX-License-Identifier: {tag}\n# SPDX-FileCopyrightText: 2020"):
+            assert {m.label for m in scanner.scan(text.encode())[2]} == {label}, text
+    for one, first in tags.items():  # behind each other
+        for two, second in tags.items():
+            got = [m.label for m in scanner.scan(f"SPDX-License-Identifier: {one} x SPDX-License-Identifier: {two}".encode())[2]]
+            assert got == [first, second], (one, two)
+    for name, label in wanted.items():
+        assert {m.label for m in scanner.scan(f"under {name}, see".encode())[2]} == {label} - {"cc-by"}, name
+    made = families()
+    for notice, label in (made | NOTICES).items():
+        found = {m.label for m in scanner.scan(f"é {notice} é".encode())[2]}
+        assert found == {label}, notice
+    assert not scanner.scan(b"gplus lgplx apache 20 mit unlicensed CC BX cc by")[2]
+
+
 def test_telling_words():
     for text in ("the NIT license", "licensed under the cache license", "BSD 4 clause license", "licensed under CC BX", "SPDX-License-Identifier: MTI", "is license", "disc license"):
         assert not Scanner().scan(text.encode())[2], text
