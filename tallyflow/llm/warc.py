@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm import zip_reader
-from tallyflow.sources.shared import hinted, new_path, removed_at_exit, written
+from tallyflow.llm.common import marked
+from tallyflow.sources.shared import is_small, new_path, removed_at_exit, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _BLOCK_BYTES, _TASK_BYTES = 1 << 20, 128 << 20
+_BROADCAST_ROWS, _BROADCAST_BYTES = 100_000, 32 << 20  # payloads with copies, and bytes of their urls
+_PART = 1_000  # copies of a payload that meet in a task
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _DATE = "1970-01-01T00:00:00Z"
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,7 +83,7 @@ def _write_task(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         first = next(rows, None)
         if first is None:
             return
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         store.create_dir(top, recursive=True)
         # Another attempt writes another file; only the paths of tasks that ended well reach the manifest.
         path = f"{top}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zip"
@@ -101,21 +104,59 @@ def _write_task(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return write
 
 
+def _beside_copies(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``rows`` with first_id and first_url of those whose key is among ``firsts``, for more of them than a broadcast takes.
+
+    Only rows whose bit of a map of keys is on are shuffled. A payload with many copies is dealt into parts, to
+    each of which its first one goes, so that the most frequent page is no single task's.
+    """
+    copies = firsts.agg(F.sum("copies")).first()[0] or 0
+    # At most _BROADCAST_ROWS keys have more rows than a part: they are few enough to be everywhere.
+    parts = F.ceil(F.col("copies") / max(_PART, -(-copies // _BROADCAST_ROWS)))
+    keyed = firsts.withColumn("hash", F.xxhash64("key"))
+    hot = keyed.where(parts > 1).select("hash", parts.alias("parts"))
+    flagged = marked(rows.withColumn("hash", F.xxhash64("key")), "hash", keyed)
+    alone = flagged.where("NOT marked").select(*rows.columns, F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
+    hot = F.broadcast(written(hot.groupBy("hash").agg(F.max("parts").alias("parts")), "hot"))
+    part = F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part")
+    dealt = flagged.where("marked").join(hot, "hash", "left").select(*rows.columns, part)
+    each = keyed.join(hot, "hash", "left").select("key", "first_id", "first_url", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
+    return dealt.join(each, ["key", "part"], "left").select(*rows.columns, "first_id", "first_url").unionByName(alone)
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it; as Hadoop names them, where pyarrow has another name."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "dbfs":  # mounted on every machine
+        folder = f"file:///dbfs/{rest.lstrip('/')}"
+    elif scheme in {"s3a", "s3n"}:
+        folder = f"s3:{rest}"
+    elif scheme not in {"file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss"} and not folder.startswith("/"):
+        raise ValueError(f"archives can't be written to {folder!r}: spark.checkpoint.dir must be an absolute path or an address of file, hdfs, s3a, gs, abfs or dbfs")
+    return fs.FileSystem.from_uri(folder)
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each page; returns the manifest (path, records, bytes) of the archives.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, those with the smallest id are responses
     and the others revisit it. Null html is an empty payload; null ids are never the smallest: they revisit
     when an id has the payload, and are responses otherwise; a null url leaves its header out. Rows that repeat
-    an id and a payload share a record id. Payloads are shuffled only where too many have copies for a broadcast.
+    an id and a payload share a record id. Payloads are shuffled only where too many have copies for a broadcast, and then only those
+    that have (``_beside_copies``).
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     firsts = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.min("id").alias("first_id"), F.min_by("url", "id").alias("first_url"), F.count(F.lit(1)).alias("copies"))
-              .where("copies > 1").drop("copies"))
-    firsts = hinted(written(firsts, "copies"))
+              .where("copies > 1"))
+    firsts = written(firsts, "copies")
+    columns = ["id", "url", "payload", "first_id", "first_url"]
+    if is_small(firsts, _BROADCAST_ROWS) and firsts.agg(F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0))).first()[0] <= _BROADCAST_BYTES:
+        placed = rows.join(F.broadcast(firsts), "key", "left").select(columns)
+    else:
+        placed = _beside_copies(rows, firsts).select(columns)
     refers = F.when(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    told = rows.join(firsts, "key", "left").select("id", "url", "payload", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
+    told = placed.select("id", "url", "payload", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
     return written(told.mapInArrow(_write_task(folder), "path string, records long, bytes long"), "manifest")
 
 
@@ -138,7 +179,7 @@ def _blocks(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         return pa.RecordBatch.from_pydict({"path": [path], "at": [at], "lengths": [lengths]}, schema)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         for path in (p for b in batches for p in b.column(0).to_pylist()):
             with store.open_input_file(path) as f:
                 found = zip_reader.members(f, f.size())
@@ -162,7 +203,7 @@ def _records(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     schema = pa.schema([("id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         for path, at, lengths in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             with store.open_input_file(path) as f:
                 data, place, out = f.read_at(sum(lengths), at), 0, []

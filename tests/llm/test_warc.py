@@ -3,6 +3,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyflow.llm import oracles, warc, zip_reader
 from tallyflow.llm.registry import op3_warc_zip
@@ -48,6 +49,28 @@ def test_index_in_parts(spark, monkeypatch):
     assert list(warc._index_lines(f, 2, size)) == [b"%d {}" % i for i in range(1000)] and list(warc._index_lines(f, 2, 0)) == []
 
 
+@pytest.mark.parametrize("part", [1_000, 7])
+def test_more_copies_than_a_broadcast_takes(spark, monkeypatch, part):
+    rows = [(i if i % 11 else None, f"u{i % 5}" if i % 7 else None, "" if i % 3 == 0 else f"p{i % 40}" if i % 3 == 1 else f"alone {i}") for i in range(300)]
+    pages = spark.createDataFrame([*rows, (900, "u", None)], "page_id long, url string, html string").repartition(6)
+    whole = lambda folder: sorted(map(str, warc.read_archives(warc.write_archives(pages, folder), folder).drop("payload").collect()))
+    want = whole(warc.new_path(spark, "warc"))
+    monkeypatch.setattr(warc, "_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(warc, "_PART", part)
+    assert whole(warc.new_path(spark, "warc")) == want
+    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    firsts = rows.groupBy("key").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    told = warc._beside_copies(rows.withColumnRenamed("page_id", "id"), firsts)
+    assert told.count() == 301 and told.where("payload = cast('' AS binary)").select("first_id").distinct().collect() == [(3,)]
+
+
+def test_places_of_archives():
+    assert warc._store("file:/tmp/x")[1] == "/tmp/x" == warc._store("/tmp/x")[1] and warc._store("dbfs:/tmp/x")[1] == "/dbfs/tmp/x"
+    for bad in ("checkpoints/x", "wasb://c@h/x"):
+        with pytest.raises(ValueError, match="absolute"):
+            warc._store(bad)
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
