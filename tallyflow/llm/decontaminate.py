@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import WORD_BYTES, marked, with_results
+from tallyflow.llm.shingles import _mixed
 from tallyflow.sources.shared import hinted, is_small, new_path, removed_at_exit, written
 
 Words = tuple[bytes, ...]
 Batches = Iterator[pa.RecordBatch]
 _FOUND = 100_000  # texts with hits that are broadcast
+_MAP_BITS, _PROBES = 1 << 28, 4
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -128,19 +132,91 @@ def _search(block: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
+def _block_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` word hashes, made of its first and its last block of two words."""
+    n = max(0, len(words) - size + 1)
+    block = min(2, size)
+    key = np.full(n, size, np.uint64)
+    for at in [*range(block), *range(size - block, size)]:
+        key = _mixed(key * np.uint64(3) + words[at : at + n])
+    return key
+
+
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """_PROBES bits of a map for each key; ``bits`` is a power of 2."""
+    step = (keys >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(keys + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(_PROBES)])
+
+
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+class _Hashes(dict):
+    """64 bits for each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _mapped_bits(tests: DataFrame, count: int) -> tuple[np.ndarray, list[int]]:
+    """(a bit map of all test strings' block keys, their numbers of words). The map has at most _MAP_BITS bits, and one in
+    64 of it belongs to a test string as long as there are few enough.
+    """
+    bits = min(_MAP_BITS, max(1 << 12, 1 << (64 * count - 1).bit_length()))
+
+    def run(batches: Batches) -> Batches:
+        known = _Hashes()
+        for batch in batches:
+            rows = [(len(w), *_probes(_block_keys(_hashes(w, known), len(w)), bits).ravel().tolist()) for w in (t.as_py().split() for t in batch.column(0))]
+            for size, *on in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(on)), pa.array([b >> 6 for b in on]), pa.array(np.left_shift(np.uint64(1), np.array([b & 63 for b in on], np.uint64)).view(np.int64))], names=["size", "word", "on"])
+
+    made = tests.select("test").mapInArrow(run, "size long, word long, on long")
+    told = made.groupBy("word").agg(F.bit_or("on").alias("on"), F.collect_set("size").alias("sizes")).select("word", "on", "sizes").toArrow()
+    found = np.zeros(bits >> 6, np.int64)
+    found[told["word"].to_numpy()] = told["on"].to_numpy()
+    return found.view(np.uint64), sorted(set(told["sizes"].combine_chunks().flatten().to_pylist()))
+
+
+def _candidates(found: np.ndarray, sizes: list[int]) -> Callable[[Batches], Batches]:
+    """(key, other, text) to those texts with a run of words whose block keys are in the map: all with an occurrence, and few others."""
+    bits = len(found) << 6
+
+    def may_hold(words: np.ndarray) -> bool:
+        for size in sizes:
+            on = _probes(_block_keys(words, size), bits)
+            if ((found[on >> np.uint64(6)] >> (on & np.uint64(63))) & np.uint64(1)).all(axis=0).any():
+                return True
+        return False
+
+    def run(batches: Batches) -> Batches:
+        known = _Hashes()
+        for batch in batches:
+            yield batch.filter(pa.array([may_hold(_hashes(words_of(t.as_py()), known)) for t in batch.column(2)], pa.bool_()))
+
+    return run
+
+
 def _word_counts(columns: list[list]) -> list[list]:
     return [[len(words_of(t)) for t in columns[0]]]
 
 
 def _occurrences(texts: DataFrame, tests: DataFrame, most: int, most_bytes: int) -> DataFrame:
-    """(key, other, starts, ends, numbers) of ``texts`` (key, other, text): one pass for each block of ``tests``.
+    """(key, other, starts, ends, numbers) of ``texts`` (key, other, text), of which there is one pass.
 
     A block has about ``most`` test strings of about ``most_bytes`` together. One block at a time is on the
-    driver, in the broadcast and in the workers.
+    driver, in the broadcast and in the workers. Of several blocks a map of bits of all their suffix and prefix
+    blocks keeps, in one pass, the texts that may hold an occurrence, and each block is searched in those.
     """
     spark = texts.sparkSession
     count, size = tests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("test")), F.lit(0))).first()
     blocks = max(1, -(-count // most), -(-size // most_bytes))
+    if blocks > 1:
+        texts = written(texts.mapInArrow(_candidates(*_mapped_bits(tests, count)), texts.schema), "candidates")
     path = new_path(spark, "hits")
     kind = "key long, other long, starts array<long>, ends array<long>, numbers array<long>"
     for b in range(blocks):
@@ -160,8 +236,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     item id count as one item. Columns of ``docs`` called like a result are replaced. Empty tables of
     documents give empty ones; with an empty benchmark all are clean.
 
-    The test strings are searched in blocks of ``block_windows``, with one pass over the texts each; what a
-    pass finds is written, and put together by text, so a benchmark of any size needs the memory of a block.
+    The test strings are searched in blocks of ``block_windows``. What a block finds is written, and put together
+    by text, so a benchmark of any size needs the memory of a block, and two passes over the texts: one that
+    looks for occurrences, or for texts that may have some, and one that counts words.
     Texts are told apart by 128 bits of two hashes; repeated texts are put together as one.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))

@@ -74,6 +74,26 @@ def test_one_block_at_a_time(spark, monkeypatch):
     assert len(sizes) == 5 and sum(sizes) == 497 and not alive
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_texts_are_scanned_once_for_all_blocks(spark, monkeypatch, tmp_path, bits):
+    """A small map lets more texts through, which changes nothing."""
+    monkeypatch.setattr(decontaminate, "_MAP_BITS", bits)
+    r, rows = random.Random(8), spark.sparkContext.accumulator(0)
+    say = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    texts, items = [say(r.randrange(60)) for _ in range(80)] + [None, ""], [(i, say(r.choice([1, 2, 3, 4, 5, 12]))) for i in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    counted = F.udf(lambda t: rows.add(1) or t, "string").asNondeterministic()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = {}
+    for block in (100_000, 20, 5):
+        before = rows.value
+        docs = spark.read.parquet(str(tmp_path / "docs")).withColumn("text", counted("text"))
+        got = contamination(docs, bench, window=4, block_windows=block).orderBy("doc_id").collect()
+        assert [(x.n_words, x.n_hit, x.n_items, x.item_ids, x.contaminated) for x in got] == brute(texts, items, 4)
+        seen[block] = rows.value - before
+    assert seen[20] == seen[5] == seen[100_000]
+
+
 def test_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs, bench).count() == 0
