@@ -16,6 +16,7 @@ verified, as only the components matter.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ _HEAVY, _HEAVY_MOST = 64, 200_000
 _HOT = 50_000  # sets of a token that are not brought together
 _MANY = 1000  # members of a cell that are not brought together
 _CHUNK = 400_000  # shingles of a chunk
+_DEPTH = 4  # times that large cells are made smaller
 _STRETCH = 1 << 20
 _BITS = 1 << 24
 _ROWS = 256
@@ -343,8 +345,64 @@ def _join_chunks(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + [c for _, c in alone], pa.int64()), pa.array([False] * len(found) + [True] * len(alone))], names=["a", "b", "cell", "alone"])
 
 
-def _joined(text: DataFrame, places: DataFrame) -> DataFrame:
-    """Runs the chunks of ``places`` (of, chunk, part, cell, role, chunks, node), with their sets made again from the texts.
+def _steps() -> np.ndarray:
+    """The smallest sizes of ranges of sets, each a tenth larger than the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, 11 * out[-1] // 10))
+    return np.array(out)
+
+
+_STEPS = _steps()
+
+
+def _range_of(size: int) -> int:
+    return int(np.searchsorted(_STEPS, size, "right")) - 1
+
+
+def _outside(heavy: Broadcast, all_open: bool) -> Callable[[Batches], Batches]:
+    """Chunks of large cells to rows (cell, node, size, own, other, open, token) for each member but the pivot.
+
+    For each range ``other`` of sizes that the member may link with: the first of its shingles that aren't the
+    pivot's, so many that a linked set of that size has one of them; heavy ones are last. Where linked sets may have nothing
+    in common outside the pivot the pair of ranges is ``open``, and all are given, for partners that need some.
+    """
+
+    def run(batches: Batches) -> Batches:
+        known = heavy.value
+        for rows in _grouped(batches):
+            pivots = {cell: np.frombuffer(shingles, np.uint64) for cell, role, _, _, shingles in rows if role == 0}
+            for cell, role, _, node, shingles in rows:
+                if role == 0:
+                    continue
+                mine, pivot = np.frombuffer(shingles, np.uint64), pivots[cell]
+                n = len(mine)
+                inside = pivot[np.minimum(np.searchsorted(pivot, mine), len(pivot) - 1)] == mine
+                rest, common = mine[~inside], int(inside.sum())
+                is_heavy = known[np.minimum(np.searchsorted(known, rest), len(known) - 1)] == rest if len(known) else np.zeros(len(rest), bool)
+                rest = np.concatenate([rest[~is_heavy], rest[is_heavy]]).view(np.int64)
+                own, others, opens, tokens = _range_of(n), [], [], []
+                for other in range(_range_of(_needed(n)), _range_of(4 * n // 3) + 1):
+                    least, most = int(_STEPS[other]), int(_STEPS[other + 1]) - 1
+                    outside = -(-3 * (n + max(least, _needed(n))) // 7) - min(common, most)
+                    is_open = all_open or outside < 1
+                    first = rest[: max(0, len(rest) - max(1, outside) + 1)] if not all_open else rest[:0]
+                    others += [other] * (len(first) + is_open)
+                    opens += [False] * len(first) + [True] * is_open
+                    tokens += first.tolist() + [None] * is_open
+                if others:
+                    k = len(others)
+                    yield pa.RecordBatch.from_arrays([pa.array([cell] * k), pa.array([node] * k), pa.array([n] * k), pa.array([own] * k, pa.int32()), pa.array(others, pa.int32()), pa.array(opens), pa.array(tokens, pa.int64())],
+                                                     names=["cell", "node", "size", "own", "other", "open", "token"])
+
+    return run
+
+
+_LINKS = "a long, b long, cell long, alone boolean"
+
+
+def _with_sets(text: DataFrame, places: DataFrame) -> DataFrame:
+    """The chunks of ``places`` (of, chunk, part, cell, role, chunks, node), one behind another in a task, with their sets made again from the texts.
 
     The texts are not shuffled: a bit map of fixed size tells the tasks which sets are wanted.
     """
@@ -356,8 +414,7 @@ def _joined(text: DataFrame, places: DataFrame) -> DataFrame:
         bits[m.page * 4096 : m.page * 4096 + 4096] = m.bits
     sets = text.mapInArrow(_wanted_sets(spark.sparkContext.broadcast(bytes(bits))), "node long, shingles binary").dropDuplicates(["node"])
     key = ["of", "chunk", "part"]
-    rows = places.join(sets, "node").select(*key, "cell", "role", "chunks", "node", "shingles").repartition(*key).sortWithinPartitions(*key)
-    return written(rows.mapInArrow(_join_chunks, "a long, b long, cell long, alone boolean"), "links")
+    return places.join(sets, "node").select(*key, "cell", "role", "chunks", "node", "shingles").repartition(*key).sortWithinPartitions(*key)
 
 
 def _slice_of(node: Column, parts: Column) -> Column:
@@ -399,6 +456,11 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[tuple[int, int]]
     of_node = W.partitionBy("node")
     ranked = pairs.join(sets, "node").select("*", F.sum("shared").over(of_node).alias("all_shared"), F.sum("shared").over(of_node.orderBy("shared", "cell").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("up_to"))
     pairs = written(ranked.where((F.col("all_shared") >= least) & (F.col("up_to") > (least - 1) / 2)).select("node", "cell", "shared", "size"), "pairs")
+    return _links_in_cells(text, pairs, known, 0)
+
+
+def _links_in_cells(text: DataFrame, pairs: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
+    """(a, b) links that connect all linked sets that are in a cell of ``pairs`` (node, cell, shared, size) together."""
     cells = pairs.groupBy("cell").agg(F.sum("size").alias("shingles"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     cells = cells.withColumn("chunks", F.ceil(F.col("shingles") / _CHUNK)).withColumn("class", F.when(F.col("chunks") == 1, F.floor(F.log2(F.col("shingles") / F.col("members")))))
     cells = written(cells, "cells")
@@ -413,22 +475,48 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[tuple[int, int]]
     members = rows.where("node <> pivot").select("of", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(1).alias("role"), "chunks", "node", "size")
     pivots = cells.select("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(0).alias("role"), "chunks", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("size"))
     places = written(members.unionByName(pivots), "places")
-    first = _joined(text, places.drop("size"))
+    first = written(_with_sets(text, places.drop("size")).mapInArrow(_join_chunks, _LINKS), "links")
     links = first.where("NOT alone").select("a", "b")
     alone = first.where("alone").select("cell", F.col("a").alias("node"))
     if alone.isEmpty():
         return links
-    # The rest of the large cells: what isn't connected with the pivot meets the cell's other chunks.
-    large = places.where("role = 1 AND chunks > 1").drop("part")
-    alone = written(alone.join(large, ["cell", "node"]), "alone")
-    parts = alone.groupBy("cell").agg(F.ceil(F.sum("size") / _CHUNK).alias("parts"))
-    all_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    parts = hinted(written(parts, "parts"))
-    targets = large.join(parts, "cell").select("of", "chunk", all_parts, "cell", "role", "chunks", "node")
-    probes = alone.join(parts, "cell").withColumn("own", F.col("chunk")).select(
-        "cell", "of", "own", _slice_of(F.col("node"), F.col("parts")).alias("part"), "chunks", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).where("own <> chunk")
-    more = written(targets.unionByName(probes.select("of", "chunk", "part", "cell", F.lit(2).alias("role"), "chunks", "node")), "places")
-    return links.unionByName(_joined(text, more).select("a", "b"))
+    return links.unionByName(_rest(text, places, written(alone, "alone"), heavy, depth))
+
+
+def _rest(text: DataFrame, places: DataFrame, alone: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
+    """Links of the sets of large cells that aren't connected with their cell's pivot: ``alone`` (cell, node).
+
+    What two sets have in common is inside the pivot or outside. Inside it is at most what either has in common with the pivot, so
+    linked sets need so many common shingles outside, for which a prefix of those is enough: sets that share
+    a template, and hardly more, don't meet again. Sets that do meet in smaller cells. Pairs of sizes at
+    which sets may link within the pivot alone are compared chunk by chunk.
+    """
+    # Only cells with such a set have anything left; they are large and few.
+    large = places.where("chunks > 1").join(hinted(written(alone.select("cell").distinct(), "cells")), "cell")
+    outside = _with_sets(text, large.drop("size")).mapInArrow(_outside(heavy, depth >= _DEPTH), "cell long, node long, size long, own int, other int, open boolean, token long")
+    outside = written(outside.join(alone.withColumn("alone", F.lit(True)), ["cell", "node"], "left").withColumn("alone", F.coalesce("alone", F.lit(False))), "outside")
+    key = ["cell", "low", "high", "token"]
+    held = outside.where("token IS NOT NULL").select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "token", "node", "size", "alone")
+    groups = held.groupBy(*key).agg(F.min("node").alias("first"), F.max("alone").alias("any"), F.count(F.lit(1)).alias("sets")).where("any AND sets > 1").select(*key, "first")
+    smaller = held.join(groups, key).groupBy("node", F.xxhash64("cell", "low", "high", "first").alias("cell")).agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+    smaller = written(smaller, "pairs")
+    links = [] if smaller.isEmpty() else [_links_in_cells(text, smaller, heavy, depth + 1)]
+    inside = outside.where("open").select("cell", "node", "size", "own", "other", "alone").distinct()
+    meets = inside.where("alone").select("cell", F.col("own").alias("other"), F.col("other").alias("own")).distinct()
+    targets = inside.join(meets, ["cell", "own", "other"]).withColumn("of", F.xxhash64("cell", "own", "other"))
+    targets = written(targets, "targets")
+    if not targets.isEmpty():
+        probes = inside.where("alone").withColumn("of", F.xxhash64("cell", "other", "own"))
+        whole = hinted(written(targets.groupBy("of").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks")).join(
+            probes.groupBy("of").agg(F.ceil(F.sum("size") / _CHUNK).alias("parts")), "of"), "parts"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        columns = ["of", "chunk", "part", "cell", "role", "chunks", "node"]
+        targets = targets.join(whole, "of").withColumn("chunk", _slice_of(F.col("node"), F.col("chunks"))).withColumn("role", F.lit(1)).select("*", every("parts").alias("part")).select(columns)
+        probes = probes.join(whole, "of").withColumn("part", _slice_of(F.col("node"), F.col("parts"))).withColumn("role", F.lit(2)).select("*", every("chunks").alias("chunk")).select(columns)
+        more = written(targets.unionByName(probes), "places")
+        links.append(written(_with_sets(text, more).mapInArrow(_join_chunks, _LINKS), "links").select("a", "b"))
+    none = text.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.unionByName, links, none)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 import re
+from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyflow.llm import jaccard_join, oracles
@@ -78,6 +81,61 @@ def test_against_brute_force(spark, monkeypatch, chunk, hot, many):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def templated(seed, n, common):
+    """Texts of a template of ``common`` words and 25 words of their own; some are edited copies of others, some are parts of the template."""
+    r = random.Random(seed)
+    template, out = [f"t{i}" for i in range(common)], []
+    for i in range(n):
+        own = [f"u{r.randrange(10**6)}" for _ in range(25)]
+        if i % 5 == 1:
+            own = out[-1].split()[-25:]
+            own[r.randrange(25)] = "edited"
+        w = template + own
+        if i % 7 == 3:
+            w = w[: r.randrange(common // 2, len(w))]
+        if i % 11 == 4:
+            w = w + [f"v{k % 3} {i % 2}" for k in range(r.randrange(30))]
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("depth", [4, 1, 0])
+@pytest.mark.parametrize("common", [78, 100])
+def test_texts_that_share_a_template(spark, monkeypatch, common, depth):
+    monkeypatch.setattr(jaccard_join, "_CHUNK", 1500)
+    monkeypatch.setattr(jaccard_join, "_DEPTH", depth)
+    monkeypatch.setattr(jaccard_join, "_HEAVY", 4)
+    rows = list(enumerate(templated(common, 120, common)))
+    random.Random(2).shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows)
+    assert len({c for _, _, c in want}) < len(want) - 20
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_what_is_outside_the_pivot():
+    """Every linked pair shares a token of its ranges of sizes, or both are open there."""
+    sets = [np.sort(s) for s in shingle_sets([t.encode() for t in templated(5, 150, 90)])]
+    batch = pa.RecordBatch.from_pydict({"of": [1] * 150, "chunk": [0] * 150, "part": [0] * 150, "cell": [7] * 150, "role": [0] + [1] * 149, "chunks": [2] * 150, "node": list(range(150)), "shingles": [s.tobytes() for s in sets]})
+    heavy = SimpleNamespace(value=np.zeros(0, np.uint64))
+    told = [r for b in jaccard_join._outside(heavy, False)(iter([batch])) for r in b.to_pylist()]
+    tokens, opens = defaultdict(set), set()
+    for r in told:
+        tokens[r["node"], r["own"], r["other"]].add(r["token"])
+        if r["open"]:
+            opens.add((r["node"], r["own"], r["other"]))
+    own, linked, met = {r["node"]: r["own"] for r in told}, 0, 0
+    for i in range(1, 150):
+        for k in range(1, i):
+            if 7 * len(np.intersect1d(sets[i], sets[k])) >= 3 * (len(sets[i]) + len(sets[k])):
+                a, b = (i, own[i], own[k]), (k, own[k], own[i])
+                assert (tokens[a] & tokens[b]) - {None} or {a, b} <= opens
+                linked += 1
+            elif i in own and k in own:
+                met += bool((tokens[i, own[i], own[k]] & tokens[k, own[k], own[i]]) - {None})
+    assert linked > 20 and met < linked
+
+
 def test_classes_of_sets_that_link():
     for n in [*range(1, 3000), 10**6, 10**9 + 7]:
         at, most = (np.searchsorted(jaccard_join._CLASSES, m, "right") for m in (n, 4 * n // 3))
