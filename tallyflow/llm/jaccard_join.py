@@ -34,6 +34,7 @@ _HEAVY, _HEAVY_MOST = 64, 200_000
 _HOT = 50_000  # sets of a token that are not brought together
 _MANY = 1000  # members of a cell that are not brought together
 _CHUNK = 400_000  # shingles of a chunk
+_TRIES = 100  # searches of members of a large cell before it is asked whether they find something
 _DEPTH = 4  # times that large cells are made smaller
 _STRETCH = 1 << 20
 _BITS = 1 << 24
@@ -106,11 +107,12 @@ class _Sets:
         return i != k
 
 
-def chunk_links(sets: list[np.ndarray], cells: list[list[int]], probes: list[int], others: int) -> tuple[list[tuple[int, int]], _Sets]:
+def chunk_links(sets: list[np.ndarray], cells: list[list[int]], probes: list[int], others: int, large: frozenset[int] = frozenset()) -> tuple[list[tuple[int, int]], _Sets]:
     """(links that connect what wasn't connected, union-find) of the sets of a chunk.
 
     The first ``others`` sets are in the tree. Of each cell the first set, its pivot, searches it, then every
-    member that isn't connected with the pivot; ``probes`` search it in any case. No set searches twice.
+    member that isn't connected with the pivot; ``probes`` search it in any case. No set searches twice. In one of the ``large``
+    cells, whose sets meet again elsewhere, members stop searching when hardly any finds something.
     """
     found: list[tuple[int, int]] = []
     known = _Sets(len(sets))
@@ -131,11 +133,16 @@ def chunk_links(sets: list[np.ndarray], cells: list[list[int]], probes: list[int
                 if known.join(i, k):
                     found.append((i, k))
 
-    for pivot, *members in cells:
+    for number, (pivot, *members) in enumerate(cells):
         search(pivot)
+        tried, hits = 0, 0
         for i in members:
             if known.find(i) != known.find(pivot):
+                if number in large and tried >= _TRIES and 10 * hits < tried:
+                    break
+                before = len(found)
                 search(i)
+                tried, hits = tried + 1, hits + (len(found) > before)
     for i in probes:
         search(i)
     return found, known
@@ -337,7 +344,8 @@ def _join_chunks(batches: Batches) -> Batches:
                     of_cell[cell] = chunks
                     cells.append([])
                 cells[-1].append(place[node])
-        found, known = chunk_links(sets, cells, [place[r[3]] for r in rows if r[1] == 2], others)
+        large = frozenset(i for i, chunks in enumerate(of_cell.values()) if chunks > 1)
+        found, known = chunk_links(sets, cells, [place[r[3]] for r in rows if r[1] == 2], others, large)
         nodes = list(place)
         alone = [(i, cell) for members, (cell, chunks) in zip(cells, of_cell.items(), strict=True) if chunks > 1 for i in members[1:] if known.find(i) != known.find(members[0])]
         a, b = [nodes[i] for i, _ in found] + [nodes[i] for i, _ in alone], [nodes[k] for _, k in found] + [None] * len(alone)

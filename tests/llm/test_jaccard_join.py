@@ -99,13 +99,13 @@ def templated(seed, n, common):
     return out
 
 
-@pytest.mark.parametrize("depth", [4, 1, 0])
-@pytest.mark.parametrize("common", [78, 100])
-def test_texts_that_share_a_template(spark, monkeypatch, common, depth):
-    monkeypatch.setattr(jaccard_join, "_CHUNK", 1500)
+@pytest.mark.parametrize(("common", "n", "chunk", "depth"), [(78, 120, 1500, 4), (100, 120, 1500, 1), (78, 120, 1500, 0), (78, 450, 22_000, 4), (100, 450, 28_000, 0)])
+def test_texts_that_share_a_template(spark, monkeypatch, common, n, chunk, depth):
+    """In the larger ones a chunk has more members than search it without finding anything."""
+    monkeypatch.setattr(jaccard_join, "_CHUNK", chunk)
     monkeypatch.setattr(jaccard_join, "_DEPTH", depth)
     monkeypatch.setattr(jaccard_join, "_HEAVY", 4)
-    rows = list(enumerate(templated(common, 120, common)))
+    rows = list(enumerate(templated(common, n, common)))
     random.Random(2).shuffle(rows)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = brute(rows)
