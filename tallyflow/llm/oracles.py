@@ -110,3 +110,22 @@ scores AS (SELECT row, doc_id, len(w) AS n_features, COALESCE(weight, 0) AS weig
 ranked AS (SELECT row, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, COUNT(*) OVER () AS n FROM scores WHERE n_features >= 20)
 SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scores LEFT JOIN ranked USING (row)
 """
+
+LICENSE_BASE = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w)), lambda i: w[i : i + 1] = ['cc', 'by']) AS cc,
+             list_filter(range(1, len(w) - 1), lambda i: w[i : i + 2] = ['general', 'public', 'license']) AS gpl, list_filter(range(1, len(w) - 1), lambda i: w[i : i + 2] = ['all', 'rights', 'reserved']) AS reserved FROM d)
+SELECT doc_id, n_words, len(cc) + len(gpl) + len(reserved) AS n_base, list_min(cc || gpl || reserved) - 1 AS first_word, list_max(cc || gpl || reserved) - 1 AS last_word,
+       array_to_string(list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(reserved) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p
+"""
+
+PII_COUNTS = r"""
+WITH t AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+             list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+             list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, len(email) AS n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: len(ltrim(p, '0')) > 3 OR ('0' || ltrim(p, '0')[1:3])::INT > 255)) = 0)) AS n_ip,
+       len(list_filter(card, lambda x: len(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[len(x) - i + 1]::INT
+           ELSE 2 * x[len(x) - i + 1]::INT - CASE WHEN x[len(x) - i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+       len(list_filter(phone, lambda n: n BETWEEN 10 AND 15)) AS n_phone FROM m
+"""

@@ -98,6 +98,9 @@ QUERIES: dict[str, Query] = {
     "op11_phrases": op11_phrases,
     "op12_resample": op12_resample,
     "op13_sentencepiece": op13_sentencepiece,
+    # What SQL can express of operators that find more.
+    "license_base": lambda s, d: op7_license_scan(s, d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "pii_counts": lambda s, d: op9_find_pii(s, d).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +112,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": oracles.JACCARD,
     "op11_phrases": oracles.PHRASES,
     "op12_resample": oracles.RESAMPLE,
+    "license_base": oracles.LICENSE_BASE,
+    "pii_counts": oracles.PII_COUNTS,
 }

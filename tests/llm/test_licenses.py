@@ -5,8 +5,8 @@ import time
 import pytest
 
 from tallyflow.llm.licenses import CC_PARTS, NOTICES, PHRASES, TAGS, Scanner, families, license_scan
-from tallyflow.llm.registry import op7_license_scan
-from tests.oracle import small
+from tallyflow.llm.registry import ORACLE_SQL, QUERIES, op7_license_scan
+from tests.oracle import assert_same, small
 
 
 def brute(text):
@@ -28,6 +28,10 @@ def test_base_against_brute_force(spark):
     assert {"mit", "apache-2.0", "gpl", "reserved", "cc-by,cc-by-nc"} <= {r.labels for r in got}
 
 
+def test_base_against_sql(spark):
+    assert_same(QUERIES["license_base"](spark, small("sf0.01")), ORACLE_SQL["license_base"], small("sf0.01"))
+
+
 def test_bounded_errors():
     _, base, fuzzy = Scanner().scan("é All  rigts reserved, x. CC-BY cc by cc by".encode())
     assert [(m.label, m.first_word, m.last_word, m.edits) for m in fuzzy] == [("reserved", 1, 3, 1)]

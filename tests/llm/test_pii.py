@@ -4,8 +4,8 @@ import re
 import time
 
 from tallyflow.llm.pii import KINDS, Span, detect, exact, find_pii, joined
-from tallyflow.llm.registry import op9_find_pii
-from tests.oracle import small
+from tallyflow.llm.registry import ORACLE_SQL, QUERIES, op9_find_pii
+from tests.oracle import assert_same, small
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -187,3 +187,7 @@ def test_edges(spark):
     assert [(r.doc_id, r.n_email, r.spans) for r in got[:5]] == [(1, 0, ""), (2, 0, ""), (None, 1, "email:0:5"), (4, 1, "email:0:5"), (4, 1, "email:0:5")]
     assert len(got) == len(rows)
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_against_sql(spark):
+    assert_same(QUERIES["pii_counts"](spark, small("sf0.01")), ORACLE_SQL["pii_counts"], small("sf0.01"))
