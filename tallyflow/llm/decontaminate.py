@@ -233,7 +233,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
 
     A word is hit when inside any occurrence of a window of any item. Null and empty texts have no words and
     are clean; rows without words hit nothing; rows without an item id hit words but are no item; rows of one
-    item id count as one item. Columns of ``docs`` called like a result are replaced. Empty tables of
+    item id count as one item. Very long texts are searched whole, one at a time. Columns of ``docs`` called like a result are
+    replaced. Empty tables of
     documents give empty ones; with an empty benchmark all are clean.
 
     The test strings are searched in blocks of ``block_windows``. What a block finds is written, and put together

@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after replacing each run of ASCII white space by one space. Null text
     counts as empty, and empty texts are one group. Of equal texts the row with the smallest id stays; null
     ids come last, and of rows that repeat an id any one stays (``kept`` is true for exactly one row a
-    group). Other columns are not read. An empty table gives an empty one.
+    group). Very long texts are compared whole. Other columns are not read. An empty table gives an empty one.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(

@@ -535,7 +535,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as one. Null and texts without words have no shingles, link with nothing, and keep their own id; null
     ids are never the smallest. Sets and shingles are told apart by 64-bit hashes. Every row is joined: no
     group is capped, and the broadcasts (heavy shingles, which only order and route; a bit map) have fixed
-    bounds. Other columns are not read. An empty table gives an empty one.
+    bounds. A very long text is one set, however many shingles it has. Other columns are not read. An empty
+    table gives an empty one.
     """
     found = _components(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")))
     return found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

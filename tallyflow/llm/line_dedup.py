@@ -248,8 +248,8 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, id_col: str
     (null ids last), or earlier in the same text. The first of equal lines so stays unless a near line comes
     before. Rows that repeat an id are told apart by their texts; rows that repeat both are one. Null text
     stays null with no lines. Columns called n_lines or n_dropped are replaced. Lines are told apart by 128
-    bits of two hashes, texts of one id by 64; near lines are verified by their characters. An empty table
-    gives an empty one.
+    bits of two hashes, texts of one id by 64; near lines are verified by their characters. Very long
+    texts are cut at their lines only; a very long line is compared whole. An empty table gives an empty one.
     """
     if edits < 1 or min_chars <= edits:
         raise ValueError("at least one edit, and lines longer than the edits")

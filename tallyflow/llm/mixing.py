@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     Null text has size 0 and is taken 0 times; null is a source of its own, last in order; equal draws go by
     id (null last), then size; of rows that repeat an id and a size one may be taken and another not; other
     columns are not read. ``max_epochs`` must be at least ``share`` for targets to be reached; beyond that
-    every source stays at its cap. An empty table gives an empty one.
+    every source stays at its cap. Words of very long texts are counted whole. An empty table gives an empty one.
     """
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")), "sizes")

@@ -197,6 +197,11 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, thres
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``id_col``, held_out, score, predicted. Rows without id are held out; rows that repeat an id have a row each; other columns are not returned."""
+    """One row per document: ``id_col``, held_out, score, predicted.
+
+    Rows without id are held out; rows that repeat an id, or a text, have a row each. Null and empty texts get a
+    score like any other, of the features of an empty text. A very long text is read whole. Without labels every
+    score is 0.5. Other columns are neither read nor returned, so none can clash. An empty table gives an empty one.
+    """
     scored = classify(docs, train(docs, labels, id_col=id_col), keep=[id_col])
     return scored.select(id_col, F.coalesce(remainder(F.col(id_col)) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
