@@ -7,10 +7,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -82,11 +84,31 @@ def release(*tables: DataFrame) -> None:
             files.delete(place, True)
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether a written table has at most ``rows`` rows, which bounds what a broadcast of it takes."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """What a value takes, about: eight bytes, or those of its texts, elements and fields."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value).cast("long")
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = reduce(Column.__add__, [_bytes(value[f.name], f.dataType) for f in kind], F.lit(0).cast("long"))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(0).cast("long")) + 8
 
 
-def hinted(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A side of a join: broadcast when its measured size allows, else left to the planner."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def is_small(df: DataFrame, rows: int, most_bytes: int = 64 << 20) -> bool:
+    """Whether a written table has at most ``rows`` rows of ``most_bytes`` together, which bounds what a broadcast of it takes.
+
+    Only the rows' sizes are brought together, of ``rows`` + 1 rows at most.
+    """
+    size = _bytes(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
+    n, total = df.select(size.alias("size")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n <= rows and total <= most_bytes
+
+
+def hinted(df: DataFrame, rows: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A side of a join: broadcast when its measured rows and bytes allow, else left to the planner."""
+    return F.broadcast(df) if is_small(df, rows, most_bytes) else df

@@ -31,6 +31,15 @@ def test_written_tables(spark):
     assert "broadcast" in hinted(df, 10)._jdf.queryExecution().logical().toString().lower() and "broadcast" not in hinted(df, 9)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_few_rows_of_many_bytes_are_not_broadcast(spark):
+    rows = [(1, "x" * 1000, ["ab"] * 50, {"k": "v" * 100}, (2, "y" * 200)), (2, None, None, None, None), (3, "é" * 500, [None, "c"], {}, (None, None))]
+    df = written(spark.createDataFrame(rows, "n long, text string, list array<string>, map map<string, string>, inner struct<a: int, b: string>"), "wide")
+    least, most = 3 * 8 + 1000 + 1000 + 50 * 2 + 1 + 100 + 200, 4000  # what the values take, and with some bytes for each beside
+    assert is_small(df, 3, most) and not is_small(df, 3, least) and not is_small(df, 2, most)
+    assert is_small(df.limit(0), 0, 0)
+    assert "broadcast" not in hinted(df, 3, least)._jdf.queryExecution().logical().toString().lower()
+
+
 def test_tables_are_deleted_when_the_application_ends(spark):
     path = new_path(spark, "numbers")
     spark.range(3).write.parquet(path)
