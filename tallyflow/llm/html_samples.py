@@ -102,9 +102,20 @@ class _Writer:
                     self.block(str(r.choice(["p", "div", "p"])), self.prose(r.integers(2, 40)), 0)
         self.html.append(end)
 
-    def article(self) -> None:
+    def link_line(self, n: int) -> None:
+        """Links one behind the other in one block."""
+        between = str(self.rng.choice([" ", "<br>", " | "]))
+        self.html.append(f"<div>{between.join(f'<a href=/x>{self.words(self.rng.integers(1, 4), 0.25)}</a>' for _ in range(n))}</div>")
+        self.labels.append(0)
+
+    def legal_line(self) -> str:
+        mark = str(self.rng.choice(["&copy; ", "Copyright ", "Copyright &copy; "]))
+        rest = str(self.rng.choice(["", ". All rights reserved.", " | Privacy | Terms"]))
+        return f"{mark}{self.rng.integers(1995, 2030)} {self.words(self.rng.integers(1, 4)).title()}{rest}"
+
+    def article(self, wrapped: bool = True) -> None:
         r = self.rng
-        start, end = self.opened([a for a in ARTICLES if "body-part" not in a])
+        start, end = self.opened([a for a in ARTICLES if "body-part" not in a]) if wrapped else ("", "")
         self.html.append(start)
         if r.random() < 0.85:
             heading = f"<header><h1>{self.words(r.integers(2, 12))}</h1></header>" if r.random() < 0.1 else f"<h1>{self.words(r.integers(2, 12))}</h1>"
@@ -140,10 +151,73 @@ class _Writer:
         self.html.append(end)
 
 
+def _plain(w: _Writer) -> None:
+    """Hardly anything around the article, and no name or tag that tells: a line of links, a line of copyright or neither."""
+    r = w.rng
+    w.opaque = True
+    if r.random() < 0.4:
+        start, end = w.opened(MENUS)
+        w.html.append(start)
+        if r.random() < 0.5:
+            w.links(r.integers(2, 7), r.random() < 0.5)
+        else:
+            w.link_line(r.integers(2, 7))
+        w.html.append(end)
+    w.article()
+    if r.random() < 0.5:
+        start, end = w.opened(FOOTERS)
+        w.html.append(f"{start}{w.legal_line()}{end}")
+        w.labels.append(0)
+
+
+def _tabled(w: _Writer) -> None:
+    """The page as a table: links in a cell or a row, the article in a cell, a copyright line in the last row."""
+    r = w.rng
+    cell = "<td>" if r.random() < 0.5 else f"<td width='{r.integers(80, 600)}' valign='top'>"
+    w.html.append("<table><tr>" if r.random() < 0.5 else "<center><table border='0'><tbody><tr>")
+    if r.random() < 0.3:
+        w.html.append(f"<td colspan='2'><h1>{w.words(r.integers(1, 4))}</h1></td></tr><tr>")
+        w.labels.append(0)
+    menu = r.random()
+    if menu < 0.8:
+        w.html.append(cell)
+        if r.random() < 0.5:
+            w.link_line(r.integers(2, 9))
+        else:
+            w.links(r.integers(2, 9), r.random() < 0.5)
+        w.html.append("</td>" if menu < 0.5 else "</td></tr><tr>")
+    w.html.append(cell)
+    w.article(wrapped=r.random() < 0.3)
+    w.html.append("</td>")
+    if r.random() < 0.2:
+        w.html.append(cell)
+        w.links(r.integers(1, 6), False)
+        w.html.append("</td>")
+    w.html.append("</tr>")
+    if r.random() < 0.8:
+        w.html.append(f"<tr><td colspan='2'>{w.legal_line()}</td></tr>")
+        w.labels.append(0)
+    w.html.append("</table>")
+
+
 def page(rng: np.random.Generator) -> tuple[str, list[int]]:
     """(html, label of each block in page order: 1 for the article's)."""
     w = _Writer(rng)
     w.html.append("<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>")
+    layout = rng.random()
+    if layout < 0.1:
+        _plain(w)
+    elif layout < 0.2:
+        _tabled(w)
+    else:
+        _parts(w)
+    w.html.append("</body></html>")
+    return "".join(w.html), w.labels
+
+
+def _parts(w: _Writer) -> None:
+    """Any of the usual parts before the article, and any behind it."""
+    rng = w.rng
     before = [HEADERS, MENUS, NOTICES, ADVERTS, FORMS, SHARES, SIDES]
     after = [COMMENTS, SIDES, SHARES, FORMS, ADVERTS, NOTICES, MENUS]
     for part in before:
@@ -156,5 +230,3 @@ def page(rng: np.random.Generator) -> tuple[str, list[int]]:
             w.outside(part)
     if rng.random() < 0.8:
         w.outside(FOOTERS)
-    w.html.append("</body></html>")
-    return "".join(w.html), w.labels

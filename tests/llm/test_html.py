@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 
 from tallyflow.llm.html_blocks import blocks
 from tallyflow.llm.html_extract import extract, trained
@@ -85,6 +86,19 @@ def test_other_layouts():
     assert [b.text for b, m in zip(found, marks, strict=True) if m] == ["Title & more", "First paragraph.", "Second one."]
 
 
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<div class='xqz'><p>The council met on Monday and agreed on a new budget for the schools. It will be spent on teachers.</p></div>", [0]),
+    ("<div class='a'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='xqz'><p>The council met on Monday and agreed on a new budget. It was late.</p>"
+     "<p>Next year the plan will be reviewed by a committee of experts from the region.</p></div><div class='b'>Copyright 2020 Acme</div>", [1, 2]),
+    ("<table><tr><td><a href='/'>Home</a><br><a href='/x'>About</a></td><td><h1>A long walk</h1><p>We left the village at dawn and walked along the river until noon.</p>"
+     "<p>In the evening we came to a small inn where we stayed.</p></td></tr><tr><td colspan=2>Copyright 2003 John. All rights reserved.</td></tr></table>", [1, 2, 3]),
+    ("<p>Only one paragraph of text that stands here alone, without anything.</p>", [0]),
+    ("<nav><a>Home</a></nav>", []),
+])
+def test_pages_without_telling_names(page, wanted):
+    assert np.flatnonzero(trained().label([blocks(page)])[0]).tolist() == wanted
+
+
 def test_edges(spark):
     long = "<article>" + "<p>word and more.</p>" * 20000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<nav><a>x</a></nav>"), (4, "u", long), (4, "u", long), (5, "u", "<article><p>é\U0001f600.</p></article>")]
