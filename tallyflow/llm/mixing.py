@@ -27,6 +27,12 @@ def _running(df: DataFrame, order: list[Column | str], sums: dict[str, Column])
     return told.select(*df.columns, *[(F.col(f"_{name}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in sums.items()])
 
 
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number below _DRAWS for each id; rows without an id draw by their text, so that many of them don't share one."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 8), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """(source, source_size) to their targets; one row a source, and no row for no sources.
 
@@ -54,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Of a source with a target of so many epochs every document is taken whole for each full epoch, ``repeats``
     times. What the target has beyond those is a seeded sample: the source's documents in the order of a draw
-    on their ids, whole ones until the next doesn't fit, of which the first words that fit are taken;
+    on their ids (on their texts where the id is null), whole ones until the next doesn't fit, of which the first words that fit are taken;
     ``part_words`` is what a document gives to that sample. A source is so within one word of its target.
 
     Draws are dealt into buckets: sums of the buckets tell where a source's sample ends, and only the rows of
@@ -65,8 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     columns are not read. ``max_epochs`` must be at least ``share`` for targets to be reached; beyond that
     every source stays at its cap. Words of very long texts are counted whole. An empty table gives an empty one.
     """
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")), "sizes")
+    drawn = draw(F.col(id_col), F.col(text_col), seed).alias("draw")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), drawn), "sizes")
     buckets = written(sized.groupBy("source", F.expr(f"draw div {_BUCKET}").alias("bucket")).agg(F.sum("size").alias("words")), "buckets")
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     goal = goal.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))

@@ -8,7 +8,7 @@ FROM t JOIN g ON g.norm = t.norm
 """
 
 MIX = r"""
-WITH t AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH t AS (SELECT doc_id, source, COALESCE(doc_id::VARCHAR, 'text:' || md5(COALESCE(text, ''))) AS drawn, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size FROM t GROUP BY source),
 r AS (SELECT *, CAST([5, 2, 1] AS DOUBLE[])[((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 q AS (SELECT *, cap / weight AS ratio FROM r),
@@ -17,7 +17,7 @@ l AS (SELECT *, (1.5::DOUBLE * SUM(source_size) OVER () - COALESCE(SUM(cap) OVER
 f AS (SELECT (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level DESC LIMIT 1) AS fit),
 g AS (SELECT source, source_size, LEAST(COALESCE(fit * weight, cap), cap) AS target FROM l, f),
 d AS (SELECT doc_id, size, t.source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats,
-             ('0x' || substr(md5('7:' || COALESCE(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
+             ('0x' || substr(md5('7:' || drawn), 1, 8))::BIGINT AS draw
       FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
 p AS (SELECT *, floor(target - repeats * source_size)::BIGINT
              - COALESCE(SUM(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS space FROM d)

@@ -1,9 +1,10 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyflow.llm import oracles
-from tallyflow.llm.mixing import mix
+from tallyflow.llm.mixing import draw, mix
 from tallyflow.llm.registry import op2_mix_sources
 from tests.oracle import assert_same, small
 
@@ -62,6 +63,16 @@ def test_documents_are_taken_whole(spark):
     assert below > 2
 
 
+def test_rows_without_an_id_draw_apart(spark):
+    docs = spark.createDataFrame([(None, f"{'w ' * (i % 30)}{i}", "a" if i % 3 else "b") for i in range(2000)] + [(None, None, "a"), (None, "", "a"), (5, "x", "a"), (5, "y", "a")],
+                                 "doc_id long, text string, source string")
+    drawn = docs.select("doc_id", "text", draw(F.col("doc_id"), F.col("text"), 7).alias("draw")).collect()
+    assert len({r.draw for r in drawn if r.doc_id is None and r.text}) == 2000 and len({r.draw for r in drawn if not r.text}) == 1
+    assert len({r.draw for r in drawn if r.doc_id == 5}) == 1 and all(0 <= r.draw < 1 << 32 for r in drawn)
+    got = mix(docs).collect()
+    assert len(got) == 2004 and sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(9)).collect()))
+
+
 def test_many_sources(spark):
     rows = [(i, "w " * (1 + i * 7 % 50), f"host{i % 700:03d}") for i in range(3000)]
     size = defaultdict(int)
