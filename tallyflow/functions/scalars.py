@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Times as clients write them.
+MINUTES = "yyyy/MM/dd H:mm"
+#: The same, with seconds and their fraction where a text has them.
+EXACT = "yyyy/MM/dd H:mm[:ss[.SSSSSS]]"
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -18,9 +22,9 @@ def to_bank(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
 
 
-def to_timestamp(text: Column) -> Column:
-    """``yyyy/MM/dd H:mm`` in UTC, whatever the session's time zone; null when malformed."""
-    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyy/MM/dd H:mm xx"))
+def to_timestamp(text: Column, form: str = MINUTES) -> Column:
+    """A time of that form in UTC, whatever the session's time zone; null when malformed."""
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{form} xx"))
 
 
 def utc_day(ts: Column) -> Column:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.functions.scalars import MINUTES
 from tallyflow.operators.aggregates import Keys
 from tallyflow.params import Params
 from tallyflow.plans.questions import needed, questions
@@ -45,13 +46,13 @@ def _watched(decoded: DataFrame, by: Keys) -> tuple[DataFrame, Observation]:
     return decoded.observe(seen, *[F.count_if(F.expr(f"coalesce({e}, false)")).alias(k) for k, e in count.items()], *clients), seen
 
 
-def read_once(spark: SparkSession, path: str, p: Params, declared: int | None = None, by: Keys = ()) -> tuple[DataFrame, DataFrame, Rows]:
+def read_once(spark: SparkSession, path: str, p: Params, declared: int | None = None, by: Keys = (), time_form: str = MINUTES) -> tuple[DataFrame, DataFrame, Rows]:
     """(transactions that any question needs, rows that can't be read, counts of all), of one pass over the files.
 
     What is needed of the files is written as a table, where the questions prune rows and columns; the rows are
     counted while they pass. With ``declared`` another number of rows raises IncompleteInput. Blank lines and headers are no rows.
     """
-    decoded, seen = _watched(decoded_csv(spark, path, by), by)
+    decoded, seen = _watched(decoded_csv(spark, path, by, time_form), by)
     odd = F.col("reason").isNotNull()
     raw = [F.when(odd, F.col(c)).alias(f"raw {c}") for c in RAW]
     table = written(decoded.where(needed(p) | odd).select(*by, *CANONICAL, "reason", *raw), "submission")
@@ -61,7 +62,7 @@ def read_once(spark: SparkSession, path: str, p: Params, declared: int | None =
     return table.where(IS_ROW).where(needed(p)).select(*by, *CANONICAL), table.where("reason IS NOT NULL").select(*by, *[F.col(f"raw {c}").alias(c) for c in RAW], "reason"), rows
 
 
-def submit(spark: SparkSession, transactions: str, accounts: str, rates: DataFrame, p: Params, folder: str, declared: int | None = None, by: Keys = (), name: str = "submission") -> dict[str, int]:
+def submit(spark: SparkSession, transactions: str, accounts: str, rates: DataFrame, p: Params, folder: str, declared: int | None = None, by: Keys = (), name: str = "submission", time_form: str = MINUTES) -> dict[str, int]:
     """Answers all five questions in ``folder``, and returns how many rows were read, accepted and refused, and how many each result has.
 
     Results are written beside their places and moved there when all are whole; ``rows.json``, which is written
@@ -73,7 +74,7 @@ def submit(spark: SparkSession, transactions: str, accounts: str, rates: DataFra
     staging = f"{folder}/_staging-{uuid.uuid4().hex}"
     try:
         with scope(spark, name):
-            txn, refused, rows = read_once(spark, transactions, p, declared, by)
+            txn, refused, rows = read_once(spark, transactions, p, declared, by, time_form)
             owners = spark.createDataFrame([(c,) for c in rows.clients], f"`{by[0]}` string") if by else None
             asked = questions(txn, read_banks_csv(spark, accounts, by), rates, p, by, owners) | {"quarantine": lambda: refused}
             counts = {q: _written(q, ask(), staging, by) for q, ask in asked.items()}

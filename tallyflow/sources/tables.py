@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.functions.scalars import to_amount, to_bank, to_timestamp
+from tallyflow.functions.scalars import MINUTES, to_amount, to_bank, to_timestamp
 from tallyflow.operators.aggregates import Keys
 
 CANONICAL = ["ts", "from_bank", "account", "to_bank", "to_account", "amount_text", "amount", "payment_currency", "payment_format"]
@@ -21,30 +21,31 @@ IS_ROW = "reason IS NULL OR reason = 'amount'"
 ACCOUNTS_CSV = T.StructType([T.StructField(c, T.StringType()) for c in ("bank_name", "raw_bank", "unused_2", "unused_3", "unused_4")])
 
 
-def decode_transactions(raw: DataFrame) -> DataFrame:
+def decode_transactions(raw: DataFrame, time_form: str = MINUTES) -> DataFrame:
     """Typed columns beside the raw ones; ``reason`` tells what cannot be decoded: the row or only its amount.
 
     A row is bad when its time or a bank can't be read or it has too few fields; further fields don't matter,
-    and empty texts are texts. A bad amount is null: questions that need amounts leave the row out.
+    and empty texts are texts. A bad amount is null: questions that need amounts leave the row out. Times are
+    as clients write them, to the minute, unless another ``time_form`` (``scalars.EXACT``) is told.
     """
     short = F.col("payment_format").isNull() & (F.col("_corrupt").isNotNull() & (F.size(F.split("_corrupt", ",")) < len(RAW)))
     texts = {c: F.coalesce(c, F.lit("")) for c in ("account", "to_account", "amount_text", "payment_currency", "payment_format")}
     typed = raw.withColumns({
-        "ts": to_timestamp(F.col("raw_ts")), "from_bank": to_bank(F.col("raw_from_bank")),
+        "ts": to_timestamp(F.col("raw_ts"), time_form), "from_bank": to_bank(F.col("raw_from_bank")),
         "to_bank": to_bank(F.col("raw_to_bank")), "amount": to_amount(F.col("amount_text")),
     })
     bad = F.col("ts").isNull() | F.col("from_bank").isNull() | F.col("to_bank").isNull() | F.coalesce(short, F.lit(False))
     return typed.withColumn("reason", F.when(bad, "row").when(F.col("amount").isNull(), "amount")).withColumns(texts)
 
 
-def decoded_csv(spark: SparkSession, path: str, by: Keys = ()) -> DataFrame:
+def decoded_csv(spark: SparkSession, path: str, by: Keys = (), time_form: str = MINUTES) -> DataFrame:
     """Every row of the files as ``decode_transactions`` gives it. Columns go by position; bad rows never fail the job.
 
     With ``by``, a column name, each row has there the client of its file, ``client_<name>_transactions.csv``.
     """
     raw = (spark.read.schema(TRANSACTIONS_CSV).option("header", True).option("enforceSchema", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(path))
-    return decode_transactions(raw.select("*", *_client(by, "transactions")))
+    return decode_transactions(raw.select("*", *_client(by, "transactions")), time_form)
 
 
 def _client(by: Keys, kind: str) -> list[Column]:
@@ -52,9 +53,9 @@ def _client(by: Keys, kind: str) -> list[Column]:
     return [F.regexp_extract(path, rf"/client_([^/]*)_{kind}\.csv", 1).alias(c) for c in by]
 
 
-def read_transactions_csv(spark: SparkSession, path: str, by: Keys = ()) -> tuple[DataFrame, DataFrame]:
+def read_transactions_csv(spark: SparkSession, path: str, by: Keys = (), time_form: str = MINUTES) -> tuple[DataFrame, DataFrame]:
     """(transactions, quarantined rows with their reason), of ``decoded_csv``. Rows of which only the amount is bad are in both."""
-    decoded = decoded_csv(spark, path, by)
+    decoded = decoded_csv(spark, path, by, time_form)
     return decoded.where(IS_ROW).select(*by, *CANONICAL), decoded.where("reason IS NOT NULL").select(*by, *RAW, "reason")
 
 

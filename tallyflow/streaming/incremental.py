@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.functions.scalars import to_bank
+from tallyflow.functions.scalars import MINUTES, to_bank
 from tallyflow.operators import aggregates, filters, joins
 from tallyflow.params import Params
 from tallyflow.sources.commits import CommittedTable
@@ -17,10 +17,10 @@ from tallyflow.sources.tables import ACCOUNTS_CSV, IS_ROW, TRANSACTIONS_CSV, dec
 CLOSED = datetime(9999, 1, 1)
 
 
-def read_csv_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
+def read_csv_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16, time_form: str = MINUTES) -> DataFrame:
     """New CSV files of a folder as typed transactions; rows that cannot be decoded go."""
     raw = spark.readStream.schema(TRANSACTIONS_CSV).option("header", True).option("maxFilesPerTrigger", files_per_trigger).option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", False).csv(folder)
-    return decode_transactions(raw).where(IS_ROW)
+    return decode_transactions(raw, time_form).where(IS_ROW)
 
 
 def read_banks_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:

@@ -1,9 +1,12 @@
 import os
+import random
 import re
 import subprocess
 import sys
 from datetime import UTC, date, datetime
+from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +152,21 @@ def test_against_sql(spark, name):
     assert_same(registry.QUERIES[name](spark, small()), registry.ORACLE_SQL[name], small())
 
 
+@pytest.mark.parametrize("name", ["csv_q3", "csv_q4", "csv_q5", "submission", "stream_q3", "stream_q4_pairs", "stream_q5"])
+def test_payments_right_after_a_period(spark, tmp_path, name):
+    """Accounts of even numbers pay in the last instant of a period, the others within the same minute after it."""
+    for path in Path(small()).iterdir():
+        if path.name != "events.parquet":
+            (tmp_path / path.name).symlink_to(path)
+    rng = random.Random(3)
+    times = [[f"2024-01-{day} 23:59:{s}" for day in ("05", "14")] for s in ("59.000000", "59.000001", "59.999999")]
+    events = pd.DataFrame([(i, rng.choice(times[user % 2 and rng.randrange(1, 3)]), user, rng.choice(["view", "click", "purchase"]), rng.choice([0.01, 500.0]), f'{{"k": {rng.randrange(15)}}}')
+                           for i in range(300) for user in [rng.randrange(15)]], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    events["ts"] = pd.to_datetime(events["ts"]).astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet", index=False)
+    assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLE_SQL[name], str(tmp_path))
+
+
 def test_partitioning_does_not_matter(spark):
     txn = registry._txn(spark, small())
     answers = [sorted(map(tuple, questions.q4(txn.repartition(n), registry.WIDE).collect())) for n in (1, 8, 50)]
