@@ -35,6 +35,8 @@ _HOT = 50_000  # sets of a token that are not brought together
 _MANY = 1000  # members of a cell that are not brought together
 _CHUNK = 400_000  # shingles of a chunk
 _TRIES = 100  # searches of members of a large cell before it is asked whether they find something
+_PAIRED = 1000  # sets left of a large cell that meet all of it
+_COPY = 200  # comparisons that cost what a set's place in a smaller cell does, about
 _DEPTH = 4  # times that large cells are made smaller
 _STRETCH = 1 << 20
 _BITS = 1 << 24
@@ -409,20 +411,27 @@ def _outside(heavy: Broadcast, all_open: bool) -> Callable[[Batches], Batches]:
 _LINKS = "a long, b long, cell long, alone boolean"
 
 
-def _with_sets(text: DataFrame, places: DataFrame) -> DataFrame:
-    """The chunks of ``places`` (of, chunk, part, cell, role, chunks, node), one behind another in a task, with their sets made again from the texts.
+def _sets_of(text: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``nodes`` and some more, made again from the texts.
 
     The texts are not shuffled: a bit map of fixed size tells the tasks which sets are wanted.
     """
     spark = text.sparkSession
     bit = F.pmod("node", F.lit(_BITS))
-    maps = places.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("page")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
+    maps = nodes.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("page")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
     bits = bytearray(_BITS // 8)
     for m in maps:  # at most _BITS / 32768 rows
         bits[m.page * 4096 : m.page * 4096 + 4096] = m.bits
-    sets = text.mapInArrow(_wanted_sets(spark.sparkContext.broadcast(bytes(bits))), "node long, shingles binary").dropDuplicates(["node"])
-    key = ["of", "chunk", "part"]
-    return places.join(sets, "node").select(*key, "cell", "role", "chunks", "node", "shingles").repartition(*key).sortWithinPartitions(*key)
+    return text.mapInArrow(_wanted_sets(spark.sparkContext.broadcast(bytes(bits))), "node long, shingles binary").dropDuplicates(["node"])
+
+
+_PLACE = ["of", "chunk", "part", "cell", "role", "chunks", "node"]
+
+
+def _with_sets(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """The chunks of ``places`` (the columns of _PLACE), one behind another in a task, with their ``sets``."""
+    key = _PLACE[:3]
+    return places.select(_PLACE).join(sets, "node").select(*_PLACE, "shingles").repartition(*key).sortWithinPartitions(*key)
 
 
 def _slice_of(node: Column, parts: Column) -> Column:
@@ -464,11 +473,14 @@ def jaccard_links(text: DataFrame, sets: DataFrame, heavy: list[tuple[int, int]]
     of_node = W.partitionBy("node")
     ranked = pairs.join(sets, "node").select("*", F.sum("shared").over(of_node).alias("all_shared"), F.sum("shared").over(of_node.orderBy("shared", "cell").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("up_to"))
     pairs = written(ranked.where((F.col("all_shared") >= least) & (F.col("up_to") > (least - 1) / 2)).select("node", "cell", "shared", "size"), "pairs")
-    return _links_in_cells(text, pairs, known, 0)
+    return _links_in_cells(text, None, pairs, known, 0)
+
 
+def _links_in_cells(text: DataFrame, sets: DataFrame | None, pairs: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
+    """(a, b) links that connect all linked sets that are in a cell of ``pairs`` (node, cell, shared, size) together.
 
-def _links_in_cells(text: DataFrame, pairs: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
-    """(a, b) links that connect all linked sets that are in a cell of ``pairs`` (node, cell, shared, size) together."""
+    ``sets`` has those of all nodes of ``pairs``; without it they are made from the texts.
+    """
     cells = pairs.groupBy("cell").agg(F.sum("size").alias("shingles"), F.max_by("node", F.struct("shared", "node")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     cells = cells.withColumn("chunks", F.ceil(F.col("shingles") / _CHUNK)).withColumn("class", F.when(F.col("chunks") == 1, F.floor(F.log2(F.col("shingles") / F.col("members")))))
     cells = written(cells, "cells")
@@ -483,50 +495,90 @@ def _links_in_cells(text: DataFrame, pairs: DataFrame, heavy: Broadcast, depth:
     members = rows.where("node <> pivot").select("of", _slice_of(F.col("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(1).alias("role"), "chunks", "node", "size")
     pivots = cells.select("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "cell", F.lit(0).alias("role"), "chunks", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("size"))
     places = written(members.unionByName(pivots), "places")
-    first = written(_with_sets(text, places.drop("size")).mapInArrow(_join_chunks, _LINKS), "links")
+    first = written(_with_sets(_sets_of(text, places) if sets is None else sets, places).mapInArrow(_join_chunks, _LINKS), "links")
     links = first.where("NOT alone").select("a", "b")
     alone = first.where("alone").select("cell", F.col("a").alias("node"))
     if alone.isEmpty():
         return links
-    return links.unionByName(_rest(text, places, written(alone, "alone"), heavy, depth))
+    return links.unionByName(_rest(text, sets, places, written(alone, "alone"), heavy, depth))
 
 
-def _rest(text: DataFrame, places: DataFrame, alone: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
+def _rest(text: DataFrame, sets: DataFrame | None, places: DataFrame, alone: DataFrame, heavy: Broadcast, depth: int) -> DataFrame:
     """Links of the sets of large cells that aren't connected with their cell's pivot: ``alone`` (cell, node).
 
-    What two sets have in common is inside the pivot or outside. Inside it is at most what either has in common with the pivot, so
-    linked sets need so many common shingles outside, for which a prefix of those is enough: sets that share
-    a template, and hardly more, don't meet again. Sets that do meet in smaller cells. Pairs of sizes at
-    which sets may link within the pivot alone are compared chunk by chunk.
+    Where few are left of a cell they meet all of it, chunk by chunk. Where many are left, they and the others first
+    are dealt into smaller cells: what two sets have in common is inside the pivot or outside. Inside it is at most what
+    either has in common with the pivot, so linked sets need so many common shingles outside, for which a prefix of those
+    is enough: sets that share a template, and hardly more, don't meet again. Sets that do meet in smaller cells. Pairs of
+    sizes at which sets may link within the pivot alone are compared chunk by chunk. Copies of one text that
+    were edited at random share shingles outside the pivot with very many others each; a cell of such is compared chunk by
+    chunk as a whole, which both copies and compares less than the smaller cells would.
     """
     # Only cells with such a set have anything left; they are large and few.
-    large = places.where("chunks > 1").join(hinted(written(alone.select("cell").distinct(), "cells")), "cell")
-    outside = _with_sets(text, large.drop("size")).mapInArrow(_outside(heavy, depth >= _DEPTH), "cell long, node long, size long, own int, other int, open boolean, token long")
-    outside = written(outside.join(alone.withColumn("alone", F.lit(True)), ["cell", "node"], "left").withColumn("alone", F.coalesce("alone", F.lit(False))), "outside")
-    key = ["cell", "low", "high", "token"]
-    held = outside.where("token IS NOT NULL").select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "token", "node", "size", "alone")
-    groups = held.groupBy(*key).agg(F.min("node").alias("first"), F.max("alone").alias("any"), F.count(F.lit(1)).alias("sets")).where("any AND sets > 1").select(*key, "first")
-    smaller = held.join(groups, key).groupBy("node", F.xxhash64("cell", "low", "high", "first").alias("cell")).agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
-    smaller = written(smaller, "pairs")
-    links = [] if smaller.isEmpty() else [_links_in_cells(text, smaller, heavy, depth + 1)]
-    inside = outside.where("open").select("cell", "node", "size", "own", "other", "alone").distinct()
-    meets = inside.where("alone").select("cell", F.col("own").alias("other"), F.col("other").alias("own")).distinct()
-    targets = inside.join(meets, ["cell", "own", "other"]).withColumn("of", F.xxhash64("cell", "own", "other"))
-    targets = written(targets, "targets")
-    if not targets.isEmpty():
-        probes = inside.where("alone").withColumn("of", F.xxhash64("cell", "other", "own"))
-        whole = hinted(written(targets.groupBy("of").agg(F.ceil(F.sum("size") / _CHUNK).alias("chunks")).join(
-            probes.groupBy("of").agg(F.ceil(F.sum("size") / _CHUNK).alias("parts")), "of"), "parts"))
+    apart = hinted(written(alone.groupBy("cell").agg(F.count(F.lit(1)).alias("apart")), "cells"))
+    told = alone.withColumn("alone", F.lit(True))
+    is_alone = F.coalesce("alone", F.lit(False)).alias("alone")
+    large = written(places.where("chunks > 1").join(apart, "cell").join(told, ["cell", "node"], "left").select(*_PLACE, "size", "apart", is_alone), "large")
+    if sets is None:
+        sets = written(_sets_of(text, large), "large-sets")
+    members = large.where("role = 1").select("cell", "node", "size", "alone", "apart")
+    whole = [members.where(F.col("apart") <= _PAIRED)]
+    many = large.where(F.col("apart") > _PAIRED)
+    links, met = [], []
+    if not many.isEmpty():
+        outside = _with_sets(sets, many).mapInArrow(_outside(heavy, depth >= _DEPTH), "cell long, node long, size long, own int, other int, open boolean, token long")
+        outside = written(outside.join(told, ["cell", "node"], "left").withColumn("alone", is_alone), "outside")
+        key = ["cell", "low", "high", "token"]
+        held = outside.where("token IS NOT NULL").select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "token", "node", "size", "alone")
+        groups = held.groupBy(*key).agg(F.min("node").alias("first"), F.max("alone").alias("any"), F.count(F.lit(1)).alias("sets")).where("any AND sets > 1").select(*key, "first")
+        smaller = held.join(groups, key).groupBy(F.col("cell").alias("large"), "node", F.xxhash64("cell", "low", "high", "first").alias("cell")).agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+        smaller = written(smaller, "pairs")
+        inside = outside.where("open").select("cell", "node", "size", "own", "other", "alone").distinct()
+        meets = inside.where("alone").select("cell", F.col("own").alias("other"), F.col("other").alias("own")).distinct()
+        targets = inside.join(meets, ["cell", "own", "other"]).select(F.xxhash64("cell", "own", "other").alias("of"), "cell", "node", "size", F.lit(1).alias("role"))
+        probes = inside.where("alone").select(F.xxhash64("cell", "other", "own").alias("of"), "cell", "node", "size", F.lit(2).alias("role"))
+        ranges = written(targets.unionByName(probes), "targets")
+        # What either way has to copy, in shingles, and to compare, of each cell.
+        dealt = smaller.groupBy(F.col("large").alias("cell")).agg(F.sum("size").alias("shingles"), (_COPY * F.count(F.lit(1))).alias("work"))
+        opened = _meetings(ranges).groupBy("cell").agg(F.sum("shingles").alias("shingles"), F.sum("work").alias("work"))
+        costs = dealt.unionByName(opened).groupBy("cell").agg(F.sum("shingles").alias("other_shingles"), F.sum("work").alias("other_work"))
+        dear = _meetings(_all_of(members.where(F.col("apart") > _PAIRED))).join(costs, "cell").where("shingles <= other_shingles AND work <= other_work").select("cell")
+        dear = hinted(written(dear, "cells"))
+        whole.append(members.join(dear, "cell", "left_semi"))
+        met.append(ranges.join(dear, "cell", "left_anti"))
+        smaller = written(smaller.join(dear, smaller["large"] == dear["cell"], "left_anti").drop("large"), "pairs")
+        if not smaller.isEmpty():
+            links.append(_links_in_cells(text, sets, smaller, heavy, depth + 1))
+    meeting = written(reduce(DataFrame.unionByName, [*met, *map(_all_of, whole)]), "targets")
+    if not meeting.isEmpty():
+        parts = hinted(written(_meetings(meeting).select("of", "chunks", "parts"), "parts"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        columns = ["of", "chunk", "part", "cell", "role", "chunks", "node"]
-        targets = targets.join(whole, "of").withColumn("chunk", _slice_of(F.col("node"), F.col("chunks"))).withColumn("role", F.lit(1)).select("*", every("parts").alias("part")).select(columns)
-        probes = probes.join(whole, "of").withColumn("part", _slice_of(F.col("node"), F.col("parts"))).withColumn("role", F.lit(2)).select("*", every("chunks").alias("chunk")).select(columns)
+        dealt = meeting.join(parts, "of")
+        targets = dealt.where("role = 1").withColumn("chunk", _slice_of(F.col("node"), F.col("chunks"))).select("*", every("parts").alias("part")).select(_PLACE)
+        probes = dealt.where("role = 2").withColumn("part", _slice_of(F.col("node"), F.col("parts"))).select("*", every("chunks").alias("chunk")).select(_PLACE)
         more = written(targets.unionByName(probes), "places")
-        links.append(written(_with_sets(text, more).mapInArrow(_join_chunks, _LINKS), "links").select("a", "b"))
+        links.append(written(_with_sets(sets, more).mapInArrow(_join_chunks, _LINKS), "links").select("a", "b"))
     none = text.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, links, none)
 
 
+def _all_of(members: DataFrame) -> DataFrame:
+    """Rows (of, cell, node, size, role): all ``members`` of a cell are targets, those that are alone are probes too."""
+    of = F.xxhash64("cell").alias("of")
+    targets = members.select(of, "cell", "node", "size", F.lit(1).alias("role"))
+    return targets.unionByName(members.where("alone").select(of, "cell", "node", "size", F.lit(2).alias("role")))
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(of, cell, chunks, parts, shingles, work): into how many chunks of targets and parts of probes each ``of`` falls, and what
+    it costs that each part meets each chunk: shingles copied, sets compared."""
+    n = {role: F.sum((F.col("role") == role).cast("long")) for role in (1, 2)}
+    size = {role: F.sum(F.when(F.col("role") == role, F.col("size")).otherwise(0)) for role in (1, 2)}
+    told = rows.groupBy("of", "cell").agg(n[1].alias("targets"), n[2].alias("probes"), size[1].alias("held"), size[2].alias("asked")).where("targets > 0 AND probes > 0")
+    told = told.withColumn("chunks", F.ceil(F.col("held") / _CHUNK)).withColumn("parts", F.ceil(F.col("asked") / _CHUNK))
+    return told.select("of", "cell", "chunks", "parts", F.expr("held * parts + asked * chunks").alias("shingles"), F.expr("targets * probes").alias("work"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id.
 

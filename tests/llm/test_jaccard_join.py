@@ -12,6 +12,7 @@ from tallyflow.llm.components import components
 from tallyflow.llm.jaccard_join import RTree, chunk_links, jaccard_components, overlaps, points_of
 from tallyflow.llm.registry import op8_jaccard_join
 from tallyflow.llm.shingles import shingle_sets
+from tallyflow.sources import shared
 from tests.oracle import assert_same, small
 
 
@@ -113,6 +114,55 @@ def test_texts_that_share_a_template(spark, monkeypatch, common, n, chunk, depth
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def edited(seed, n, length=100):
+    """Copies of one text with 0 to 8 words left out, so that many have the same shingles besides the text's own, and parts of it."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        gone = set(r.sample(range(length), r.randrange(9)))
+        w = [x for k, x in enumerate(base) if k not in gone]
+        out.append(" ".join(w[: r.randrange(length // 2, length)] if i % 9 == 5 else w))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_with_edits_are_copied_to_few_cells(spark, monkeypatch, seed):
+    """What is left of a large cell of edited copies shares shingles with very many others."""
+    monkeypatch.setattr(jaccard_join, "_CHUNK", 8000)
+    monkeypatch.setattr(jaccard_join, "_HEAVY", 4)
+    monkeypatch.setattr(jaccard_join, "_PAIRED", 50, raising=False)
+    placed = []
+
+    def counting(df, kind, *more):
+        out = shared.written(df, kind, *more)
+        placed.extend([out.count()] if kind == "places" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counting)
+    rows = list(enumerate(edited(seed, 500)))
+    random.Random(seed).shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < len(want) - 200
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert len(placed) > 1 and sum(placed) < 40 * len(rows), placed
+
+
+@pytest.mark.parametrize(("paired", "copy", "make"), [(0, 0, "templated"), (0, 10**9, "templated"), (0, 200, "templated"), (0, 0, "edited"), (0, 10**9, "edited"), (10, 200, "edited")])
+def test_what_large_cells_have_left(spark, monkeypatch, paired, copy, make):
+    """Left sets meet all of their cell, or in smaller cells, or each cell as it costs less: the same links."""
+    monkeypatch.setattr(jaccard_join, "_CHUNK", 1500)
+    monkeypatch.setattr(jaccard_join, "_HEAVY", 4)
+    monkeypatch.setattr(jaccard_join, "_PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "_COPY", copy)
+    monkeypatch.setattr(jaccard_join, "_DEPTH", 2)
+    rows = list(enumerate(templated(7, 120, 78) if make == "templated" else edited(7, 150)))
+    random.Random(4).shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_what_is_outside_the_pivot():
     """Every linked pair shares a token of its ranges of sizes, or both are open there."""
     sets = [np.sort(s) for s in shingle_sets([t.encode() for t in templated(5, 150, 90)])]
